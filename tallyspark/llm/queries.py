@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.llm.language import op1_language
+from tallyspark.llm.quality import op2_quality
 from tallyspark.llm.token_files import op3_token_files
+from tallyspark.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
+        "op2_quality": op2_quality,
         "op3_token_files": op3_token_files,
+        "op5_toxicity": op5_toxicity,
     }
 
 
