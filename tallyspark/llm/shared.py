@@ -155,3 +155,47 @@ def shingles(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, n
             out[b] = mix(np.bitwise_xor.reduce(mix(run * factors[: len(run)]), keepdims=True) + np.uint64(len(run)))[0]
     keep = whole | short
     return out[keep], words.doc[keep]
+
+
+# ---------------------------------------------------------------- sorted groups in mapInArrow
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by their first n_keys columns, tables of whole groups and where each group begins.
+
+    Holds no more than one batch and the group that its end cuts.
+    """
+    waiting: list[pa.RecordBatch] = []
+
+    def starts(columns: list[np.ndarray], n: int) -> np.ndarray:
+        edge = np.zeros(n, bool)
+        for c in columns:
+            edge[1:] |= c[1:] != c[:-1]
+        edge[:1] = True
+        return np.flatnonzero(edge)
+
+    def keys(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+        return [np.asarray(batch.column(k)) for k in range(n_keys)]
+
+    def ready(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        found = pa.Table.from_batches(parts).combine_chunks()
+        return found, starts(keys(found), len(found))
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        own = keys(batch)
+        edges = starts(own, len(batch))
+        if waiting and all(c[0] == np.asarray(waiting[-1].column(k))[-1] for k, c in enumerate(own)):
+            cut = int(edges[1]) if len(edges) > 1 else len(batch)
+            waiting.append(batch.slice(0, cut))
+            if cut == len(batch):
+                continue
+            edges = edges[1:]
+        if waiting:
+            yield ready(waiting)
+        if edges[-1] > edges[0]:
+            yield ready([batch.slice(edges[0], edges[-1] - edges[0])])
+        waiting = [batch.slice(edges[-1])]
+    if waiting:
+        yield ready(waiting)
