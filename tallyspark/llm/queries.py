@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.language import op1_language
+from tallyspark.llm.linededup import op8_linededup
 from tallyspark.llm.neardup import op6_neardup
 from tallyspark.llm.quality import op2_quality
 from tallyspark.llm.token_files import op3_token_files
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": op3_token_files,
         "op5_toxicity": op5_toxicity,
         "op6_neardup": op6_neardup,
+        "op8_linededup": op8_linededup,
     }
 
 
