@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.llm.decontaminate import op4_decontaminate
 from tallyspark.llm.language import op1_language
 from tallyspark.llm.linededup import op8_linededup
 from tallyspark.llm.neardup import op6_neardup
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language": op1_language,
         "op2_quality": op2_quality,
         "op3_token_files": op3_token_files,
+        "op4_decontaminate": op4_decontaminate,
         "op5_toxicity": op5_toxicity,
         "op6_neardup": op6_neardup,
         "op7_packing": op7_packing,
