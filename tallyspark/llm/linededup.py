@@ -13,6 +13,8 @@ that occurs earlier goes. Lines are compared without blanks at their ends; blank
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ LEAST_CHARS = 20
 #: Groups of a key up to this size are compared pair by pair.
 PAIRWISE = 16
 BLOCKS = 8
+#: Common beginnings and ends of two lines are left out in steps of this part of the shorter one.
+STRIPS = 16
 FILTER_BITS = 1 << 26
 BLANKS = " \t\r"
 
@@ -40,9 +44,14 @@ def edit_distance(x: Column, y: Column, threshold: int) -> Column:
     """
     width = 2 * threshold + 1
     mask = (1 << width) - 1
-    xs, ys = F.split(x, ""), F.split(y, "")
-    nx, ny = F.length(x), F.length(y)
     long = lambda v: F.lit(v).cast("long")
+    held = F.struct(F.split(x, "").alias("xs"), F.split(y, "").alias("ys"), F.length(x).alias("nx"), F.length(y).alias("ny"))
+    # bound to a variable, the letters are cut once and not for every cell
+    return F.get(F.transform(F.array(held), lambda v: _banded(v, threshold, width, mask, long)), F.lit(0))
+
+
+def _banded(held: Column, threshold: int, width: int, mask: int, long: Callable[[int], Column]) -> Column:
+    xs, ys, nx, ny = (held[k] for k in ("xs", "ys", "nx", "ny"))
     ends = nx - ny  # the diagonal
 
     def matches(t: Column) -> Column:
@@ -78,21 +87,31 @@ def edit_distance(x: Column, y: Column, threshold: int) -> Column:
 # ---------------------------------------------------------------- candidates
 
 
-def _segments(line: Column, threshold: int) -> Column:
-    """array<struct<key, role, start, size>>: role 3 for a line's own segments, which also probe, 2 for other probes."""
+def _segments(line: Column, threshold: int) -> list[tuple[Column, int, Column, Column]]:
+    """(key, role, start, size) of each substring to look up: role 3 for a line's own segments, which also probe, 2 for other probes."""
     n, parts, out = F.length(line), threshold + 1, []
     for less in range(threshold + 1):
         target = n - less
         for i in range(parts):
-            begin = F.floor(target * i / parts).cast("int")
-            size = F.floor(target * (i + 1) / parts).cast("int") - begin
+            begin, end = ((target * k - F.pmod(target * k, F.lit(parts))) / parts for k in (i, i + 1))
+            begin, size = begin.cast("int"), (end - begin).cast("int")
             for shift in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1):
-                own = not less and not shift
-                fits = (begin + shift >= 0) & (begin + shift + size <= n)
-                text = line.substr(begin + shift + 1, size)
-                key = F.when(fits, F.xxhash64(F.lit(i), target, text))
-                out.append(F.struct(key.alias("key"), F.lit(3 if own else 2).alias("role"), (begin + shift).alias("start"), size.alias("size")))
-    return F.array(*out)
+                key = F.xxhash64(F.lit(i), target, line.substr(begin + (shift + 1), size))
+                if threshold > 1:
+                    key = F.when((begin + shift >= 0) & (begin + shift + size <= n), key)
+                out.append((key, 2 if less or shift else 3, begin + shift, size))
+    return out
+
+
+def _exploded(lines: DataFrame, threshold: int, *columns: str, places: bool = False) -> DataFrame:
+    """A row for each substring: columns, key, role and, if asked for, start and size.
+
+    Keys are computed in a projection of their own, which shares what they have in common.
+    """
+    found = _segments(F.col("line"), threshold)
+    fields = lambda k, r, a, n: [k.alias("key"), F.lit(r).alias("role"), *([a.alias("start"), n.alias("size")] if places else [])]
+    ready = lines.select(*columns, *[F.struct(*fields(*f)).alias(f"s{k}") for k, f in enumerate(found)])
+    return ready.select(*columns, F.explode(F.array(*[f"s{k}" for k in range(len(found))])).alias("s"))
 
 
 def _blocks(text: Column, group: Column) -> Column:
@@ -115,14 +134,37 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return seen.where("key is not null and low != high and (roles & 1) = 1").select("key")
 
 
+def _last(name: str, n: Column) -> Column:
+    return F.substring(name, F.length(name) - n + 1, n)
+
+
+def _agreeing(length: Column, agree: Callable[[Column], Column]) -> Column:
+    """The largest multiple of length / STRIPS, rounded down, that agrees; common ends leave the edit distance as it is."""
+    found = F.lit(0)
+    for k in range(1, STRIPS + 1):
+        size = F.floor(length * k / STRIPS).cast("int")
+        found = F.when(agree(size), size).otherwise(found)
+    return found
+
+
 def _later(members: DataFrame, threshold: int) -> DataFrame:
     """h1, h2 of the later line of each pair of members of a key whose rests are within threshold edits."""
     a, b = members.alias("a"), members.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.role") == 3) & ((F.col("b.role") == 2) | (F.col("a.h1") < F.col("b.h1"))) & (F.col("a.h1") != F.col("b.h1"))
     pairs = a.join(b, meet).where(F.abs(F.length("a.rest") - F.length("b.rest")) <= threshold)
-    near = pairs.where(edit_distance(F.col("a.rest"), F.col("b.rest"), threshold) <= threshold)
-    first = F.col("a.first") > F.col("b.first")
-    return near.select(F.when(first, F.col("a.h1")).otherwise(F.col("b.h1")).alias("h1"), F.when(first, F.col("a.h2")).otherwise(F.col("b.h2")).alias("h2"))
+    pairs = pairs.select("a.h1", "a.h2", "a.first", F.col("b.h1").alias("o1"), F.col("b.h2").alias("o2"), F.col("b.first").alias("other"), F.col("a.rest").alias("x"), F.col("b.rest").alias("y"))
+    least = F.least(F.length("x"), F.length("y"))
+    head = _agreeing(least, lambda k: F.substring("x", F.lit(1), k) == F.substring("y", F.lit(1), k))
+    tail = _agreeing(least, lambda k: _last("x", k) == _last("y", k))
+    same = pairs.withColumns({"least": least, "head": head, "tail": tail})
+    # written, as the optimizer would put these long expressions wherever their columns are used
+    same = shared.stored(same, "line-pairs").withColumn("tail", F.least("tail", F.col("least") - F.col("head")))
+    if threshold == 1:  # all but the block with the edit must agree
+        same = same.where(F.col("least") - F.col("head") - F.col("tail") <= F.col("least") / STRIPS + 2)
+    middle = lambda c: F.substring(c, F.col("head") + 1, F.length(c) - F.col("head") - F.col("tail"))
+    near = same.where(edit_distance(middle("x"), middle("y"), threshold) <= threshold)
+    own = F.col("first") > F.col("other")
+    return near.select(F.when(own, F.col("h1")).otherwise(F.col("o1")).alias("h1"), F.when(own, F.col("h2")).otherwise(F.col("o2")).alias("h2"))
 
 
 def near_lines(lines: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, pairwise: int = PAIRWISE) -> DataFrame:
@@ -131,12 +173,12 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, least_chars: int =
     place orders occurrences. At thresholds above 1 all groups are compared pair by pair.
     """
     long_lines = lines.where(F.length("line") >= least_chars)
-    keyed = long_lines.select("h1", F.explode(F.transform(_segments(F.col("line"), threshold), lambda s: F.struct(s["key"], s["role"]))).alias("s"))
+    keyed = _exploded(long_lines, threshold, "h1")
     crowded = shared.stored(_crowded(keyed.select("h1", "s.key", "s.role")), "line-keys")
     n_keys = crowded.count()
     n_bits = min(FILTER_BITS, 1 << max(16, (10 * n_keys).bit_length()))
     bloom = Bloom(crowded, "key", n_bits, 4)
-    again = long_lines.select("h1", "h2", "place", "line", F.explode(_segments(F.col("line"), threshold)).alias("s")).where(bloom.holds(F.col("s.key")))
+    again = _exploded(long_lines, threshold, "h1", "h2", "place", "line", places=True).where(bloom.holds(F.col("s.key")))
     rest = F.concat(F.substring("line", F.lit(1), F.col("s.start")), F.col("line").substr(F.col("s.start") + F.col("s.size") + 1, F.length("line")))
     exact = again.select("h1", "h2", "place", "s.key", "s.role", rest.alias("rest")).join(crowded, "key")
     found = None
