@@ -26,8 +26,8 @@ class Throttle(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.kind)
         self.end = handle.getValueState("end", "end long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        passed = timers.getCurrentWatermarkInMs()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
         for frame in rows:
             for row in frame[self.columns].itertuples(index=False, name=None):
                 at = int(row[self.columns.index("at")]) // 1000
@@ -35,10 +35,10 @@ class Throttle(StatefulProcessor):
                     continue  # later than the watermark allows
                 self.waiting.appendValue(tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in row))
                 self.handle.registerTimer(at + 1)
-        yield pd.DataFrame({c: [] for c in self.columns})
+        return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        passed = timers.getCurrentWatermarkInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
         at, number, lasts = (self.columns.index(c) for c in ("at", "event_id", "lasts"))
         held = sorted(self.waiting.get(), key=lambda r: (r[at], r[number]))
         due = [r for r in held if r[at] // 1000 < passed]
@@ -59,7 +59,7 @@ class Throttle(StatefulProcessor):
             self.handle.registerTimer(end // 1000 + 1)
         elif self.end.exists():
             self.end.clear()
-        yield pd.DataFrame(out, columns=self.columns)
+        return iter([pd.DataFrame(out, columns=self.columns, dtype=object)] if out else ())
 
     def close(self) -> None:
         pass
