@@ -46,7 +46,7 @@ def counts(column: pa.LargeStringArray) -> np.ndarray:
 
 def vectors(column: pa.LargeStringArray, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF vectors; a text without letters has zeros."""
-    x = np.log1p(counts(column).astype(np.float32)) * idf
+    x = counts(column).astype(np.float32) * idf  # counts as they are, so that most of a mixed text decides
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
