@@ -4,16 +4,17 @@
 2. The latent space comes from a randomised SVD of the benchmark's TF-IDF passages, whose products are summed over
    partitions.
 3. Documents are cut into overlapping windows, of a length for each class of passage lengths, so that any passage lies
-   whole in one of them. Windows too light in the vocabulary to reach the cosine are passed over; the others are folded
-   into the latent space and compared with the passages.
-4. A window near enough to a passage is a leak if their longest common subsequence covers most of the passage, or, for
-   paraphrases, a good part of it together with the answer: the passage's own, or else its rarest words.
+   whole in one of them. Windows without two of the rarest words of any one passage are passed over, as they can't hold a
+   leak; the others are folded into the latent space and compared with the passages.
+4. A window near enough to a passage is a leak if it has some of the passage's rarest words and their longest common
+   subsequence covers most of the passage or, for paraphrases, a good part of it together with the answer: the
+   benchmark's, or else more of the rarest words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ COSINE = 0.4
 VERBATIM, PARAPHRASE = 0.7, 0.5
 #: Passages of fewer words must be there in full.
 SHORT = 8
-ANSWER_WORDS = 3
+#: So many of a passage's rarest words are looked for: a leak has two of them; a paraphrase without an answer three.
+RAREST = 5
 KIND = "array<struct<item_id:bigint,cosine:double,common:int,words:int,first_word:int>>"
 
 
@@ -58,10 +60,14 @@ class Model:
     idf: np.ndarray
     items: np.ndarray  # ids
     passages: list[np.ndarray]  # word numbers
-    answers: list[np.ndarray]
+    answers: list[np.ndarray]  # empty where the benchmark has none
+    rarest: list[np.ndarray] = field(default_factory=list)
     fold: np.ndarray | None = None  # vocabulary x rank, with idf
     latent: np.ndarray | None = None  # unit rows
-    weight: np.ndarray | None = None  # squared norms of the passages' TF-IDF vectors
+    need: np.ndarray | None = None  # what a text must share with each passage, see settle()
+    kinds: tuple[np.ndarray, np.ndarray] | None = None  # distinct words of all passages, and where each one's begin
+    posting: np.ndarray | None = None  # the passages that each word is among the rarest of, and where each word's begin
+    posting_first: np.ndarray | None = None
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The vocabulary's number of each word, or -1."""
@@ -82,7 +88,6 @@ class Model:
             return out
         words = shared.Words(column)
         number = self.numbers(words.hashes())
-        mass = np.concatenate([[0], np.cumsum(np.where(number >= 0, self.idf[number] ** 2, 0))])
         sizes = np.array([length_class(len(p)) for p in self.passages])
         best: dict[tuple[int, int], int] = {}
         for size in np.unique(sizes).tolist():
@@ -93,31 +98,98 @@ class Model:
             doc = np.repeat(np.arange(words.n_docs), per_doc)
             start = words.first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * step
             stop = np.minimum(start + span, words.first[doc + 1])
-            # a window this light can't have the passage's words in the share that is asked for
-            heavy = np.flatnonzero(mass[stop] - mass[start] >= 0.3 * self.weight[own].min())
-            for lot in range(0, len(heavy), 512):
-                some = heavy[lot : lot + 512]
-                latent = np.zeros((len(some), self.fold.shape[1]), np.float32)
-                for k, w in enumerate(some.tolist()):
-                    inside = number[start[w] : stop[w]]
-                    latent[k] = self.fold[inside[inside >= 0]].sum(0)
-                latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                likeness = latent @ self.latent[own].T
-                for k, i in zip(*np.nonzero(likeness >= COSINE)):
-                    w, item, d = some[k], own[i], int(doc[some[k]])
+            windows = self.telling_windows(words, number, per_doc, span, step, own)
+            for some in (windows[lot : lot + 256] for lot in range(0, len(windows), 256)):
+                for k, i, cosine in self.near(number, start[some], stop[some], own):
+                    w, item, d = some[k], int(own[i]), int(doc[some[k]])
                     a, b = max(words.first[d], start[w] - step), min(words.first[d + 1], stop[w] + step)
-                    got = self.compare(int(item), number[a:b])
-                    if got and got > best.get((d, int(item)), 0):
-                        best[d, int(item)] = got
+                    got = self.compare(item, number[a:b])
+                    if got and got > best.get((d, item), 0):
+                        best[d, item] = got
                         out[d] = [x for x in out[d] if x[0] != int(self.items[item])]
-                        out[d].append((int(self.items[item]), float(likeness[k, i]), got, len(self.passages[item]), int(a - words.first[d])))
+                        out[d].append((int(self.items[item]), cosine, got, len(self.passages[item]), int(a - words.first[d])))
         return out
 
+    def telling_windows(self, words: shared.Words, number: np.ndarray, per_doc: np.ndarray, span: int, step: int, own: np.ndarray) -> np.ndarray:
+        """The windows that hold two of the rarest words of one of the passages, as every leak does."""
+        at = np.flatnonzero(number >= 0)
+        at = at[self.posting_first[number[at] + 1] > self.posting_first[number[at]]]
+        doc = words.doc[at]
+        place = at - words.first[doc]
+        first_window = np.cumsum(per_doc) - per_doc
+        wanted = np.zeros(len(self.items), bool)
+        wanted[own] = True
+        found = []
+        for back in range(-(-span // step)):
+            j = place // step - back
+            fits = (j >= 0) & (j < per_doc[doc]) & (place < j * step + span)
+            window, word = first_window[doc[fits]] + j[fits], number[at[fits]]
+            many = self.posting_first[word + 1] - self.posting_first[word]
+            flat = np.arange(int(many.sum())) + np.repeat(self.posting_first[word] - np.cumsum(many) + many, many)
+            item = self.posting[flat]
+            keep = wanted[item]
+            found.append(np.stack([np.repeat(window, many)[keep], item[keep], np.repeat(word, many)[keep]]))
+        window, item, word = np.concatenate(found, axis=1)
+        if not len(window):
+            return window
+        pair = window * len(self.items) + item
+        both = np.unique(pair * len(self.vocabulary) + word)
+        pair = both // len(self.vocabulary)
+        begin = np.flatnonzero(np.diff(pair, prepend=-1))
+        held = np.diff(begin, append=len(pair))
+        pair = pair[begin]
+        least = np.array([min(2, len(r)) for r in self.rarest])
+        return np.unique(pair[held >= least[pair % len(self.items)]] // len(self.items))
+
+    def near(self, number: np.ndarray, start: np.ndarray, stop: np.ndarray, own: np.ndarray) -> list[tuple[int, int, float]]:
+        """Of windows and passages the pairs whose cosine reaches COSINE and that share as much as a leak must."""
+        size = stop - start
+        row = np.repeat(np.arange(len(start)), size)
+        word = number[np.arange(len(row)) + np.repeat(start - np.cumsum(size) + size, size)]
+        row, word = row[word >= 0], word[word >= 0]
+        held = np.zeros((len(start), len(self.vocabulary)), np.float32)
+        np.add.at(held, (row, word), 1)
+        latent = held @ self.fold
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        likeness = latent @ self.latent[own].T
+        k, i = np.nonzero(likeness >= COSINE)
+        if not len(k):
+            return []
+        kinds, first = self.kinds
+        count = np.diff(first)[own[i]]
+        flat = np.arange(int(count.sum())) + np.repeat(first[own[i]] - np.cumsum(count) + count, count)
+        both = np.where(held[np.repeat(k, count), kinds[flat]] > 0, self.idf[kinds[flat]] ** 2, 0)
+        met = np.add.reduceat(both, np.cumsum(count) - count) >= self.need[own[i]] - 1e-9
+        return [(int(x), int(y), float(likeness[x, y])) for x, y in zip(k[met], i[met])]
+
+    def settle(self) -> None:
+        """Fixes, for each passage, the squared idf of distinct words that it must share with a text to count as a leak.
+
+        That is two of its rarest words and, of all its positions, the lightest that make up the share asked for; a
+        word's weight is spread over the positions it has in the passage.
+        """
+        need, kinds = [], []
+        for passage in self.passages:
+            words, back, times = np.unique(passage, return_inverse=True, return_counts=True)
+            weight, n = self.idf[words] ** 2, len(passage)
+            rarest = words[np.argsort(-weight, kind="stable")[:RAREST]]
+            part = np.sort((weight / times)[back])[: int(np.ceil(PARAPHRASE * n))].sum()
+            self.rarest.append(rarest)
+            need.append(weight.sum() if n < SHORT else max(part, np.sort(self.idf[rarest] ** 2)[:2].sum()))
+            kinds.append(words)
+        self.need = np.array(need)
+        self.kinds = np.concatenate(kinds), np.concatenate([[0], np.cumsum([len(k) for k in kinds])])
+        of_item = np.repeat(np.arange(len(self.rarest)), [len(r) for r in self.rarest])
+        order = np.argsort(np.concatenate(self.rarest), kind="stable")
+        self.posting = of_item[order]
+        self.posting_first = np.searchsorted(np.concatenate(self.rarest)[order], np.arange(len(self.vocabulary) + 1))
+
     def compare(self, item: int, window: np.ndarray) -> int:
         """The length of the common subsequence if it makes a leak, else 0."""
         passage, inside = self.passages[item], window[window >= 0]
-        n = len(passage)
-        if np.isin(passage, inside).mean() < PARAPHRASE:
+        n, rarest = len(passage), self.rarest[item]
+        met = int(np.isin(rarest, inside).sum())
+        if met < min(2, len(rarest)):
             return 0
         common = common_subsequence(passage.tolist(), inside.tolist())
         if n < SHORT:
@@ -125,9 +197,8 @@ class Model:
         if common >= VERBATIM * n:
             return common
         answer = self.answers[item]
-        return common if common >= PARAPHRASE * n and np.isin(answer, inside).mean() >= 2 / 3 else 0
-
-
+        answered = np.isin(answer, inside).mean() >= 2 / 3 if len(answer) else met >= min(3, len(rarest))
+        return common if common >= PARAPHRASE * n and answered else 0
 
 
 def _partial(rows: DataFrame, work, width: int) -> np.ndarray:
@@ -208,15 +279,10 @@ def fit(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_c
         model.idf = np.log((2 + seen[-1]) / (1 + seen[:-1])) + 0.01
         answers = shared.Words(shared.texts(got["answer"]))
         of_answer = model.numbers(answers.hashes())
-        for k, i in enumerate(has.tolist()):
+        for i in has.tolist():
             own = of_answer[answers.first[i] : answers.first[i + 1]]
-            own = np.unique(own[own >= 0])
-            if not len(own):
-                kinds = np.unique(model.passages[k])
-                own = kinds[np.argsort(-model.idf[kinds], kind="stable")[:ANSWER_WORDS]]
-            model.answers.append(own)
-        # squared norms with words counted once, as a paraphrase may use them
-        model.weight = np.array([(model.idf[np.unique(p)] ** 2).sum() for p in model.passages])
+            model.answers.append(np.unique(own[own >= 0]))
+        model.settle()
         right = _svd(spark, model)
         model.fold = (model.idf[:, None] * right).astype(np.float32)
         latent = np.stack([model.fold[p].sum(0) for p in model.passages])
