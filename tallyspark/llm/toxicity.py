@@ -43,7 +43,7 @@ class Tokens:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, strength: float = 0.1) -> np.ndarray:
-    """Log-odds of each feature in toxic against clean texts, with an informative Dirichlet prior, less two deviations.
+    """Log-odds of each feature in toxic against clean texts, with an informative Dirichlet prior, less three deviations.
 
     The prior has the features' shares in all texts and weighs `strength` of their number.
     """
@@ -53,7 +53,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, strength: float = 0.1) -> np.
     y1, y0 = toxic + prior, clean + prior
     odds = np.log(y1 / (n1 + n - y1)) - np.log(y0 / (n0 + n - y0))
     spread = np.sqrt(1 / y1 + 1 / y0)
-    return np.where(both > 0, np.sign(odds) * np.maximum(np.abs(odds) - 2 * spread, 0), 0).astype(np.float32)
+    return np.where(both > 0, np.sign(odds) * np.maximum(np.abs(odds) - 3 * spread, 0), 0).astype(np.float32)
 
 
 def segments(value: np.ndarray, before: np.ndarray) -> list[tuple[int, int, float]]:
@@ -163,8 +163,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Learns from up to per_label labelled documents of each class; None unless both classes occur."""
     chosen = labelled.sample(labels, id_col, label_col, per_label)
     texts = labelled.with_text(chosen, docs, id_col, text_col).select(F.col("id").cast("long"), F.col("label").cast("int"), "text")
-    # copies would make all of a text's words look telling
-    texts = texts.withColumn("print", F.xxhash64("text")).dropDuplicates(["print", "label"]).drop("print")
     texts = shared.stored(texts, "toxicity-sample")
     spark = docs.sparkSession
     share = {r["label"]: r["n"] for r in labels.select((F.col(label_col) > 0).alias("label")).dropna().groupBy("label").agg(F.count("*").alias("n")).collect()}
