@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,14 +12,14 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def sample(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> DataFrame:
-    """Up to per_label distinct (id, label) rows of each label, those of least hash; columns id and label.
+    """About per_label distinct (id, label) rows of each label, all if it has no more; columns id and label.
 
-    A label may hold most rows: Spark keeps the least per_label of each task before rows meet (WindowGroupLimit).
+    A row is taken if the hash of its id is below its label's share, so no task gathers a label's rows.
     """
-    known = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna()
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    ranked = known.distinct().withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= per_label).drop("rank")
+    known = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna().distinct()
+    share = known.groupBy("label").agg((F.lit(float(per_label)) / F.count("*")).alias("share"))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / float(1 << 31)
+    return known.join(share, "label").where(place < F.col("share")).select("id", "label")
 
 
 def with_text(chosen: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
