@@ -4,11 +4,10 @@
 2. The latent space comes from a randomised SVD of the benchmark's TF-IDF passages, whose products are summed over
    partitions.
 3. Documents are cut into overlapping windows, of a length for each class of passage lengths, so that any passage lies
-   whole in one of them. Windows without two of the rarest words of any one passage are passed over, as they can't hold a
-   leak; the others are folded into the latent space and compared with the passages.
-4. A window near enough to a passage is a leak if it has some of the passage's rarest words and their longest common
-   subsequence covers most of the passage or, for paraphrases, a good part of it together with the answer: the
-   benchmark's, or else more of the rarest words.
+   whole in one of them. Pairs of a window and a passage that share too few words for step 4, by a bound that it implies,
+   are passed over; the other windows are folded into the latent space and compared with their passages.
+4. A window near enough to a passage is a leak if their longest common subsequence covers most of the passage or, for
+   paraphrases, a good part of it together with the answer: the benchmark's, or else the passage's rarest words.
 """
 
 from __future__ import annotations
@@ -30,8 +29,12 @@ COSINE = 0.4
 VERBATIM, PARAPHRASE = 0.7, 0.5
 #: Passages of fewer words must be there in full.
 SHORT = 8
-#: So many of a passage's rarest words are looked for: a leak has two of them; a paraphrase without an answer three.
-RAREST = 5
+#: Where a passage has no answer, two of its three rarest words or three of its five rarest stand in for it.
+STAND_INS = ((3, 2), (5, 3))
+#: The share of a passage's positions, beyond those a leak may lack, whose words are counted in each window.
+CUES = 0.2
+#: Cells of the table of counts that is held at a time.
+CELLS = 1 << 20
 KIND = "array<struct<item_id:bigint,cosine:double,common:int,words:int,first_word:int>>"
 
 
@@ -54,6 +57,17 @@ def length_class(n: int) -> int:
     return max(16, 1 << (n - 1).bit_length())
 
 
+@dataclass
+class Cues:
+    """Words of which a leak has some: cue k asks for words that weigh need[k] together, for passage item[k]."""
+
+    item: np.ndarray
+    need: np.ndarray
+    first: np.ndarray  # where each word of the vocabulary begins in the next two
+    cue: np.ndarray
+    weight: np.ndarray
+
+
 @dataclass
 class Model:
     vocabulary: np.ndarray  # sorted hashes of words
@@ -61,13 +75,10 @@ class Model:
     items: np.ndarray  # ids
     passages: list[np.ndarray]  # word numbers
     answers: list[np.ndarray]  # empty where the benchmark has none
-    rarest: list[np.ndarray] = field(default_factory=list)
+    signs: list[list[tuple[np.ndarray, int]]] = field(default_factory=list)  # words and how many of them show the answer
     fold: np.ndarray | None = None  # vocabulary x rank, with idf
     latent: np.ndarray | None = None  # unit rows
-    need: np.ndarray | None = None  # what a text must share with each passage, see settle()
-    kinds: tuple[np.ndarray, np.ndarray] | None = None  # distinct words of all passages, and where each one's begin
-    posting: np.ndarray | None = None  # the passages that each word is among the rarest of, and where each word's begin
-    posting_first: np.ndarray | None = None
+    cues: dict[int, Cues] = field(default_factory=dict)  # by class of passage lengths, see settle()
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The vocabulary's number of each word, or -1."""
@@ -91,113 +102,109 @@ class Model:
         sizes = np.array([length_class(len(p)) for p in self.passages])
         best: dict[tuple[int, int], int] = {}
         for size in np.unique(sizes).tolist():
-            own = np.flatnonzero(sizes == size)
             span, step = size + size // 2, size // 2
             per_doc = np.maximum(1, -(-(words.count - span) // step) + 1)
             per_doc[words.count == 0] = 0
             doc = np.repeat(np.arange(words.n_docs), per_doc)
             start = words.first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * step
             stop = np.minimum(start + span, words.first[doc + 1])
-            windows = self.telling_windows(words, number, per_doc, span, step, own)
-            for some in (windows[lot : lot + 256] for lot in range(0, len(windows), 256)):
-                for k, i, cosine in self.near(number, start[some], stop[some], own):
-                    w, item, d = some[k], int(own[i]), int(doc[some[k]])
-                    a, b = max(words.first[d], start[w] - step), min(words.first[d + 1], stop[w] + step)
-                    got = self.compare(item, number[a:b])
-                    if got and got > best.get((d, item), 0):
-                        best[d, item] = got
-                        out[d] = [x for x in out[d] if x[0] != int(self.items[item])]
-                        out[d].append((int(self.items[item]), cosine, got, len(self.passages[item]), int(a - words.first[d])))
+            from_, to = np.maximum(words.first[doc], start - step), np.minimum(words.first[doc + 1], stop + step)
+            for window, item in self.telling(words, number, per_doc, step, self.cues[size]):
+                for lot in range(0, len(window), 1024):
+                    some = window[lot : lot + 1024]
+                    for w, i, cosine in self.near(number, start, stop, some, item[lot : lot + 1024]):
+                        d, a = int(doc[w]), int(from_[w])
+                        got = self.compare(i, number[a : to[w]])
+                        if got and got > best.get((d, i), 0):
+                            best[d, i] = got
+                            out[d] = [x for x in out[d] if x[0] != int(self.items[i])]
+                            out[d].append((int(self.items[i]), cosine, got, len(self.passages[i]), int(a - words.first[d])))
         return out
 
-    def telling_windows(self, words: shared.Words, number: np.ndarray, per_doc: np.ndarray, span: int, step: int, own: np.ndarray) -> np.ndarray:
-        """The windows that hold two of the rarest words of one of the passages, as every leak does."""
+    def telling(self, words: shared.Words, number: np.ndarray, per_doc: np.ndarray, step: int, cues: Cues) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The windows, in order, and passages of one class that share, with a step on either side, what some cue asks for.
+
+        Cues are counted in blocks of a step each; a window with its sides is five of them.
+        """
         at = np.flatnonzero(number >= 0)
-        at = at[self.posting_first[number[at] + 1] > self.posting_first[number[at]]]
-        doc = words.doc[at]
-        place = at - words.first[doc]
+        at = at[cues.first[number[at] + 1] > cues.first[number[at]]]
+        doc, word = words.doc[at], number[at]
         first_window = np.cumsum(per_doc) - per_doc
-        wanted = np.zeros(len(self.items), bool)
-        wanted[own] = True
-        found = []
-        for back in range(-(-span // step)):
-            j = place // step - back
-            fits = (j >= 0) & (j < per_doc[doc]) & (place < j * step + span)
-            window, word = first_window[doc[fits]] + j[fits], number[at[fits]]
-            many = self.posting_first[word + 1] - self.posting_first[word]
-            flat = np.arange(int(many.sum())) + np.repeat(self.posting_first[word] - np.cumsum(many) + many, many)
-            item = self.posting[flat]
-            keep = wanted[item]
-            found.append(np.stack([np.repeat(window, many)[keep], item[keep], np.repeat(word, many)[keep]]))
-        window, item, word = np.concatenate(found, axis=1)
-        if not len(window):
-            return window
-        pair = window * len(self.items) + item
-        both = np.unique(pair * len(self.vocabulary) + word)
-        pair = both // len(self.vocabulary)
-        begin = np.flatnonzero(np.diff(pair, prepend=-1))
-        held = np.diff(begin, append=len(pair))
-        pair = pair[begin]
-        least = np.array([min(2, len(r)) for r in self.rarest])
-        return np.unique(pair[held >= least[pair % len(self.items)]] // len(self.items))
-
-    def near(self, number: np.ndarray, start: np.ndarray, stop: np.ndarray, own: np.ndarray) -> list[tuple[int, int, float]]:
-        """Of windows and passages the pairs whose cosine reaches COSINE and that share as much as a leak must."""
-        size = stop - start
-        row = np.repeat(np.arange(len(start)), size)
-        word = number[np.arange(len(row)) + np.repeat(start - np.cumsum(size) + size, size)]
+        # each document with words begins and ends with an empty block
+        pad = 4 * (np.cumsum(per_doc > 0) - 1)
+        block = first_window[doc] + pad[doc] + 1 + (at - words.first[doc]) // step
+        begin = np.arange(int(per_doc.sum())) + np.repeat(pad, per_doc)
+        n, size = len(cues.item), max(1, CELLS // len(cues.item))
+        for lot in range(0, len(begin), size):
+            own = begin[lot : lot + size]
+            s, e = np.searchsorted(block, [own[0], own[-1] + 5])
+            many = cues.first[word[s:e] + 1] - cues.first[word[s:e]]
+            flat = np.arange(int(many.sum())) + np.repeat(cues.first[word[s:e]] - np.cumsum(many) + many, many)
+            cell = np.repeat(block[s:e] - own[0], many) * n + cues.cue[flat]
+            width = int(own[-1] - own[0]) + 5
+            counts = np.bincount(cell, cues.weight[flat], width * n).astype(np.float32).reshape(width, n)
+            counts = (counts[:-4] + counts[1:-3] + counts[2:-2] + counts[3:-1] + counts[4:])[own - own[0]]
+            k, c = np.nonzero(counts >= cues.need)
+            both = np.unique((lot + k) * len(self.items) + cues.item[c])
+            if len(both):
+                yield both // len(self.items), both % len(self.items)
+
+    def near(self, number: np.ndarray, start: np.ndarray, stop: np.ndarray, window: np.ndarray, item: np.ndarray) -> list[tuple[int, int, float]]:
+        """Of pairs of a window and a passage, in order of windows, those whose cosine reaches COSINE."""
+        some, row_of = np.unique(window, return_inverse=True)
+        size = stop[some] - start[some]
+        row = np.repeat(np.arange(len(some)), size)
+        word = number[np.arange(len(row)) + np.repeat(start[some] - np.cumsum(size) + size, size)]
         row, word = row[word >= 0], word[word >= 0]
-        held = np.zeros((len(start), len(self.vocabulary)), np.float32)
-        np.add.at(held, (row, word), 1)
-        latent = held @ self.fold
+        has, begin = np.unique(row, return_index=True)
+        latent = np.zeros((len(some), self.fold.shape[1]), np.float32)
+        if len(has):
+            latent[has] = np.add.reduceat(self.fold[word], begin)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        likeness = latent @ self.latent[own].T
-        k, i = np.nonzero(likeness >= COSINE)
-        if not len(k):
-            return []
-        kinds, first = self.kinds
-        count = np.diff(first)[own[i]]
-        flat = np.arange(int(count.sum())) + np.repeat(first[own[i]] - np.cumsum(count) + count, count)
-        both = np.where(held[np.repeat(k, count), kinds[flat]] > 0, self.idf[kinds[flat]] ** 2, 0)
-        met = np.add.reduceat(both, np.cumsum(count) - count) >= self.need[own[i]] - 1e-9
-        return [(int(x), int(y), float(likeness[x, y])) for x, y in zip(k[met], i[met])]
+        likeness = (latent[row_of] * self.latent[item]).sum(1)
+        return [(int(window[k]), int(item[k]), float(likeness[k])) for k in np.flatnonzero(likeness >= COSINE)]
 
     def settle(self) -> None:
-        """Fixes, for each passage, the squared idf of distinct words that it must share with a text to count as a leak.
+        """Fixes the cues of each passage: what any window must hold for compare() to call it a leak.
 
-        That is two of its rarest words and, of all its positions, the lightest that make up the share asked for; a
-        word's weight is spread over the positions it has in the passage.
+        A subsequence that covers the share VERBATIM lacks at most the rest of the positions, so of any more positions it
+        has those beyond: these are taken from the rarest words, with all positions of each. A paraphrase shows
+        the answer.
         """
-        need, kinds = [], []
-        for passage in self.passages:
-            words, back, times = np.unique(passage, return_inverse=True, return_counts=True)
-            weight, n = self.idf[words] ** 2, len(passage)
-            rarest = words[np.argsort(-weight, kind="stable")[:RAREST]]
-            part = np.sort((weight / times)[back])[: int(np.ceil(PARAPHRASE * n))].sum()
-            self.rarest.append(rarest)
-            need.append(weight.sum() if n < SHORT else max(part, np.sort(self.idf[rarest] ** 2)[:2].sum()))
-            kinds.append(words)
-        self.need = np.array(need)
-        self.kinds = np.concatenate(kinds), np.concatenate([[0], np.cumsum([len(k) for k in kinds])])
-        of_item = np.repeat(np.arange(len(self.rarest)), [len(r) for r in self.rarest])
-        order = np.argsort(np.concatenate(self.rarest), kind="stable")
-        self.posting = of_item[order]
-        self.posting_first = np.searchsorted(np.concatenate(self.rarest)[order], np.arange(len(self.vocabulary) + 1))
+        found: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]] = {}
+        for i, passage in enumerate(self.passages):
+            words, times = np.unique(passage, return_counts=True)
+            order, n = np.argsort(-self.idf[words], kind="stable"), len(passage)
+            words, times = words[order], times[order]
+            answer = self.answers[i]
+            self.signs.append([(answer, -(-2 * len(answer) // 3))] if len(answer) else [(words[:m], min(least, len(words))) for m, least in STAND_INS])
+            may_lack = 0 if n < SHORT else n - int(np.ceil(VERBATIM * n))
+            upto = np.cumsum(times)
+            k = int(np.searchsorted(upto, min(n, may_lack + max(2, int(CUES * n))))) + 1
+            own = found.setdefault(length_class(n), [])
+            own.append((i, int(upto[k - 1]) - may_lack, words[:k], times[:k]))
+            if n >= SHORT:
+                own += [(i, least, some, np.ones(len(some), int)) for some, least in self.signs[i]]
+        for size, own in found.items():
+            word = np.concatenate([x[2] for x in own])
+            order = np.argsort(word, kind="stable")
+            self.cues[size] = Cues(
+                np.array([x[0] for x in own]), np.array([x[1] for x in own]), np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1)),
+                np.repeat(np.arange(len(own)), [len(x[2]) for x in own])[order], np.concatenate([x[3] for x in own])[order].astype(float),
+            )
 
     def compare(self, item: int, window: np.ndarray) -> int:
         """The length of the common subsequence if it makes a leak, else 0."""
         passage, inside = self.passages[item], window[window >= 0]
-        n, rarest = len(passage), self.rarest[item]
-        met = int(np.isin(rarest, inside).sum())
-        if met < min(2, len(rarest)):
+        n = len(passage)
+        if np.isin(passage, inside).sum() < PARAPHRASE * n:
             return 0
         common = common_subsequence(passage.tolist(), inside.tolist())
         if n < SHORT:
             return common if common == n else 0
         if common >= VERBATIM * n:
             return common
-        answer = self.answers[item]
-        answered = np.isin(answer, inside).mean() >= 2 / 3 if len(answer) else met >= min(3, len(rarest))
+        answered = any(np.isin(some, inside).sum() >= least for some, least in self.signs[item])
         return common if common >= PARAPHRASE * n and answered else 0
 
 

@@ -219,6 +219,20 @@ def test_leaks_of_planted_passages(spark):
     assert decontaminate.find_leaks(table, decontaminate.fit(table, bench.limit(0))).count() == 0
 
 
+def test_paraphrase_without_the_rarest_words(spark):
+    rng, vocab = random.Random(5), vocabulary(5, 600)
+    items = [rng.sample(vocab, 35) + [f"rare{i}x{k}" for k in range(5)] for i in range(20)]
+    for item in items:
+        rng.shuffle(item)
+    free = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    # four of the five rarest words replaced: nine tenths of the passage stay in order
+    docs = [(i, " ".join([free(20), *(f"other{w}" if w.startswith("rare") and not w.endswith("x0") else w for w in item), free(20)])) for i, item in enumerate(items)]
+    docs += [(100 + k, free(200)) for k in range(100)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    models = decontaminate.fit(table, spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.common >= 36) for r in decontaminate.find_leaks(table, models).collect()} == {(i, i, True) for i in range(20)}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     docs, bench = shared.table(spark, SAMPLES, "documents"), shared.table(spark, SAMPLES, "benchmark")
     whole = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, decontaminate.fit(docs, bench)).collect()}
