@@ -1,14 +1,17 @@
 """Lines that repeat, exactly or within an edit, over all documents: a segment-partition edit join in SQL functions.
 
 Of equal lines the first occurrence stays, by document id and place; a line that lies within `threshold` edits of one
-that occurs earlier goes. Lines are compared without blanks at their ends; blank lines always stay.
+that occurs earlier goes. Longer lines may differ by more edits: without a threshold, the shorter line of a pair gives it
+by EDITS. Lines are compared without blanks at their ends; blank lines always stay.
 
 1. Each long enough line is cut into threshold + 1 segments: one of them must occur unchanged, near its place, in any
    line within threshold edits. Segments and the substrings to probe with are keyed by (length, segment number, text).
 2. Keys are counted before rows meet; a Bloom filter of those that two different lines share thins the second scan.
-3. Small groups of a key are compared pair by pair with a banded bit-parallel edit distance.
-4. A large group, all of whose lines share half their text at threshold 1, is cut again, into blocks of what is left, of
-   which all but one must match: so near copies in their thousands never meet pair by pair.
+3. At threshold 1, small groups of a key are compared pair by pair with a banded bit-parallel edit distance of what is
+   left beside the segment. A large group, all of whose lines share half their text, is cut again, into blocks of what is
+   left, of which all but one must match: so near copies in their thousands never meet pair by pair.
+4. At higher thresholds all lines of a key are compared pair by pair as a whole, by Spark's own banded edit distance: the
+   cost grows with the square of a key's lines.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm import shared
 from tallyspark.llm.bloom import Bloom
 
-THRESHOLD = 1
+#: Lengths from which lines may differ by so many edits: one for 25 characters, 1 to 3 in all.
+EDITS = ((0, 1), (50, 2), (75, 3))
 #: Shorter lines are compared exactly only.
 LEAST_CHARS = 20
 #: Groups of a key up to this size are compared pair by pair.
@@ -87,8 +91,19 @@ def _banded(held: Column, threshold: int, width: int, mask: int, long: Callable[
 # ---------------------------------------------------------------- candidates
 
 
-def _segments(line: Column, threshold: int) -> list[tuple[Column, int, Column, Column]]:
-    """(key, role, start, size) of each substring to look up: role 3 for a line's own segments, which also probe, 2 for other probes."""
+def _classes(threshold: int | None, least_chars: int) -> list[tuple[int, int, int | None]]:
+    """(edits, least length, length to stay below) for the shorter line of a pair."""
+    if threshold is not None:
+        return [(threshold, least_chars, None)]
+    ends = [begin for begin, _ in EDITS[1:]] + [None]
+    return [(edits, max(begin, least_chars), end) for (begin, edits), end in zip(EDITS, ends) if end is None or least_chars < end]
+
+
+def _segments(line: Column, threshold: int, below: int | None = None) -> list[tuple[Column, int, Column, Column]]:
+    """(key, role, start, size) of each substring to look up: role 3 for a line's own segments, which also probe, 2 for other probes.
+
+    below: lines of this length or more are not looked for.
+    """
     n, parts, out = F.length(line), threshold + 1, []
     for less in range(threshold + 1):
         target = n - less
@@ -99,16 +114,18 @@ def _segments(line: Column, threshold: int) -> list[tuple[Column, int, Column, C
                 key = F.xxhash64(F.lit(i), target, line.substr(begin + (shift + 1), size))
                 if threshold > 1:
                     key = F.when((begin + shift >= 0) & (begin + shift + size <= n), key)
+                if below is not None:
+                    key = F.when(target < below, key)
                 out.append((key, 2 if less or shift else 3, begin + shift, size))
     return out
 
 
-def _exploded(lines: DataFrame, threshold: int, *columns: str, places: bool = False) -> DataFrame:
+def _exploded(lines: DataFrame, threshold: int, *columns: str, below: int | None = None, places: bool = False) -> DataFrame:
     """A row for each substring: columns, key, role and, if asked for, start and size.
 
     Keys are computed in a projection of their own, which shares what they have in common.
     """
-    found = _segments(F.col("line"), threshold)
+    found = _segments(F.col("line"), threshold, below)
     fields = lambda k, r, a, n: [k.alias("key"), F.lit(r).alias("role"), *([a.alias("start"), n.alias("size")] if places else [])]
     ready = lines.select(*columns, *[F.struct(*fields(*f)).alias(f"s{k}") for k, f in enumerate(found)])
     return ready.select(*columns, F.explode(F.array(*[f"s{k}" for k in range(len(found))])).alias("s"))
@@ -148,11 +165,18 @@ def _agreeing(length: Column, agree: Callable[[Column], Column]) -> Column:
 
 
 def _later(members: DataFrame, threshold: int) -> DataFrame:
-    """h1, h2 of the later line of each pair of members of a key whose rests are within threshold edits."""
+    """h1, h2 of the later line of each pair of members of a key whose rests are within threshold edits.
+
+    Above threshold 1 the rest is the whole line, as what is left of two lines may be nearer than they are.
+    """
     a, b = members.alias("a"), members.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.role") == 3) & ((F.col("b.role") == 2) | (F.col("a.h1") < F.col("b.h1"))) & (F.col("a.h1") != F.col("b.h1"))
     pairs = a.join(b, meet).where(F.abs(F.length("a.rest") - F.length("b.rest")) <= threshold)
     pairs = pairs.select("a.h1", "a.h2", "a.first", F.col("b.h1").alias("o1"), F.col("b.h2").alias("o2"), F.col("b.first").alias("other"), F.col("a.rest").alias("x"), F.col("b.rest").alias("y"))
+    own = F.col("first") > F.col("other")
+    later = (F.when(own, F.col("h1")).otherwise(F.col("o1")).alias("h1"), F.when(own, F.col("h2")).otherwise(F.col("o2")).alias("h2"))
+    if threshold > 1:
+        return pairs.where(F.levenshtein("x", "y", threshold) >= 0).select(*later)
     least = F.least(F.length("x"), F.length("y"))
     head = _agreeing(least, lambda k: F.substring("x", F.lit(1), k) == F.substring("y", F.lit(1), k))
     tail = _agreeing(least, lambda k: _last("x", k) == _last("y", k))
@@ -163,23 +187,33 @@ def _later(members: DataFrame, threshold: int) -> DataFrame:
         same = same.where(F.col("least") - F.col("head") - F.col("tail") <= F.col("least") / STRIPS + 2)
     middle = lambda c: F.substring(c, F.col("head") + 1, F.length(c) - F.col("head") - F.col("tail"))
     near = same.where(edit_distance(middle("x"), middle("y"), threshold) <= threshold)
-    own = F.col("first") > F.col("other")
-    return near.select(F.when(own, F.col("h1")).otherwise(F.col("o1")).alias("h1"), F.when(own, F.col("h2")).otherwise(F.col("o2")).alias("h2"))
+    return near.select(*later)
 
 
-def near_lines(lines: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, pairwise: int = PAIRWISE) -> DataFrame:
-    """h1, h2 of the lines within threshold edits of one that occurs earlier; lines: h1, h2, place, line.
+def near_lines(lines: DataFrame, threshold: int | None = None, least_chars: int = LEAST_CHARS, pairwise: int = PAIRWISE) -> DataFrame:
+    """h1, h2 of the lines within threshold edits, or those of EDITS, of one that occurs earlier; lines: h1, h2, place, line.
 
     place orders occurrences. At thresholds above 1 all groups are compared pair by pair.
     """
-    long_lines = lines.where(F.length("line") >= least_chars)
-    keyed = _exploded(long_lines, threshold, "h1")
+    found = None
+    for edits, low, below in _classes(threshold, least_chars):
+        length = F.length("line")
+        some = lines.where((length >= low) & (F.lit(True) if below is None else length < below + edits))
+        own = _near_lines(some, edits, below, pairwise)
+        found = own if found is None else found.union(own)
+    return found.distinct()
+
+
+def _near_lines(long_lines: DataFrame, threshold: int, below: int | None, pairwise: int) -> DataFrame:
+    """near_lines() at one threshold, for pairs whose shorter line is shorter than below."""
+    keyed = _exploded(long_lines, threshold, "h1", below=below)
     crowded = shared.stored(_crowded(keyed.select("h1", "s.key", "s.role")), "line-keys")
     n_keys = crowded.count()
     n_bits = min(FILTER_BITS, 1 << max(16, (10 * n_keys).bit_length()))
     bloom = Bloom(crowded, "key", n_bits, 4)
-    again = _exploded(long_lines, threshold, "h1", "h2", "place", "line", places=True).where(bloom.holds(F.col("s.key")))
+    again = _exploded(long_lines, threshold, "h1", "h2", "place", "line", below=below, places=True).where(bloom.holds(F.col("s.key")))
     rest = F.concat(F.substring("line", F.lit(1), F.col("s.start")), F.col("line").substr(F.col("s.start") + F.col("s.size") + 1, F.length("line")))
+    rest = F.col("line") if threshold > 1 else rest
     exact = again.select("h1", "h2", "place", "s.key", "s.role", rest.alias("rest")).join(crowded, "key")
     found = None
     while True:
@@ -210,7 +244,7 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.select(F.struct("doc", "print", "at").alias("place"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int | None = None, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc, print (of its text), gone (map of place / 64 to the bits of lines to remove), n_gone; documents that lose lines only."""
     lines = _occurrences(docs, id_col, text_col)
     near = near_lines(lines, threshold, least_chars)
@@ -223,7 +257,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return of_doc
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int | None = None, least_chars: int = LEAST_CHARS) -> DataFrame:
     """docs with the text of what stays and two more columns, __n_lines (not blank) and __n_gone.
 
     Rows with a null id or text come back unchanged and have no part in others'. Repeated rows are one document: they

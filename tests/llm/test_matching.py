@@ -171,6 +171,24 @@ def test_lines_equal_brute_force(spark, monkeypatch, threshold, pairwise):
     assert {r.doc_id: r.text for r in got.collect()} == brute_lines(docs, threshold, 20)
 
 
+def test_longer_lines_may_differ_by_more_edits(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)).strip() for n in (30, 47, 48, 49, 50, 51, 73, 74, 75, 76, 120, 200)]
+    docs = [(d, "\n".join(edited(rng, rng.choice(base), rng.randint(0, 4)) for _ in range(4))) for d in range(60)]
+    edits = lambda n: max(e for begin, e in linededup.EDITS if n >= begin)
+    kept, seen = {}, []
+    for d, t in docs:
+        own = []
+        for x in (x.strip(linededup.BLANKS) for x in t.split("\n")):
+            if not any(distance(x, y) <= (edits(min(len(x), len(y))) if min(len(x), len(y)) >= 20 else 0) for y in seen):
+                own.append(x)
+            seen.append(x)
+        kept[d] = own
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: [x.strip(linededup.BLANKS) for x in r.text.split("\n") if x] for r in got.collect()} == kept
+    assert {edits(20), edits(60), edits(100)} == {1, 2, 3}
+
+
 def test_lines_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "same line\nother"), (2, None), (3, ""), (4, "same line"), (1, "same line\nother"), (None, "same line"), (5, "\n".join(f"l{k % 3000}" for k in range(6000)))], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.text, r["__n_lines"], r["__n_gone"]) for r in linededup.dedup_lines(docs).collect()), key=str)
