@@ -1,9 +1,9 @@
-"""Documents whose five-word shingles have a Jaccard similarity of 0.8 or more: a MinHash LSH forest, then exact checks.
+"""Documents whose five-word shingles have a Jaccard similarity of 0.8 or more: MinHash bands, then exact checks.
 
 1. Equal word sequences form one class; only its representative, the least id, goes on.
-2. Each tree of the forest orders the representatives by its own run of MinHash values. Matched prefixes begin at the
-   full depth and are shortened until a pair at the threshold meets in some tree with the target recall.
-3. Within each prefix group a forest of edges joins those whose whole signatures agree enough; its components are the
+2. Each tree is a band: representatives with the same first MinHash values of its run meet. How many values, at most DEPTH,
+   follows from the threshold and the target recall alone, not from the data; nothing is sorted into tries.
+3. Within each prefix group a spanning forest of edges joins those whose whole signatures agree enough; its components are the
    candidates. A group emits fewer edges than it has members.
 4. Within each component all pairs are checked exactly, in blocks, which emit one row per document.
 """
