@@ -24,8 +24,6 @@ WORDS = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 6
 TARGET_RECALL = 0.999
-#: Agreement of whole signatures from which a pair is a candidate: five deviations below the threshold.
-AGREEMENT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
 BUCKET_BLOCK, CHECK_BLOCK = 4096, 512
 
 
@@ -36,6 +34,11 @@ def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, targe
     return depth
 
 
+def agreement(threshold: float) -> float:
+    """Agreement of whole signatures from which a pair is a candidate: five deviations below the threshold."""
+    return threshold - 5 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
+
+
 def _factors(n: int) -> np.ndarray:
     return np.random.default_rng(7).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -91,16 +94,19 @@ def forest_edges(own: np.ndarray, least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for found, starts in shared.whole_groups(batches, 3):
-        rep = found.column("rep").to_numpy()
-        own = np.frombuffer(b"".join(found.column("signature").to_pylist()), np.uint16).reshape(len(rep), -1)
-        a, b = [], []
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
-            for j, k in forest_edges(own[s:e], AGREEMENT * own.shape[1]):
-                a.append(rep[s + j])
-                b.append(rep[s + k])
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _bucket_edges(least: float):
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, starts in shared.whole_groups(batches, 3):
+            rep = found.column("rep").to_numpy()
+            own = np.frombuffer(b"".join(found.column("signature").to_pylist()), np.uint16).reshape(len(rep), -1)
+            a, b = [], []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
+                for j, k in forest_edges(own[s:e], least * own.shape[1]):
+                    a.append(rep[s + j])
+                    b.append(rep[s + k])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return edges
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -204,7 +210,7 @@ def near_duplicates(
     members = rows.join(crowded, "prefix").join(classes.select("rep", "signature"), "rep").select("prefix", "n", "rep", "signature")
     dealt = _in_blocks(members, "prefix", BUCKET_BLOCK).select("prefix", "i", "j", "rep", "signature")
     grouped = dealt.repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j", "rep")
-    edges = shared.stored(grouped.mapInArrow(_bucket_edges, "a long, b long").where("a != b").distinct(), "neardup-edges")
+    edges = shared.stored(grouped.mapInArrow(_bucket_edges(agreement(threshold)), "a long, b long").where("a != b").distinct(), "neardup-edges")
     parts = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     wanted = parts.join(sizes, "part").join(classes.select("rep", "print1"), "rep")

@@ -76,6 +76,20 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_classes(docs)
 
 
+def test_lower_threshold_equals_brute_force(spark):
+    rng, vocab = random.Random(9), vocabulary(9)
+    docs = []
+    for base in range(60):
+        own = [rng.choice(vocab) for _ in range(150)]
+        # a changed word every 27 words takes five shingles: a similarity between 0.5 and 0.8
+        docs += [(2 * base, " ".join(own)), (2 * base + 1, " ".join("zz" if k % 27 == 13 else w for k, w in enumerate(own)))]
+        docs += [(1000 + base, " ".join([*own[:100], *(rng.choice(vocab) for _ in range(50))]))]
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in docs}
+    links = {a: sum(a != b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.45 for b in sets) for a in sets}
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), threshold=0.45)
+    assert {r.doc_id: r.n_links for r in got.collect()} == links and min(links.values()) >= 0 < max(links.values())
+
+
 def test_stage_keeps_one_of_each(spark):
     docs = spark.createDataFrame([(5, "a b c d e f", 1), (3, "A b c d e f.", 2), (3, "A b c d e f.", 2), (7, "other words", 3), (None, "a b", 4), (8, None, 5), (9, "", 6)], "doc_id long, text string, extra int")
     got = neardup.drop_near_duplicates(docs)
