@@ -74,8 +74,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, v in zip(has.tolist(), found):
                 held[k] = v.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(full[:, 0], mask=none), pa.array(full[:, 1], mask=none), pa.array(held, pa.binary())],
-                ["doc_id", "print1", "print2", "signature"],
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(full[:, 0], mask=none), pa.array(full[:, 1], mask=none), pa.array(held, pa.binary())],
+                ["doc_id", "text_print", "print1", "print2", "signature"],
             )
 
 
@@ -147,10 +147,11 @@ def _check(threshold: float, size: int):
                 full[has] = own[:, 0]
                 prints.append(full.view(np.int64))
             prints = np.concatenate(prints)
-            out: list[tuple[int, int, int, bool]] = []
+            out: list[tuple[int, int, int, int, int, bool]] = []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
-                # a repeated id may bring rows twice or other texts
-                at = [k for k in range(s, e) if prints[k] == wanted[k] and (k == s or rep[k] != rep[k - 1] or prints[k - 1] != wanted[k - 1])]
+                # a repeated id may bring rows twice or other texts; rows come in order of id and print
+                at = [k for k in range(s, e) if prints[k] == wanted[k]]
+                at = [k for n, k in enumerate(at) if not n or (rep[k], wanted[k]) != (rep[at[n - 1]], wanted[at[n - 1]])]
                 own = [sets[k] for k in at]
                 if not own:
                     continue
@@ -167,9 +168,9 @@ def _check(threshold: float, size: int):
                     label = new
                 if part[s]:  # pairs within one block are counted where that block meets itself
                     near &= salt[at][:, None] != salt[at][None, :]
-                out += zip(rep[at].tolist(), rep[at][label].tolist(), near.sum(1).tolist(), many[at].tolist())
-            names = ("rep", "least", "links", "open")
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names)
+                out += zip(rep[at].tolist(), wanted[at].tolist(), rep[at][label].tolist(), wanted[at][label].tolist(), near.sum(1).tolist(), many[at].tolist())
+            names = ("rep", "print1", "least", "least_print", "links", "open")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (*[pa.int64()] * 5, pa.bool_()))], names)
 
     return check
 
@@ -185,7 +186,7 @@ def _in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, prints: bool = False,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, copy_of, n_copies.
 
@@ -193,10 +194,13 @@ def near_duplicates(
     least id with the same word sequence and n_copies how many have it; n_links: to how many other word sequences it
     has such a pair. A text of one to four words is one shingle. Null and empty texts have no shingles: a class of
     their own and no links. Repeated rows are copies of each other; a null id has null class and no part in others'.
+    prints: further columns tell rows of one id apart: text_print and word_print, hashes of the text and its word sequence,
+    and first, whether the word sequence is the first of its class.
     """
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = shared.stored(chosen.mapInArrow(_sign, "doc_id long, print1 long, print2 long, signature binary"), "neardup-signed")
+    text_print = F.xxhash64(F.coalesce("text", F.lit(""))) if prints else F.lit(0).cast("long")
+    signed = shared.stored(chosen.withColumn("text_print", text_print).mapInArrow(_sign, "doc_id long, text_print long, print1 long, print2 long, signature binary"), "neardup-signed")
     whole = signed.where(F.col("doc_id").isNotNull() & F.col("print1").isNotNull())
     classes = shared.stored(
         whole.groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("signature").alias("signature")),
@@ -210,37 +214,49 @@ def near_duplicates(
     members = rows.join(crowded, "prefix").join(classes.select("rep", "signature"), "rep").select("prefix", "n", "rep", "signature")
     dealt = _in_blocks(members, "prefix", BUCKET_BLOCK).select("prefix", "i", "j", "rep", "signature")
     grouped = dealt.repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j", "rep")
-    edges = shared.stored(grouped.mapInArrow(_bucket_edges(agreement(threshold)), "a long, b long").where("a != b").distinct(), "neardup-edges")
-    parts = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    edges = shared.stored(grouped.mapInArrow(_bucket_edges(agreement(threshold)), "a long, b long").distinct(), "neardup-edges")
+    parts = connected_components(edges.where("a != b")).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    # near copies of one id alone
+    alone = edges.where("a = b").select(F.col("a").alias("rep"), F.col("a").alias("part")).distinct()
+    parts = parts.union(alone.join(parts.select("rep"), "rep", "left_anti"))
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     wanted = parts.join(sizes, "part").join(classes.select("rep", "print1"), "rep")
     texts = chosen.withColumnRenamed("doc_id", "rep").join(wanted, "rep")
     blocks = _in_blocks(texts, "part", CHECK_BLOCK).select("part", "i", "j", "rep", "print1", "salt", "blocks", "text")
-    sorted_blocks = blocks.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "rep")
-    checked = shared.stored(sorted_blocks.mapInArrow(_check(threshold, WORDS), "rep long, least long, links long, open boolean"), "neardup-checked")
-    labels = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
+    sorted_blocks = blocks.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "rep", "print1")
+    checked = shared.stored(sorted_blocks.mapInArrow(_check(threshold, WORDS), "rep long, print1 long, least long, least_print long, links long, open boolean"), "neardup-checked")
+    labels = checked.groupBy("rep", "print1").agg(F.sum("links").alias("links"), F.min(F.struct("least", "least_print")).alias("low"))
+    labels = labels.select("rep", "print1", "links", "low.least", "low.least_print")
     still = checked.where("open and rep != least")
     if not still.isEmpty():
         joined = connected_components(still.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-        labels = labels.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "links", F.coalesce("component", "least").alias("least"))
-    named = classes.select("print1", "print2", "rep", "copies").join(labels, "rep", "left")
-    found = signed.select("doc_id", "print1", "print2").join(named, ["print1", "print2"], "left")
+        labels = labels.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "print1", "links", F.coalesce("component", "least").alias("least"), F.expr("if(component < least, null, least_print)").alias("least_print"))
+    named = classes.select("print1", "print2", "rep", "copies").join(labels, ["rep", "print1"], "left")
+    found = signed.select("doc_id", "text_print", "print1", "print2").join(named, ["print1", "print2"], "left")
     own = F.col("doc_id")
+    first = (own.isNull()) | ((own == F.coalesce("least", "rep", own)) & F.coalesce(F.col("least_print") == F.col("print1"), F.lit(True)))
     return found.select(
         own, F.when(own.isNotNull(), F.coalesce("least", "rep", own)).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.when(own.isNotNull(), F.coalesce("rep", own)).alias("copy_of"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        *(["text_print", F.col("print1").alias("word_print"), first.alias("first")] if prints else []),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, one for each class: that of the least id; of repeated rows one stays."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(gone, id_col, "left_anti")
-    turn = "__turn"
-    while turn in docs.columns:
-        turn += "_"
-    ranked = left.withColumn(turn, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
+    """The rows of docs, with their columns, one for each class: that of the least id; of repeated rows one stays.
+
+    Rows of one id with different texts are told apart: each goes or stays by its own text.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, prints=True)
+    own, turn = "__print", "__turn"
+    while own in docs.columns or turn in docs.columns:
+        own, turn = own + "_", turn + "_"
+    first = found.where("first and doc_id is not null").groupBy("doc_id", "text_print").agg(F.any_value("word_print").alias(turn))
+    first = first.select(F.col("doc_id").alias(own + "id"), F.col("text_print").alias(own), turn)
+    text_print = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    left = docs.join(first, (F.col(id_col).cast("long") == F.col(own + "id")) & (text_print == F.col(own)), "left")
+    left = left.where(F.col(own).isNotNull() | F.col(id_col).isNull())
+    ranked = left.withColumn(turn, F.row_number().over(Window.partitionBy(id_col, turn).orderBy(own)))
     return ranked.where((F.col(turn) == 1) | F.col(id_col).isNull()).select(*docs.columns)
 
 

@@ -97,6 +97,13 @@ def test_stage_keeps_one_of_each(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_stage_tells_rows_of_one_id_apart(spark):
+    long = " ".join(f"w{k}" for k in range(100))
+    docs = spark.createDataFrame([(3, long, 1), (5, f"{long} more", 2), (5, "a clean text of other words", 3), (5, "and one more clean text", 4), (5, "and one more clean text", 4), (7, "x " + long[::-1], 5), (7, long[::-1], 5), (7, long[::-1].upper(), 5)], "doc_id long, text string, extra int")
+    assert sorted(r.extra for r in neardup.drop_near_duplicates(docs).collect()) == [1, 3, 4, 5]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.near_duplicates(docs.where("doc_id < 7")).collect()) == [(3, 3, 1), (5, 3, 1), (5, 5, 0), (5, 5, 0), (5, 5, 0)]
+
+
 def test_recall_of_the_forest():
     depth = neardup.prefix_depth(0.8)
     assert 1 - (1 - 0.8**depth) ** neardup.TREES >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** neardup.TREES
