@@ -1,10 +1,11 @@
-"""Documents whose five-word shingles have a Jaccard similarity of 0.8 or more: MinHash bands, then exact checks.
+"""Documents whose five-word shingles have a Jaccard similarity of 0.8 or more: a MinHash LSH forest, then exact checks.
 
 1. Equal word sequences form one class; only its representative, the least id, goes on.
-2. Each tree is a band: representatives with the same first MinHash values of its run meet. How many values, at most DEPTH,
-   follows from the threshold and the target recall alone, not from the data; nothing is sorted into tries.
-3. Within each prefix group a spanning forest of edges joins those whose whole signatures agree enough; its components are the
-   candidates. A group emits fewer edges than it has members.
+2. Each tree is a sorted prefix trie of the representatives' MinHash values: those that share a prefix meet, in the order of
+   what follows it. Matching begins with whole prefixes, of DEPTH values. They are shortened as long as nothing has matched
+   or the least similar matches so far are such that pairs like them are found with less than the target recall.
+3. Under each trie node a spanning forest of edges joins those whose whole signatures agree enough; its components are the
+   candidates. A node emits fewer edges than it has members.
 4. Within each component all pairs are checked exactly, in blocks, which emit one row per document.
 """
 
@@ -18,13 +19,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import shared
+from tallyspark.llm.bloom import Bloom
 from tallyspark.llm.graph import connected_components
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 20, 6
+TREES, DEPTH = 20, 8
 TARGET_RECALL = 0.999
 BUCKET_BLOCK, CHECK_BLOCK = 4096, 512
+#: Matches are looked at in classes of similarity of this width.
+STRATUM = 0.05
+#: The filter ahead of the texts' join takes so many bits at most; beyond, it only lets more texts through.
+FILTER_BITS = 1 << 26
 
 
 def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
@@ -34,6 +40,21 @@ def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, targe
     return depth
 
 
+def shortened(matches: dict[int, int], depth: int, threshold: float, target: float = TARGET_RECALL) -> int:
+    """The depth to go on to from `depth`, or the same if no more is needed.
+
+    matches: how many matches have been found at each number of agreeing values. Their least similar class, but no less
+    than the threshold, must be found with the target recall; without matches the prefix loses one value.
+    """
+    floor = prefix_depth(threshold, target=target)
+    if depth <= floor:
+        return depth
+    if not matches:
+        return depth - 1
+    low = min(matches) / (TREES * DEPTH)
+    return min(depth, max(floor, prefix_depth(max(threshold, low // STRATUM * STRATUM), target=target)))
+
+
 def agreement(threshold: float) -> float:
     """Agreement of whole signatures from which a pair is a candidate: five deviations below the threshold."""
     return threshold - 5 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
@@ -44,21 +65,18 @@ def _factors(n: int) -> np.ndarray:
 
 
 def signatures(column: pa.LargeStringArray, size: int = WORDS, n: int = TREES * DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which texts have words, two 64-bit hashes of each one's word sequence, and its MinHash values (16 bits each)."""
+    """Which texts have words, a 128-bit hash of each one's word sequence, and its MinHash values (16 bits each)."""
     words = shared.Words(column)
     h = words.hashes()
     has = np.flatnonzero(words.count)
     if not len(has):
         return has, np.zeros((0, 2), np.uint64), np.zeros((0, n), np.uint16)
-    first = words.first[has]
-    place = (np.arange(len(h)) - words.first[words.doc]).astype(np.uint64)
-    print_of = [np.add.reduceat(shared.mix(h * f + place * g), first) for f, g in _factors(4).reshape(2, 2)]
     hashed, row = shared.shingles(words, h, size)
     starts = np.searchsorted(row, has)
     out = np.zeros((len(has), n), np.uint16)
     for k, f in enumerate(_factors(n)):
         out[:, k] = np.minimum.reduceat(((hashed * f) >> np.uint64(32)).astype(np.uint32), starts) & 0xFFFF
-    return has, np.stack(print_of, 1), out
+    return has, words.prints()[1], out
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +112,7 @@ def forest_edges(own: np.ndarray, least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def _bucket_edges(least: float):
+def _node_edges(least: float):
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, starts in shared.whole_groups(batches, 3):
             rep = found.column("rep").to_numpy()
@@ -102,13 +120,39 @@ def _bucket_edges(least: float):
             a, b = [], []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
                 for j, k in forest_edges(own[s:e], least * own.shape[1]):
-                    a.append(rep[s + j])
-                    b.append(rep[s + k])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    a.append(s + j)
+                    b.append(s + k)
+            agree = (own[a] == own[b]).sum(1) if a else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64()), "agree": pa.array(agree, pa.int32())})
 
     return edges
 
 
+def _matches(classes: DataFrame, depth: int, least: float) -> DataFrame:
+    """a, b, agree: the forests' edges at all trie nodes of one depth."""
+    values = [F.substring("signature", t * 2 * DEPTH + 1, 2 * DEPTH) for t in range(TREES)]
+    paths = F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring(v, 1, 2 * depth)).alias("node"), F.substring(v, 2 * depth + 1, 2 * DEPTH).alias("below")) for t, v in enumerate(values)])
+    rows = classes.select("rep", F.explode(paths).alias("path")).select("rep", "path.*")
+    crowded = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    members = rows.join(crowded, "node").join(classes.select("rep", "signature"), "rep").select("node", "n", "rep", "below", "signature")
+    dealt = _in_blocks(members, "node", BUCKET_BLOCK).select("node", "i", "j", "below", "rep", "signature")
+    tries = dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "below", "rep")
+    return shared.stored(tries.mapInArrow(_node_edges(least), "a long, b long, agree int").distinct(), "neardup-edges")
+
+
+def _candidates(classes: DataFrame, threshold: float, target: float) -> DataFrame:
+    """Edges between representatives whose signatures agree enough, descending in the tries as far as the target asks for."""
+    edges, depth = None, DEPTH
+    while True:
+        found = _matches(classes, depth, agreement(threshold))
+        edges = found if edges is None else edges.union(found)
+        counts = {r["agree"]: r["n"] for r in found.where("a != b").groupBy("agree").agg(F.count("*").alias("n")).collect()}  # a row per agreement
+        further = shortened(counts, depth, threshold, target)
+        if further == depth:
+            return edges.select("a", "b").distinct()
+        depth = further
+
+
 def common(sets: list[np.ndarray]) -> np.ndarray:
     """How many values each two of the sets share; values in one set only are left out first."""
     n = len(sets)
@@ -142,7 +186,7 @@ def _check(threshold: float, size: int):
                 hashed, row = shared.shingles(words, words.hashes(), size)
                 cuts = np.searchsorted(row, np.arange(b - a + 1))
                 sets += [np.unique(hashed[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
-                has, own, _ = signatures(column.slice(a, b - a), size, 0)
+                has, own = words.prints()
                 full = np.zeros(b - a, np.uint64)
                 full[has] = own[:, 0]
                 prints.append(full.view(np.int64))
@@ -185,6 +229,15 @@ def _in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     return met.select(*first, *[c for c in met.columns if c not in first])
 
 
+def _filter(keys: DataFrame, key: str) -> Bloom:
+    return Bloom(keys, key, min(FILTER_BITS, 1 << max(16, (10 * keys.count()).bit_length())), 5)
+
+
+def _thinned(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows without most of those whose key is not among keys, so that few whole texts are shuffled to be joined."""
+    return rows.where(_filter(keys, key).holds(F.col(key)))
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, prints: bool = False,
 ) -> DataFrame:
@@ -206,22 +259,15 @@ def near_duplicates(
         whole.groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("signature").alias("signature")),
         "neardup-classes",
     )
-    depth = prefix_depth(threshold, target=target_recall)
-    width = 2 * DEPTH
-    prefixes = F.array(*[F.xxhash64(F.lit(t), F.substring("signature", t * width + 1, 2 * depth)) for t in range(TREES)])
-    rows = classes.select("rep", F.explode(prefixes).alias("prefix"))
-    crowded = rows.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-    members = rows.join(crowded, "prefix").join(classes.select("rep", "signature"), "rep").select("prefix", "n", "rep", "signature")
-    dealt = _in_blocks(members, "prefix", BUCKET_BLOCK).select("prefix", "i", "j", "rep", "signature")
-    grouped = dealt.repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j", "rep")
-    edges = shared.stored(grouped.mapInArrow(_bucket_edges(agreement(threshold)), "a long, b long").distinct(), "neardup-edges")
+    edges = _candidates(classes, threshold, target_recall)
     parts = connected_components(edges.where("a != b")).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     # near copies of one id alone
     alone = edges.where("a = b").select(F.col("a").alias("rep"), F.col("a").alias("part")).distinct()
     parts = parts.union(alone.join(parts.select("rep"), "rep", "left_anti"))
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     wanted = parts.join(sizes, "part").join(classes.select("rep", "print1"), "rep")
-    texts = chosen.withColumnRenamed("doc_id", "rep").join(wanted, "rep")
+    wanted = shared.stored(wanted, "neardup-wanted")
+    texts = _thinned(chosen.withColumnRenamed("doc_id", "rep"), "rep", wanted).join(wanted, "rep")
     blocks = _in_blocks(texts, "part", CHECK_BLOCK).select("part", "i", "j", "rep", "print1", "salt", "blocks", "text")
     sorted_blocks = blocks.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "rep", "print1")
     checked = shared.stored(sorted_blocks.mapInArrow(_check(threshold, WORDS), "rep long, print1 long, least long, least_print long, links long, open boolean"), "neardup-checked")
@@ -245,21 +291,29 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, one for each class: that of the least id; of repeated rows one stays.
 
-    Rows of one id with different texts are told apart: each goes or stays by its own text.
+    Rows of one id with different texts are told apart: each goes or stays by its own text. Rows with a null id stay. Only
+    rows whose id has something to lose are shuffled, and those that a filter takes for such.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, prints=True)
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, prints=True).where("doc_id is not null")
     own, turn = "__print", "__turn"
-    while own in docs.columns or turn in docs.columns:
+    while {own, own + "id", turn} & {c.lower() for c in docs.columns}:
         own, turn = own + "_", turn + "_"
-    first = found.where("first and doc_id is not null").groupBy("doc_id", "text_print").agg(F.any_value("word_print").alias(turn))
-    first = first.select(F.col("doc_id").alias(own + "id"), F.col("text_print").alias(own), turn)
+    rows = shared.stored(found.select("doc_id", "text_print", "word_print", "first"), "neardup-found")
+    losing = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("first").alias("stays")).where("n > 1 or not stays").select("doc_id")
+    losing = shared.stored(losing, "neardup-losing")
+    kept = rows.join(losing, "doc_id", "left_semi").where("first").groupBy("doc_id", "text_print").agg(F.any_value("word_print").alias(turn))
+    kept = kept.select(F.col("doc_id").alias(own + "id"), F.col("text_print").alias(own), turn)
+    doc_id = F.col(id_col).cast("long")
+    loses = F.coalesce(_filter(losing, "doc_id").holds(doc_id), F.lit(False))
+    safe, judged = docs.where(~loses), docs.where(loses)
     text_print = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    left = docs.join(first, (F.col(id_col).cast("long") == F.col(own + "id")) & (text_print == F.col(own)), "left")
-    left = left.where(F.col(own).isNotNull() | F.col(id_col).isNull())
-    ranked = left.withColumn(turn, F.row_number().over(Window.partitionBy(id_col, turn).orderBy(own)))
-    return ranked.where((F.col(turn) == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    others = judged.join(losing.select(F.col("doc_id").alias(own + "id")), doc_id == F.col(own + "id"), "left_anti")
+    met = judged.join(kept, (doc_id == F.col(own + "id")) & (text_print == F.col(own)))
+    ranked = met.withColumn(turn, F.row_number().over(Window.partitionBy(own + "id", turn).orderBy(own)))
+    return safe.union(others).union(ranked.where(F.col(turn) == 1).select(*docs.columns))
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate classes and link counts of all documents."""
+    """Near-duplicate classes and link counts of all documents; odd rows as near_duplicates() says. Texts of any length are
+    read whole; an empty table gives an empty one; other columns are ignored."""
     return near_duplicates(shared.table(spark, sf_dir, "documents"))

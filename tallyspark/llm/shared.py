@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one, but only if
+    the driver is the only machine; elsewhere that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         option = context._jsc.sc().getCheckpointDir()
         found = option.get() if option.isDefined() else None
         if not found:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="tallyspark-")
             context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -56,9 +60,10 @@ _SPACE = pa.scalar(" ", pa.large_string())
 _EMPTY = pa.scalar("", pa.large_string())
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-#: The multipliers of the splitmix64 finaliser and of the rolling hash.
-_MIX1, _MIX2, _ROLL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The multipliers of the splitmix64 finaliser and of its chain.
+_MIX1, _MIX2, _ROLL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+#: Longer runs of bytes are hashed one by one.
+LONG_RUN = 128
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -95,14 +100,34 @@ def raw(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] :], offsets - offsets[0]
 
 
-def rolling(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base modulo 2**64 and their inverses, n of each."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_ROLL, pow(_ROLL, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def chunks(data: np.ndarray) -> np.ndarray:
+    """The bytes as little-endian 64-bit numbers, with room for chunk() to read beyond the end."""
+    held = np.zeros((len(data) >> 3) + 3, np.uint64)
+    held.view(np.uint8)[: len(data)] = data
+    return held
+
+
+def chunk(held: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to 8 bytes from each place as a number; of fewer than 8 left (but 1 or more) only those."""
+    k, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    value = (held[k] >> shift) | ((held[k + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+    spare = ((8 - np.minimum(left, 8)) << 3).astype(np.uint64)
+    return value & (np.uint64(0xFFFFFFFFFFFFFFFF) >> spare)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, each of one byte or more: chained over 8 bytes at a time, mixed after each."""
+    held, size = chunks(data), end - start
+    h = mix(chunk(held, start, size) ^ mix(size.astype(np.uint64)))
+    rest = np.flatnonzero((size > 8) & (size <= LONG_RUN))
+    for done in range(8, LONG_RUN, 8):
+        if not len(rest):
+            break
+        h[rest] = mix(h[rest] * _ROLL ^ chunk(held, start[rest] + done, size[rest] - done))
+        rest = rest[size[rest] > done + 8]
+    for k in np.flatnonzero(size > LONG_RUN).tolist():
+        h[k] = np.frombuffer(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return h
 
 
 class Words:
@@ -125,12 +150,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = rolling(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data + np.uint64(1)) * up[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        return run_hashes(self.data, self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
+
+    def prints(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that have words, and 128 bits (as two columns) of a cryptographic hash of each one's word sequence."""
+        inside = _WORD_BYTE[self.data]
+        keep = inside.copy()
+        keep[1:] |= inside[:-1]  # each word with one byte behind it
+        joined = np.where(inside, self.data, np.uint8(32))[keep].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(keep)])[self.offsets].tolist()
+        has = np.flatnonzero(self.count)
+        found = b"".join([hashlib.blake2b(joined[cuts[k] : cuts[k + 1]], digest_size=16).digest() for k in has.tolist()])
+        return has, np.frombuffer(found, np.uint64).reshape(-1, 2)
 
 
 def shingles(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

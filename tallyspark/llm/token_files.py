@@ -161,8 +161,8 @@ class Encoder:
 
     Such a piece has the same ids alone as within its text, as this kind of tokenizer drops white space before it
     cuts words; so a text's ids are those of its pieces. A full stop or comma after a letter is cut off too, and ASCII
-    is lowered, as the tokenizer does both itself. Only pieces that are not in the memory (one per slot, by 64-bit
-    hash) go to the tokenizer; the memory is emptied when it holds `keep` ids.
+    is lowered, as the tokenizer does both itself. Only pieces that are not in the memory go to the tokenizer: of up to 16
+    bytes one per slot, compared by all their bytes, longer ones in a dictionary. It is emptied when it holds `keep` ids.
     """
 
     SLOT_BITS = 20
@@ -184,8 +184,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(1 << self.SLOT_BITS, np.uint64)
-        self.at, self.length = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        self.keys = np.zeros((3, 1 << self.SLOT_BITS), np.uint64)  # the first and second 8 bytes, and how many in all
+        self.at, self.length = np.zeros(1 << self.SLOT_BITS, np.int64), np.zeros(1 << self.SLOT_BITS, np.int64)
+        self.long: dict[bytes, tuple[int, int]] = {}
         self.arena, self.used = np.zeros(1 << 20, "<u4"), 0
 
     def _whole(self, text: str) -> list[int]:
@@ -231,30 +232,41 @@ class Encoder:
         tail = ((last == 46) | (last == 44)) & (end - start > 1) & letter & (odd[np.maximum(end - 1, 0)] == odd[start])
         stop = end - tail
         low = _LOWER[data]
-        up, down = shared.rolling(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((low + np.uint64(1)) * up[:-1], out=total[1:])
-        h = shared.mix((total[stop] - total[start]) * down[start])
-        slot = (h >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
-        hit = self.keys[slot] == h
+        size = stop - start
+        short = size <= 16
+        held = shared.chunks(low)
+        key = np.zeros((3, len(start)), np.uint64)
+        key[0], key[2] = shared.chunk(held, start, size), size
+        two = np.flatnonzero(size > 8)
+        key[1, two] = shared.chunk(held, start[two] + 8, size[two] - 8)
+        slot = (shared.mix(shared.mix(key[0] + key[2]) ^ key[1]) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
         special = np.flatnonzero(data == 60)  # "<" may begin a special token, whose case counts
         if len(special):
-            hit[np.searchsorted(start, special, "right") - 1] = False
+            short[np.searchsorted(start, special, "right") - 1] = False
+        hit = short & (self.keys[:, slot] == key).all(0)
         at, length = self.at[slot], self.length[slot]
-        miss = np.flatnonzero(~hit)
+        miss = np.flatnonzero(short & ~hit)
         if len(miss):
-            new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            own = miss[where]
-            held, exact = low.tobytes(), data.tobytes()
-            pieces = [held[a:b].decode("utf-8", "replace") if b"<" not in held[a:b] else None for a, b in zip(start[own].tolist(), stop[own].tolist())]
-            new_at, new_length = self._learn([p or "" for p in pieces])
-            at[miss], length[miss] = new_at[back], new_length[back]
-            keep = np.fromiter((p is not None for p in pieces), bool, len(pieces))
-            self.keys[slot[own[keep]]] = new[keep]
-            self.at[slot[own[keep]]], self.length[slot[own[keep]]] = new_at[keep], new_length[keep]
-            bare = miss[~keep[back]]
-            if len(bare):
-                at[bare], length[bare] = self._learn([exact[a:b].decode("utf-8", "replace") for a, b in zip(start[bare].tolist(), stop[bare].tolist())])
+            order = miss[np.lexsort(key[:, miss])]
+            new = np.ones(len(order), bool)
+            new[1:] = (key[:, order[1:]] != key[:, order[:-1]]).any(0)
+            own, lowered = order[new], low.tobytes()
+            new_at, new_length = self._learn([lowered[a:b].decode("utf-8", "replace") for a, b in zip(start[own].tolist(), stop[own].tolist())])
+            back = np.cumsum(new) - 1
+            at[order], length[order] = new_at[back], new_length[back]
+            slots, one = np.unique(slot[own], return_index=True)  # of pieces that want the same slot one gets it
+            self.keys[:, slots] = key[:, own[one]]
+            self.at[slots], self.length[slots] = new_at[one], new_length[one]
+        others = np.flatnonzero(~short).tolist()
+        if others:
+            lowered, exact = low.tobytes(), data.tobytes()
+            pieces = [exact[a:b] if 60 in exact[a:b] else lowered[a:b] for a, b in zip(start[others].tolist(), stop[others].tolist())]
+            unknown = list({p for p in pieces if p not in self.long})
+            if unknown:
+                where = self._learn([p.decode("utf-8", "replace") for p in unknown])
+                self.long.update(zip(unknown, zip(*(w.tolist() for w in where))))
+            places = np.array([self.long[p] for p in pieces])
+            at[others], length[others] = places[:, 0], places[:, 1]
         # where each piece's ids go: after those of all pieces before it and one end id for each text before it
         ends = np.cumsum(length + tail)
         doc = np.repeat(np.arange(len(column)), np.diff(first))

@@ -69,6 +69,18 @@ def test_encoder_forgets_and_stays_exact():
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and lengths.tolist() == [len(ids)]
 
 
+def test_words_that_a_linear_hash_confuses():
+    morse = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    texts = [morse, other, morse[:16], other[:16], morse[:17], other[:17], f"{morse} {other}", "abcdefgh abcdefg\x00 abcdefgh\x00", "x<y X<Y x<|endoftext|>"]
+    encoder, tokenizer = token_files.Encoder(PATH), Tokenizer.from_file(PATH)
+    for _ in range(2):  # from the tokenizer, then from memory
+        ids, lengths = encoder.encode(pa.array(texts, pa.large_string()), None)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    hashes = shared.Words(pa.array(texts[:6], pa.large_string())).hashes()
+    assert len(set(hashes.tolist())) == 6
+
+
 # ---------------------------------------------------------------- packing
 
 

@@ -107,6 +107,41 @@ def test_stage_tells_rows_of_one_id_apart(spark):
 def test_recall_of_the_forest():
     depth = neardup.prefix_depth(0.8)
     assert 1 - (1 - 0.8**depth) ** neardup.TREES >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** neardup.TREES
+    n, top = neardup.TREES * neardup.DEPTH, neardup.DEPTH
+    assert neardup.shortened({}, top, 0.8) == top - 1  # nothing found yet
+    assert neardup.shortened({n: 3}, top, 0.8) == top  # copies alone are found by whole prefixes
+    assert neardup.shortened({n: 90, int(0.87 * n): 1}, top, 0.8) == neardup.prefix_depth(0.85) < top
+    assert neardup.shortened({n: 90, int(0.7 * n): 1}, top, 0.8) == depth == neardup.shortened({}, depth, 0.8)
+
+
+def test_descent_finds_what_the_shortest_prefixes_find(spark):
+    rng, vocab = random.Random(11), vocabulary(11)
+    base = [[rng.choice(vocab) for _ in range(120)] for _ in range(40)]
+    docs = [(2 * k + j, " ".join(varied(rng, " ".join(t), 0.02 * j).split())) for k, t in enumerate(base) for j in range(2)]
+    got = {r.doc_id: r.n_links for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: v[1] for d, v in brute_classes(docs).items()}
+
+
+def test_texts_of_colliding_words_are_told_apart(spark):
+    morse = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    got = neardup.near_duplicates(spark.createDataFrame([(1, morse), (2, other), (3, morse + "!")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_links_near_the_threshold(spark, threshold):
+    rng = random.Random(13)
+    docs = []
+    for k in range(150):  # n + extra shingles, of which n are shared
+        n = rng.randint(60, 120)
+        own = [f"w{k}x{i}" for i in range(n)]
+        more = int(n * (1 / threshold - 1) * rng.uniform(0.85, 1.15))
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own, *(f"v{k}x{i}" for i in range(more))]))]
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in docs}
+    want = {d: int(len(sets[d] & sets[d ^ 1]) / len(sets[d] | sets[d ^ 1]) >= threshold) for d in sets}
+    got = {r.doc_id: r.n_links for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), threshold=threshold).collect()}
+    assert 20 < sum(want.values()) < 280 and sum(got[d] != want[d] for d in want) == 0
 
 
 def test_components(spark):
