@@ -4,10 +4,10 @@
 2. The latent space comes from a randomised SVD of the benchmark's TF-IDF passages, whose products are summed over
    partitions.
 3. Documents are cut into overlapping windows, of a length for each class of passage lengths, so that any passage lies
-   whole in one of them. Pairs of a window and a passage that share too few words for step 4, by a bound that it implies,
-   are passed over; the other windows are folded into the latent space and compared with their passages.
-4. A window near enough to a passage is a leak if their longest common subsequence covers most of the passage or, for
-   paraphrases, a good part of it together with the answer: the benchmark's, or else the passage's rarest words.
+   whole in one of them. All windows are folded into the latent space and compared with all passages of their class: those
+   whose cosine reaches COSINE, and that hold enough of the passage's latent weight, are candidates.
+4. A candidate is a leak if its longest common subsequence with the passage covers most of the passage or, for paraphrases, a
+   good part of it, and there with the answer, where the benchmark has answers.
 """
 
 from __future__ import annotations
@@ -22,19 +22,21 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import shared
 
-#: Benchmark passages that one model holds; a larger benchmark is taken in so many blocks, each in a pass of its own.
-BLOCK_ITEMS = 1000
+#: Passages of one latent space, and characters of the passages that are looked for in one pass over the documents.
+BLOCK_ITEMS, LOT_CHARS = 256, 1 << 20
 RANK, EXTRA, POWERS = 128, 10, 2
-COSINE = 0.4
-VERBATIM, PARAPHRASE = 0.7, 0.5
-#: Passages of fewer words must be there in full.
-SHORT = 8
-#: Where a passage has no answer, two of its three rarest words or three of its five rarest stand in for it.
-STAND_INS = ((3, 2), (5, 3))
-#: The share of a passage's positions, beyond those a leak may lack, whose words are counted in each window.
-CUES = 0.2
-#: Cells of the table of counts that is held at a time.
-CELLS = 1 << 20
+#: A candidate's cosine, in which the window's whole TF-IDF norm counts, and its share of the passage's latent weight; a
+#: share of FULL is enough alone.
+COSINE, SHARE, FULL = 0.25, 0.3, 0.8
+#: Parts of a passage that a leak's common subsequence covers: alone, and together with the answer if there is one.
+VERBATIM, PARAPHRASE = 0.7, 0.45
+#: A paraphrase has so many words in common at least. Passages of fewer than SHORT words must be there in full.
+LEAST_COMMON, SHORT = 6, 8
+#: The part of an answer's words that show it.
+ANSWERED = 2 / 3
+#: Blocks of words whose latent sums are held at a time.
+CHUNK = 1 << 13
+FIELDS = ("item_id", "cosine", "common", "words", "first_word")
 KIND = "array<struct<item_id:bigint,cosine:double,common:int,words:int,first_word:int>>"
 
 
@@ -53,32 +55,22 @@ def common_subsequence(passage: list[int], window: list[int]) -> int:
 
 
 def length_class(n: int) -> int:
-    """The power of two, 16 at least, up to which a class of passage lengths goes."""
-    return max(16, 1 << (n - 1).bit_length())
-
-
-@dataclass
-class Cues:
-    """Words of which a leak has some: cue k asks for words that weigh need[k] together, for passage item[k]."""
-
-    item: np.ndarray
-    need: np.ndarray
-    first: np.ndarray  # where each word of the vocabulary begins in the next two
-    cue: np.ndarray
-    weight: np.ndarray
+    """The power of two, 4 at least, up to which a class of passage lengths goes."""
+    return max(4, 1 << (n - 1).bit_length())
 
 
 @dataclass
 class Model:
+    """A latent space of some passages."""
+
     vocabulary: np.ndarray  # sorted hashes of words
     idf: np.ndarray
     items: np.ndarray  # ids
     passages: list[np.ndarray]  # word numbers
-    answers: list[np.ndarray]  # empty where the benchmark has none
-    signs: list[list[tuple[np.ndarray, int]]] = field(default_factory=list)  # words and how many of them show the answer
-    fold: np.ndarray | None = None  # vocabulary x rank, with idf
+    answers: list[np.ndarray]  # the same; empty where the benchmark has none
+    fold: np.ndarray | None = None  # vocabulary x (rank + 1): latent weights, with idf, and the idf's square
     latent: np.ndarray | None = None  # unit rows
-    cues: dict[int, Cues] = field(default_factory=dict)  # by class of passage lengths, see settle()
+    weight: np.ndarray | None = None  # what their lengths were
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The vocabulary's number of each word, or -1."""
@@ -92,120 +84,91 @@ class Model:
             np.add.at(out[k], self.passages[i], self.idf[self.passages[i]])
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
-    def leaks(self, column: pa.LargeStringArray) -> list[list[tuple[int, float, int, int, int]]]:
-        """For each text its leaks: item, cosine, length of the common subsequence, words of the passage, first word."""
-        out: list[list[tuple[int, float, int, int, int]]] = [[] for _ in range(len(column))]
-        if not len(self.items):
-            return out
-        words = shared.Words(column)
-        number = self.numbers(words.hashes())
+    def settle(self, right: np.ndarray) -> None:
+        """Takes the right singular vectors and places the passages in their space."""
+        self.fold = np.hstack([self.idf[:, None] * right, self.idf[:, None] ** 2]).astype(np.float32)
+        latent = np.stack([self.fold[p, :-1].sum(0) for p in self.passages])
+        self.weight = np.maximum(np.linalg.norm(latent, axis=1), 1e-6)
+        self.latent = latent / self.weight[:, None]
+
+    def leaks(self, words: shared.Words, number: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
+        """Each leak once: row, item, cosine, length of the common subsequence, words of the passage, first word."""
+        best: dict[tuple[int, int], tuple] = {}
         sizes = np.array([length_class(len(p)) for p in self.passages])
-        best: dict[tuple[int, int], int] = {}
         for size in np.unique(sizes).tolist():
-            span, step = size + size // 2, size // 2
-            per_doc = np.maximum(1, -(-(words.count - span) // step) + 1)
-            per_doc[words.count == 0] = 0
-            doc = np.repeat(np.arange(words.n_docs), per_doc)
-            start = words.first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * step
-            stop = np.minimum(start + span, words.first[doc + 1])
-            from_, to = np.maximum(words.first[doc], start - step), np.minimum(words.first[doc + 1], stop + step)
-            for window, item in self.telling(words, number, per_doc, step, self.cues[size]):
-                for lot in range(0, len(window), 1024):
-                    some = window[lot : lot + 1024]
-                    for w, i, cosine in self.near(number, start, stop, some, item[lot : lot + 1024]):
-                        d, a = int(doc[w]), int(from_[w])
-                        got = self.compare(i, number[a : to[w]])
-                        if got and got > best.get((d, i), 0):
-                            best[d, i] = got
-                            out[d] = [x for x in out[d] if x[0] != int(self.items[i])]
-                            out[d].append((int(self.items[i]), cosine, got, len(self.passages[i]), int(a - words.first[d])))
-        return out
+            for d, i, cosine, a, b in self.near(words, number, size, np.flatnonzero(sizes == size)):
+                got = self.compare(i, number[a:b])
+                if got and got > best.get((d, i), (0,) * 4)[3]:
+                    best[d, i] = (d, int(self.items[i]), cosine, got, len(self.passages[i]), int(a - words.first[d]))
+        return list(best.values())
 
-    def telling(self, words: shared.Words, number: np.ndarray, per_doc: np.ndarray, step: int, cues: Cues) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The windows, in order, and passages of one class that share, with a step on either side, what some cue asks for.
+    def near(self, words: shared.Words, number: np.ndarray, size: int, items: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """Candidates among the passages of one class: row, passage, cosine, and the words that the window and a step on either side span.
 
-        Cues are counted in blocks of a step each; a window with its sides is five of them.
+        Windows are three blocks of half the class's length; all of them are folded.
         """
+        step = size // 2
+        blocks = -(-words.count // step)
+        begin = np.cumsum(blocks + 2) - blocks - 2  # two empty blocks behind each text
         at = np.flatnonzero(number >= 0)
-        at = at[cues.first[number[at] + 1] > cues.first[number[at]]]
-        doc, word = words.doc[at], number[at]
-        first_window = np.cumsum(per_doc) - per_doc
-        # each document with words begins and ends with an empty block
-        pad = 4 * (np.cumsum(per_doc > 0) - 1)
-        block = first_window[doc] + pad[doc] + 1 + (at - words.first[doc]) // step
-        begin = np.arange(int(per_doc.sum())) + np.repeat(pad, per_doc)
-        n, size = len(cues.item), max(1, CELLS // len(cues.item))
-        for lot in range(0, len(begin), size):
-            own = begin[lot : lot + size]
-            s, e = np.searchsorted(block, [own[0], own[-1] + 5])
-            many = cues.first[word[s:e] + 1] - cues.first[word[s:e]]
-            flat = np.arange(int(many.sum())) + np.repeat(cues.first[word[s:e]] - np.cumsum(many) + many, many)
-            cell = np.repeat(block[s:e] - own[0], many) * n + cues.cue[flat]
-            width = int(own[-1] - own[0]) + 5
-            counts = np.bincount(cell, cues.weight[flat], width * n).astype(np.float32).reshape(width, n)
-            counts = (counts[:-4] + counts[1:-3] + counts[2:-2] + counts[3:-1] + counts[4:])[own - own[0]]
-            k, c = np.nonzero(counts >= cues.need)
-            both = np.unique((lot + k) * len(self.items) + cues.item[c])
-            if len(both):
-                yield both // len(self.items), both % len(self.items)
-
-    def near(self, number: np.ndarray, start: np.ndarray, stop: np.ndarray, window: np.ndarray, item: np.ndarray) -> list[tuple[int, int, float]]:
-        """Of pairs of a window and a passage, in order of windows, those whose cosine reaches COSINE."""
-        some, row_of = np.unique(window, return_inverse=True)
-        size = stop[some] - start[some]
-        row = np.repeat(np.arange(len(some)), size)
-        word = number[np.arange(len(row)) + np.repeat(start[some] - np.cumsum(size) + size, size)]
-        row, word = row[word >= 0], word[word >= 0]
-        has, begin = np.unique(row, return_index=True)
-        latent = np.zeros((len(some), self.fold.shape[1]), np.float32)
-        if len(has):
-            latent[has] = np.add.reduceat(self.fold[word], begin)
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        likeness = (latent[row_of] * self.latent[item]).sum(1)
-        return [(int(window[k]), int(item[k]), float(likeness[k])) for k in np.flatnonzero(likeness >= COSINE)]
-
-    def settle(self) -> None:
-        """Fixes the cues of each passage: what any window must hold for compare() to call it a leak.
-
-        A subsequence that covers the share VERBATIM lacks at most the rest of the positions, so of any more positions it
-        has those beyond: these are taken from the rarest words, with all positions of each. A paraphrase shows
-        the answer.
-        """
-        found: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]] = {}
-        for i, passage in enumerate(self.passages):
-            words, times = np.unique(passage, return_counts=True)
-            order, n = np.argsort(-self.idf[words], kind="stable"), len(passage)
-            words, times = words[order], times[order]
-            answer = self.answers[i]
-            self.signs.append([(answer, -(-2 * len(answer) // 3))] if len(answer) else [(words[:m], min(least, len(words))) for m, least in STAND_INS])
-            may_lack = 0 if n < SHORT else n - int(np.ceil(VERBATIM * n))
-            upto = np.cumsum(times)
-            k = int(np.searchsorted(upto, min(n, may_lack + max(2, int(CUES * n))))) + 1
-            own = found.setdefault(length_class(n), [])
-            own.append((i, int(upto[k - 1]) - may_lack, words[:k], times[:k]))
-            if n >= SHORT:
-                own += [(i, least, some, np.ones(len(some), int)) for some, least in self.signs[i]]
-        for size, own in found.items():
-            word = np.concatenate([x[2] for x in own])
-            order = np.argsort(word, kind="stable")
-            self.cues[size] = Cues(
-                np.array([x[0] for x in own]), np.array([x[1] for x in own]), np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1)),
-                np.repeat(np.arange(len(own)), [len(x[2]) for x in own])[order], np.concatenate([x[3] for x in own])[order].astype(float),
-            )
+        block = begin[words.doc[at]] + (at - words.first[words.doc[at]]) // step
+        doc = np.repeat(np.arange(words.n_docs), blocks + 2)
+        own = np.arange(len(doc)) - begin[doc]
+        starts = (blocks[doc] > 0) & (own < np.maximum(blocks[doc] - 2, 1))
+        short = np.array([len(self.passages[i]) < SHORT for i in items])
+        least_cosine, least_share = np.where(short, 0, COSINE).astype(np.float32), np.where(short, FULL / 2, SHARE).astype(np.float32)
+        latent, weight = self.latent[items].T.astype(np.float32), self.weight[items].astype(np.float32)
+        for low in range(0, len(doc), CHUNK):
+            high = min(low + CHUNK, len(doc))
+            s, e = np.searchsorted(block, [low, high + 2])
+            if s == e:
+                continue
+            first = np.flatnonzero(np.diff(block[s:e], prepend=-1))
+            sums = np.zeros((high - low + 2, self.fold.shape[1]), np.float32)
+            for k in range(0, len(first), 512):  # few enough words at a time to stay in the cache
+                stop = first[k + 512] if k + 512 < len(first) else e - s
+                sums[block[s + first[k : k + 512]] - low] = np.add.reduceat(self.fold[number[at[s + first[k] : s + stop]]], first[k : k + 512] - first[k])
+            window = sums[:-2] + sums[1:-1] + sums[2:]
+            dot, norm = window[:, :-1] @ latent, np.sqrt(window[:, -1:])
+            found = ((dot >= least_cosine * norm) & (dot >= least_share * weight)) | (dot >= FULL * weight)
+            row, which = np.nonzero(found & starts[low:high, None])
+            cosine = dot[row, which] / np.maximum(norm[row, 0], 1e-6)
+            d = doc[low + row]
+            a = words.first[d] + np.maximum(own[low + row] - 1, 0) * step
+            b = np.minimum(words.first[d] + (own[low + row] + 4) * step, words.first[d + 1])
+            yield from zip(d.tolist(), items[which].tolist(), cosine.tolist(), a.tolist(), b.tolist())
 
     def compare(self, item: int, window: np.ndarray) -> int:
         """The length of the common subsequence if it makes a leak, else 0."""
-        passage, inside = self.passages[item], window[window >= 0]
+        passage, inside, answer = self.passages[item], window[window >= 0], self.answers[item]
         n = len(passage)
-        if np.isin(passage, inside).sum() < PARAPHRASE * n:
+        if len(inside) < (n if n < SHORT else PARAPHRASE * n):
             return 0
         common = common_subsequence(passage.tolist(), inside.tolist())
         if n < SHORT:
             return common if common == n else 0
         if common >= VERBATIM * n:
             return common
-        answered = any(np.isin(some, inside).sum() >= least for some, least in self.signs[item])
-        return common if common >= PARAPHRASE * n and answered else 0
+        if common < max(PARAPHRASE * n, LEAST_COMMON):
+            return 0
+        return common if np.isin(answer, inside).sum() >= ANSWERED * len(answer) else 0
+
+
+@dataclass
+class Lot:
+    """Models whose passages are looked for in one pass."""
+
+    models: list[Model] = field(default_factory=list)
+
+    def leaks(self, column: pa.LargeStringArray) -> list[list[tuple[int, float, int, int, int]]]:
+        """For each text its leaks, by FIELDS."""
+        out: list[list[tuple[int, float, int, int, int]]] = [[] for _ in range(len(column))]
+        words = shared.Words(column)
+        hashes = words.hashes()
+        for model in self.models:
+            for d, *leak in model.leaks(words, model.numbers(hashes)):
+                out[d].append(tuple(leak))
+        return out
 
 
 def _partial(rows: DataFrame, work, width: int) -> np.ndarray:
@@ -250,85 +213,83 @@ def _svd(spark: SparkSession, model: Model) -> np.ndarray:
     return basis @ vectors[:, np.argsort(values)[::-1][:rank]]
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", passage_col: str = "text", answer_col: str | None = None) -> list[Model]:
-    """One model for each block of BLOCK_ITEMS passages; passages without words, or with a null id, are left out."""
+def fit(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", passage_col: str = "text", answer_col: str | None = None) -> list[Lot]:
+    """Models of BLOCK_ITEMS passages each, in lots of about LOT_CHARS characters, each of which takes a pass over docs here
+    and one when it is looked for. Passages without words, or with a null id, are left out; repeated ones count once."""
     spark = docs.sparkSession
     answer = F.col(answer_col) if answer_col else F.lit(None)
     rows = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(passage_col).alias("text"), answer.cast("string").alias("answer")).where("id is not null and text is not null").distinct()
-    n_blocks, models = max(1, -(-rows.count() // BLOCK_ITEMS)), []
-    for block in range(n_blocks):
-        some = rows if n_blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block)
-        got = some.toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-        words = shared.Words(shared.texts(got["text"]))
-        h = words.hashes()
+    n_lots = max(1, -(-int(rows.agg(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0) // LOT_CHARS))
+    lots = []
+    for k in range(n_lots):
+        some = rows if n_lots == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_lots)) == k)
+        got = some.toArrow().sort_by([("id", "ascending"), ("text", "ascending"), ("answer", "ascending")])  # about LOT_CHARS characters
+        words, answers = shared.Words(shared.texts(got["text"])), shared.Words(shared.texts(got["answer"]))
+        hashes, of_answer, ids = words.hashes(), answers.hashes(), got["id"].to_numpy()
         has = np.flatnonzero(words.count)
         if not len(has):
             continue
-        vocabulary = np.unique(h)
-        model = Model(vocabulary, np.ones(len(vocabulary)), got["id"].to_numpy()[has], [], [])
-        number = model.numbers(h)
-        model.passages = [number[words.first[i] : words.first[i + 1]] for i in has.tolist()]
-
-        def frequencies(batch: pa.RecordBatch, model: Model = model) -> np.ndarray:
-            width = len(model.vocabulary)
-            total = np.zeros(width + 1)
+        known = np.unique(np.concatenate([hashes, of_answer]))
+
+        def frequencies(batch: pa.RecordBatch, known: np.ndarray = known) -> np.ndarray:
+            total = np.zeros(len(known) + 1)
             column = shared.texts(batch.column(0))
             for a, b in shared.slices(column):
                 words = shared.Words(column.slice(a, b - a))
-                number = model.numbers(words.hashes())
-                known = number >= 0
-                both = np.unique(words.doc[known] * width + number[known])
-                total[:-1] += np.bincount(both % width, minlength=width)
+                hashes = words.hashes()
+                number = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                inside = known[number] == hashes
+                both = np.unique(words.doc[inside] * len(known) + number[inside])
+                total[:-1] += np.bincount(both % len(known), minlength=len(known))
             total[-1] = len(column)
             return total
 
-        seen = _partial(docs.select(text_col), frequencies, len(vocabulary) + 1)
-        model.idf = np.log((2 + seen[-1]) / (1 + seen[:-1])) + 0.01
-        answers = shared.Words(shared.texts(got["answer"]))
-        of_answer = model.numbers(answers.hashes())
-        for i in has.tolist():
-            own = of_answer[answers.first[i] : answers.first[i + 1]]
-            model.answers.append(np.unique(own[own >= 0]))
-        model.settle()
-        right = _svd(spark, model)
-        model.fold = (model.idf[:, None] * right).astype(np.float32)
-        latent = np.stack([model.fold[p].sum(0) for p in model.passages])
-        model.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        models.append(model)
-    return models
-
-
-def leaks(model: Model, text: Column) -> Column:
+        seen = _partial(docs.select(text_col), frequencies, len(known) + 1)
+        idf = np.log((2 + seen[-1]) / (1 + seen[:-1])) + 0.01
+        lot = Lot()
+        for block in np.array_split(has, -(-len(has) // BLOCK_ITEMS)):
+            own = [hashes[words.first[i] : words.first[i + 1]] for i in block]
+            of_own = [of_answer[answers.first[i] : answers.first[i + 1]] for i in block]
+            vocabulary = np.unique(np.concatenate([*own, *of_own]))
+            model = Model(vocabulary, idf[np.searchsorted(known, vocabulary)], ids[block], [], [])
+            model.passages = [model.numbers(x) for x in own]
+            model.answers = [np.unique(model.numbers(x)) for x in of_own]
+            model.settle(_svd(spark, model))
+            lot.models.append(model)
+        lots.append(lot)
+    return lots
+
+
+def leaks(lot: Lot, text: Column) -> Column:
     """The leaks of each text, as KIND; null and empty texts have none."""
 
     @F.arrow_udf(KIND)
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.int32()), ("words", pa.int32()), ("first_word", pa.int32())]))
-        names = ("item_id", "cosine", "common", "words", "first_word")
         for batch in batches:
             column, out = shared.texts(batch), []
             for a, b in shared.slices(column):
-                out += [[dict(zip(names, x)) for x in own] for own in model.leaks(column.slice(a, b - a))]
+                out += [[dict(zip(FIELDS, x)) for x in own] for own in lot.leaks(column.slice(a, b - a))]
             yield pa.array(out, kind)
 
     return found(text)
 
 
-def decontaminate(docs: DataFrame, models: list[Model], *, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, in which no model finds a leak."""
+def decontaminate(docs: DataFrame, lots: list[Lot], *, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, in which no lot finds a leak; null and empty texts stay, repeated rows go or stay alike."""
     own = "__leaks"
-    while own in docs.columns:
+    while own in {c.lower() for c in docs.columns}:
         own += "_"
-    for model in models:
-        docs = docs.withColumn(own, F.size(leaks(model, F.col(text_col)))).where(F.col(own) == 0).drop(own)
+    for lot in lots:
+        docs = docs.withColumn(own, F.size(leaks(lot, F.col(text_col)))).where(F.col(own) == 0).drop(own)
     return docs
 
 
-def find_leaks(docs: DataFrame, models: list[Model], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, lots: list[Lot], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, common, words, first_word: one row per document and passage that it holds."""
     out = None
-    for model in models:
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(leaks(model, F.col(text_col))).alias("leak")).select("doc_id", "leak.*")
+    for lot in lots:
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(leaks(lot, F.col(text_col))).alias("leak")).select("doc_id", "leak.*")
         out = rows if out is None else out.union(rows)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, common int, words int, first_word int")
@@ -336,6 +297,11 @@ def find_leaks(docs: DataFrame, models: list[Model], *, id_col: str = "doc_id",
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage of the benchmark in every document. Repeated rows each report; an empty benchmark gives no rows."""
+    """Every passage of the benchmark in every document.
+
+    Null and empty texts have no leaks; long ones are read whole, window by window. Repeated rows each report; an empty
+    benchmark, or an empty table of documents, gives no rows; other columns are ignored. Of a passage that occurs more
+    than once in a document, the place with the longest common subsequence is given, the first of equal ones.
+    """
     docs = shared.table(spark, sf_dir, "documents")
     return find_leaks(docs, fit(docs, shared.table(spark, sf_dir, "benchmark")))

@@ -307,12 +307,62 @@ def test_paraphrase_without_the_rarest_words(spark):
     assert {(r.doc_id, r.item_id, r.common >= 36) for r in decontaminate.find_leaks(table, models).collect()} == {(i, i, True) for i in range(20)}
 
 
+def test_recall_of_paraphrases(spark):
+    """Passages of the sample, with words replaced by other words of the corpus, amid other text; reports what each step loses."""
+    rng = random.Random(6)
+    docs, bench = shared.table(spark, "/root/testdata/sf0.01", "documents"), shared.table(spark, "/root/testdata/sf0.01", "benchmark")
+    lots = decontaminate.fit(docs, bench)
+    corpus = [w for r in docs.select("text").collect() for w in words(r.text)]
+    some = lambda n: corpus[(k := rng.randrange(len(corpus) - n)) : k + n]
+    rows = []
+    for share in (0.0, 0.1, 0.2, 0.3, 0.4):
+        for r in bench.collect():
+            rows.append((share, r.item_id, " ".join([*some(60), *(w if rng.random() >= share else rng.choice(corpus) for w in words(r.text)), *some(60)])))
+    planted = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    model = lots[0].models[0]
+    place = {int(i): k for k, i in enumerate(model.items)}
+    import numpy as np
+    import pyarrow as pa
+
+    scanned = shared.Words(pa.array([t for *_, t in rows], pa.large_string()))
+    number = model.numbers(scanned.hashes())
+    sizes = np.array([decontaminate.length_class(len(p)) for p in model.passages])
+    near = {(d, i) for size in set(sizes.tolist()) for d, i, *_ in model.near(scanned, number, size, np.flatnonzero(sizes == size))}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(planted, lots).collect()}
+    for share in (0.0, 0.1, 0.2, 0.3, 0.4):
+        own = [(k, i) for k, (s, i, _) in enumerate(rows) if s == share]
+        candidates, found = (sum(x in y for x in own) / len(own) for y in ([(d, int(model.items[i])) for d, i in near], got))
+        print(f"replaced {share}: among the candidates {candidates:.3f}, found {found:.3f}")
+        assert candidates >= 0.97 and found >= (1 if share < 0.15 else 0.98 if share < 0.25 else 0.9)
+    assert len(place) == bench.count() and len(near) < 20 * len(rows)  # the cosine does choose
+    items = {r.item_id: " ".join(words(r.text)) for r in bench.collect()}
+    texts = {r.doc_id: " ".join(words(r.text)) for r in docs.collect()}
+    assert all(f" {items[r.item_id]} " in f" {texts[r.doc_id]} " for r in decontaminate.find_leaks(docs, lots).collect())
+
+
+def test_answers_and_repeated_rows(spark):
+    rng, vocab = random.Random(7), vocabulary(7, 900)
+    item = rng.sample(vocab, 30)
+    half = " ".join(w if k % 2 else f"other{k}" for k, w in enumerate(item))
+    bench = spark.createDataFrame([(1, " ".join(item), "Blue whale!"), (1, " ".join(item), "Blue whale!")], "item_id long, text string, answer string")
+    docs = spark.createDataFrame([(1, f"{half} the whale is blue"), (2, f"{half} the shark is grey"), (3, " ".join(item)), (3, " ".join(item)), (4, None)] + [(100 + k, " ".join(rng.sample(vocab, 300))) for k in range(40)], "doc_id long, text string")
+    found = lambda **o: sorted((r.doc_id, r.common) for r in decontaminate.find_leaks(docs, decontaminate.fit(docs, bench, **o)).collect())
+    assert found(answer_col="answer") == [(1, 15), (3, 30), (3, 30)]  # half of the passage is a leak with the answer only
+    assert found() == [(1, 15), (2, 15), (3, 30), (3, 30)]
+    clash = docs.withColumn("__leaks", F.lit(1))
+    left = decontaminate.decontaminate(clash, decontaminate.fit(docs, bench, answer_col="answer"))
+    assert left.columns == clash.columns and sorted(r.doc_id for r in left.collect() if r.doc_id < 100) == [2, 4]
+    assert decontaminate.find_leaks(docs.limit(0), decontaminate.fit(docs.limit(0), bench)).count() == 0
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     docs, bench = shared.table(spark, SAMPLES, "documents"), shared.table(spark, SAMPLES, "benchmark")
     whole = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, decontaminate.fit(docs, bench)).collect()}
     verbatim = {(d, i) for d, t in docs.select("doc_id", "text").collect() for i, p in bench.collect() if f" {' '.join(words(p))} " in f" {' '.join(words(t))} "}
     assert whole == verbatim
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 15)
+    monkeypatch.setattr(decontaminate, "LOT_CHARS", 2000)
+    assert len(decontaminate.fit(docs, bench)) > 1
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, decontaminate.fit(docs, bench)).collect()} == whole
 
 
