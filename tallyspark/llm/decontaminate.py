@@ -34,24 +34,32 @@ VERBATIM, PARAPHRASE = 0.7, 0.45
 LEAST_COMMON, SHORT = 6, 8
 #: The part of an answer's words that show it.
 ANSWERED = 2 / 3
-#: Blocks of words whose latent sums are held at a time.
-CHUNK = 1 << 13
+#: Blocks of words that are compared at a time, and up to which a slice's sums are held to add up the next class's.
+CHUNK, HELD = 1 << 13, 1 << 16
 FIELDS = ("item_id", "cosine", "common", "words", "first_word")
 KIND = "array<struct<item_id:bigint,cosine:double,common:int,words:int,first_word:int>>"
 
 
-def common_subsequence(passage: list[int], window: list[int]) -> int:
-    """Length of the longest common subsequence, by bit vectors over the passage's words."""
-    places: dict[int, int] = {}
-    for k, w in enumerate(passage):
-        places[w] = places.get(w, 0) | (1 << k)
-    full = (1 << len(passage)) - 1
+def places(passage: np.ndarray) -> dict[int, int]:
+    """For each word of a passage the bits of its positions."""
+    found: dict[int, int] = {}
+    for k, w in enumerate(passage.tolist()):
+        found[w] = found.get(w, 0) | (1 << k)
+    return found
+
+
+def common_subsequence(places: dict[int, int], n: int, window: list[int], least: float = 0) -> int:
+    """Length of the longest common subsequence of a passage of n words and a window, by bit vectors over the passage; 0 if below least."""
+    bits = [places[w] for w in window if w in places]
+    if len(bits) < least:
+        return 0
+    full = (1 << n) - 1
     state = full
-    for w in window:
-        if m := places.get(w):
-            u = state & m
-            state = ((state + u) | (state - u)) & full
-    return len(passage) - state.bit_count()
+    for m in bits:
+        u = state & m
+        state = ((state + u) | (state - u)) & full
+    found = n - state.bit_count()
+    return found if found >= least else 0
 
 
 def length_class(n: int) -> int:
@@ -71,6 +79,7 @@ class Model:
     fold: np.ndarray | None = None  # vocabulary x (rank + 1): latent weights, with idf, and the idf's square
     latent: np.ndarray | None = None  # unit rows
     weight: np.ndarray | None = None  # what their lengths were
+    places: list[dict[int, int]] = field(default_factory=list)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The vocabulary's number of each word, or -1."""
@@ -90,68 +99,79 @@ class Model:
         latent = np.stack([self.fold[p, :-1].sum(0) for p in self.passages])
         self.weight = np.maximum(np.linalg.norm(latent, axis=1), 1e-6)
         self.latent = latent / self.weight[:, None]
+        self.places = [places(p) for p in self.passages]
 
     def leaks(self, words: shared.Words, number: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
         """Each leak once: row, item, cosine, length of the common subsequence, words of the passage, first word."""
         best: dict[tuple[int, int], tuple] = {}
-        sizes = np.array([length_class(len(p)) for p in self.passages])
-        for size in np.unique(sizes).tolist():
-            for d, i, cosine, a, b in self.near(words, number, size, np.flatnonzero(sizes == size)):
-                got = self.compare(i, number[a:b])
-                if got and got > best.get((d, i), (0,) * 4)[3]:
-                    best[d, i] = (d, int(self.items[i]), cosine, got, len(self.passages[i]), int(a - words.first[d]))
+        for d, i, cosine, a, b in self.near(words, number):
+            got = self.compare(i, number[a:b].tolist())
+            if got and got > best.get((d, i), (0,) * 4)[3]:
+                best[d, i] = (d, int(self.items[i]), cosine, got, len(self.passages[i]), int(a - words.first[d]))
         return list(best.values())
 
-    def near(self, words: shared.Words, number: np.ndarray, size: int, items: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
-        """Candidates among the passages of one class: row, passage, cosine, and the words that the window and a step on either side span.
+    def near(self, words: shared.Words, number: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """Candidates: row, passage, cosine, and the words from and up to which the window goes.
 
-        Windows are three blocks of half the class's length; all of them are folded.
+        Windows are three blocks of half the length of a class of passages; all of them are folded.
         """
-        step = size // 2
-        blocks = -(-words.count // step)
-        begin = np.cumsum(blocks + 2) - blocks - 2  # two empty blocks behind each text
+        sizes = np.array([length_class(len(p)) for p in self.passages])
         at = np.flatnonzero(number >= 0)
-        block = begin[words.doc[at]] + (at - words.first[words.doc[at]]) // step
-        doc = np.repeat(np.arange(words.n_docs), blocks + 2)
-        own = np.arange(len(doc)) - begin[doc]
-        starts = (blocks[doc] > 0) & (own < np.maximum(blocks[doc] - 2, 1))
-        short = np.array([len(self.passages[i]) < SHORT for i in items])
-        least_cosine, least_share = np.where(short, 0, COSINE).astype(np.float32), np.where(short, FULL / 2, SHARE).astype(np.float32)
-        latent, weight = self.latent[items].T.astype(np.float32), self.weight[items].astype(np.float32)
-        for low in range(0, len(doc), CHUNK):
-            high = min(low + CHUNK, len(doc))
-            s, e = np.searchsorted(block, [low, high + 2])
-            if s == e:
-                continue
-            first = np.flatnonzero(np.diff(block[s:e], prepend=-1))
-            sums = np.zeros((high - low + 2, self.fold.shape[1]), np.float32)
-            for k in range(0, len(first), 512):  # few enough words at a time to stay in the cache
-                stop = first[k + 512] if k + 512 < len(first) else e - s
-                sums[block[s + first[k : k + 512]] - low] = np.add.reduceat(self.fold[number[at[s + first[k] : s + stop]]], first[k : k + 512] - first[k])
-            window = sums[:-2] + sums[1:-1] + sums[2:]
-            dot, norm = window[:, :-1] @ latent, np.sqrt(window[:, -1:])
-            found = ((dot >= least_cosine * norm) & (dot >= least_share * weight)) | (dot >= FULL * weight)
-            row, which = np.nonzero(found & starts[low:high, None])
-            cosine = dot[row, which] / np.maximum(norm[row, 0], 1e-6)
-            d = doc[low + row]
-            a = words.first[d] + np.maximum(own[low + row] - 1, 0) * step
-            b = np.minimum(words.first[d] + (own[low + row] + 4) * step, words.first[d + 1])
-            yield from zip(d.tolist(), items[which].tolist(), cosine.tolist(), a.tolist(), b.tolist())
-
-    def compare(self, item: int, window: np.ndarray) -> int:
+        doc_of, into = words.doc[at], at - words.first[words.doc[at]]
+        held: tuple[int, np.ndarray, np.ndarray] | None = None  # the last class's step, places of texts, and sums
+        for size in np.unique(sizes).tolist():
+            items, step = np.flatnonzero(sizes == size), size // 2
+            blocks = -(-words.count // step)
+            begin = np.cumsum(blocks + 2) - blocks - 2  # two empty blocks behind each text
+            block = begin[doc_of] + into // step
+            doc = np.repeat(np.arange(words.n_docs), blocks + 2)
+            own = np.arange(len(doc)) - begin[doc]
+            sums = None
+            if len(doc) + 2 <= HELD:
+                if held and held[0] * 2 == step:  # two of the last class's blocks make one
+                    first = held[1][doc] + np.minimum(2 * own, -(-words.count // held[0])[doc])
+                    sums = np.zeros((len(doc) + 2, self.fold.shape[1]), np.float32)
+                    sums[:-2] = held[2][first] + held[2][first + 1]
+                else:
+                    sums = self._sums(number[at], block, 0, len(doc) + 2)
+            held = (step, begin, sums) if sums is not None else None
+            starts = (blocks[doc] > 0) & (own < np.maximum(blocks[doc] - 2, 1))
+            short = np.array([len(self.passages[i]) < SHORT for i in items])
+            least_cosine, least_share = np.where(short, 0, COSINE).astype(np.float32), np.where(short, FULL / 2, SHARE).astype(np.float32)
+            latent, weight = self.latent[items].T.astype(np.float32), self.weight[items].astype(np.float32)
+            for low in range(0, len(doc), CHUNK):
+                high = min(low + CHUNK, len(doc))
+                if sums is not None:
+                    some = sums[low : high + 2]
+                else:
+                    s, e = np.searchsorted(block, [low, high + 2])
+                    some = self._sums(number[at[s:e]], block[s:e] - low, 0, high - low + 2)
+                window = some[:-2] + some[1:-1] + some[2:]
+                dot, norm = window[:, :-1] @ latent, np.sqrt(window[:, -1:])
+                found = ((dot >= least_cosine * norm) & (dot >= least_share * weight)) | (dot >= FULL * weight)
+                row, which = np.nonzero(found & starts[low:high, None])
+                cosine = dot[row, which] / np.maximum(norm[row, 0], 1e-6)
+                d = doc[low + row]
+                a = words.first[d] + own[low + row] * step
+                b = np.minimum(a + 3 * step, words.first[d + 1])
+                yield from zip(d.tolist(), items[which].tolist(), cosine.tolist(), a.tolist(), b.tolist())
+
+    def _sums(self, word: np.ndarray, block: np.ndarray, low: int, high: int) -> np.ndarray:
+        """The latent sums of blocks low to high of words in order of their blocks."""
+        out = np.zeros((high - low, self.fold.shape[1]), np.float32)
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        for k in range(0, len(first), 512):  # few enough words at a time to stay in the cache
+            stop = first[k + 512] if k + 512 < len(first) else len(word)
+            out[block[first[k : k + 512]] - low] = np.add.reduceat(self.fold[word[first[k] : stop]], first[k : k + 512] - first[k])
+        return out
+
+    def compare(self, item: int, window: list[int]) -> int:
         """The length of the common subsequence if it makes a leak, else 0."""
-        passage, inside, answer = self.passages[item], window[window >= 0], self.answers[item]
-        n = len(passage)
-        if len(inside) < (n if n < SHORT else PARAPHRASE * n):
-            return 0
-        common = common_subsequence(passage.tolist(), inside.tolist())
-        if n < SHORT:
-            return common if common == n else 0
-        if common >= VERBATIM * n:
+        n, answer = len(self.passages[item]), self.answers[item]
+        common = common_subsequence(self.places[item], n, window, n if n < SHORT else min(n * VERBATIM, max(n * PARAPHRASE, LEAST_COMMON)))
+        if not common or n < SHORT or common >= VERBATIM * n:
             return common
-        if common < max(PARAPHRASE * n, LEAST_COMMON):
-            return 0
-        return common if np.isin(answer, inside).sum() >= ANSWERED * len(answer) else 0
+        return common if np.isin(answer, window).sum() >= ANSWERED * len(answer) else 0
 
 
 @dataclass
