@@ -15,8 +15,10 @@ from tallyspark.llm import labelled, shared
 
 #: Labelled rows per class that log-odds and calibration are learned from, at most.
 PER_LABEL = 10_000
-#: One in so many of these calibrates the model instead.
-CALIBRATION = 4
+#: Parts of them, each of which is scored by log-odds of the others for the calibration and the choice of a setting.
+FOLDS = 4
+#: The settings to choose from: the prior's strength, and the deviations by which log-odds are cut.
+SETTINGS = ((0.03, 3.0), (0.1, 3.0), (0.1, 2.0), (0.3, 2.0), (0.3, 1.0), (1.0, 1.0))
 BITS = 18
 GRAM = 5
 THRESHOLD = 0.3
@@ -42,8 +44,8 @@ class Tokens:
         self.gram = (shared.mix(code[at]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, strength: float = 0.1) -> np.ndarray:
-    """Log-odds of each feature in toxic against clean texts, with an informative Dirichlet prior, less three deviations.
+def log_odds(toxic: np.ndarray, clean: np.ndarray, strength: float, deviations: float) -> np.ndarray:
+    """Log-odds of each feature in toxic against clean texts, with an informative Dirichlet prior, less some deviations.
 
     The prior has the features' shares in all texts and weighs `strength` of their number.
     """
@@ -53,28 +55,37 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, strength: float = 0.1) -> np.
     y1, y0 = toxic + prior, clean + prior
     odds = np.log(y1 / (n1 + n - y1)) - np.log(y0 / (n0 + n - y0))
     spread = np.sqrt(1 / y1 + 1 / y0)
-    return np.where(both > 0, np.sign(odds) * np.maximum(np.abs(odds) - 3 * spread, 0), 0).astype(np.float32)
+    return np.where(both > 0, np.sign(odds) * np.maximum(np.abs(odds) - deviations * spread, 0), 0).astype(np.float32)
 
 
 def segments(value: np.ndarray, before: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score), in one pass over the positive items.
+    """All maximal scoring segments (first, last, score), in one pass over the positive items and linear time.
 
     value: the positive scores in order; before: the running total of all scores, negative ones included, ahead of
-    each. A segment ends at positive items, so only those are looked at.
+    each. A segment ends at positive items, so only those are looked at. Each candidate keeps a link to the nearest one to
+    its left with a lesser total ahead of it: those in between can't begin a larger segment and aren't looked at again.
     """
-    found: list[list] = []  # first, last, total ahead, total behind
-    for k, (v, left) in enumerate(zip(value.tolist(), before.tolist())):
-        new = [k, k, left, left + v]
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
+    first: list[int] = []
+    ahead: list[float] = []  # the total ahead of each candidate and behind it
+    behind: list[float] = []
+    link: list[int] = []
+    last: list[int] = []
+    for k, (v, low) in enumerate(zip(value.tolist(), before.tolist())):
+        begin, high, j = k, low + v, len(first) - 1
+        while True:
+            while j >= 0 and ahead[j] >= low:
+                j = link[j]
+            if j < 0 or behind[j] >= high:
                 break
-            new[0], new[2] = found[j][0], found[j][2]
-            del found[j:]
-        found.append(new)
-    return [(a, b, after - ahead) for a, b, ahead, after in found]
+            begin, low, left = first[j], ahead[j], link[j]  # the candidates from j on become one
+            del first[j:], last[j:], ahead[j:], behind[j:], link[j:]
+            j = left
+        first.append(begin)
+        last.append(k)
+        ahead.append(low)
+        behind.append(high)
+        link.append(j)
+    return [(a, b, y - x) for a, b, x, y in zip(first, last, ahead, behind)]
 
 
 @dataclass
@@ -136,7 +147,7 @@ class Model:
 def _root(score: np.ndarray, weight: np.ndarray) -> float:
     """The positive lambda with E exp(lambda s) = 1 (Karlin and Altschul)."""
     weight = weight / max(weight.sum(), 1)
-    low, high = 1e-3, 10.0
+    low, high = 1e-3, 60.0
     for _ in range(60):
         mid = (low + high) / 2
         if (weight * np.exp(np.minimum(mid * score, 700))).sum() > 1:
@@ -159,80 +170,126 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(float(a), 0.0), float(b)
 
 
+def _odds(seen: np.ndarray, setting: tuple[float, float]) -> Model:
+    """A model without calibration from numbers of texts by (clean or toxic, feature)."""
+    return Model(*[log_odds(seen[1, part], seen[0, part], *setting) for part in (slice(0, 1 << BITS), slice(1 << BITS, None))])
+
+
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, model: Model) -> float:
+    """Sets the laws that lead from the statistic to a chance; returns the weighted logarithmic loss."""
+    # Gumbel by quantiles, which a few mislabelled texts don't move
+    q1, q2 = np.quantile(x[y == 0], [0.25, 0.75])
+    g1, g2 = -np.log(-np.log(0.25)), -np.log(-np.log(0.75))
+    model.scale = max((q2 - q1) / (g2 - g1), 0.25)
+    model.place = q1 - model.scale * g1
+    model.slope, model.shift = _logistic(np.minimum(model._extremity(x), 60), y, weight)
+    p = np.clip(model.probability(x), 1e-6, 1 - 1e-6)
+    return float(-(weight * np.where(y > 0, np.log(p), np.log(1 - p))).sum() / weight.sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model | None:
-    """Learns from up to per_label labelled documents of each class; None unless both classes occur."""
+    """Learns from about per_label labelled documents of each class; None unless both classes occur.
+
+    The setting with the least loss in a cross-validation over FOLDS parts of these documents is taken, and the statistics
+    that the parts got from the others' log-odds calibrate the model; no other document has a say.
+    """
     chosen = labelled.sample(labels, id_col, label_col, per_label)
     texts = labelled.with_text(chosen, docs, id_col, text_col).select(F.col("id").cast("long"), F.col("label").cast("int"), "text")
+    texts = texts.withColumn("fold", F.pmod(F.hash("id"), F.lit(FOLDS)))
     texts = shared.stored(texts, "toxicity-sample")
     spark = docs.sparkSession
     share = {r["label"]: r["n"] for r in labels.select((F.col(label_col) > 0).alias("label")).dropna().groupBy("label").agg(F.count("*").alias("n")).collect()}
+    kinds = [f"n{k}" for k in range(2 * FOLDS)]  # two of each fold: clean and toxic
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((4, 2 << BITS), np.int64)  # texts with each feature: clean, toxic, and these of the calibration fold
+        seen = np.zeros((2 * FOLDS, 2 << BITS), np.int32)  # texts with each feature
         for batch in batches:
-            column, kind = shared.texts(batch.column(2)), (batch.column(1).to_numpy() > 0) + 2 * batch.column(3).to_numpy(zero_copy_only=False)
+            column, kind = shared.texts(batch.column(2)), (batch.column(1).to_numpy() > 0) + 2 * batch.column(3).to_numpy()
             for a, b in shared.slices(column):
                 tokens = Tokens(column.slice(a, b - a))
                 doc = tokens.words.doc
                 both = np.concatenate([(doc << (BITS + 1)) | tokens.word, (doc[tokens.gram_word] << (BITS + 1)) | tokens.gram | (1 << BITS)])
                 both = np.unique(both)
                 own = kind[a:b][both >> (BITS + 1)]
-                for k in range(4):
-                    seen[k] += np.bincount(both[own == k] & ((2 << BITS) - 1), minlength=2 << BITS)
-        for fold in (False, True):
-            clean, toxic = seen[2 * fold : 2 * fold + 2]
-            at = np.flatnonzero(clean + toxic)
-            yield pa.RecordBatch.from_pydict({"feature": at, "kept": np.full(len(at), fold), "clean": clean[at], "toxic": toxic[at]})
-
-    folded = texts.withColumn("kept", F.pmod(F.hash("id"), F.lit(CALIBRATION)) == 0)
-    sums = folded.mapInArrow(count, "feature long, kept boolean, clean long, toxic long").groupBy("feature", "kept")
-    got = sums.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # 4 << BITS rows at most
-    seen = np.zeros((2, 2, 2 << BITS))
-    for k, name in enumerate(("clean", "toxic")):
-        seen[got["kept"].to_numpy().astype(int), k, got["feature"].to_numpy()] = got[name].to_numpy()
-    if not seen.sum(0).any(1).all():
+                for k in range(2 * FOLDS):
+                    seen[k] += np.bincount(both[own == k] & ((2 << BITS) - 1), minlength=2 << BITS).astype(np.int32)
+        at = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_pydict({"feature": at, **dict(zip(kinds, seen[:, at]))})
+
+    sums = texts.mapInArrow(count, "feature long, " + ", ".join(f"{k} int" for k in kinds)).groupBy("feature")
+    got = sums.agg(*[F.sum(k).cast("int").alias(k) for k in kinds]).toArrow()  # 2 << BITS rows at most
+    seen = np.zeros((FOLDS, 2, 2 << BITS), np.int32)
+    for k, name in enumerate(kinds):
+        seen[k // 2, k % 2, got["feature"].to_numpy()] = got[name].to_numpy()
+    total = seen.sum(0)
+    if not total.any(1).all():
         shared.remove(spark, texts)
         return None
-    odds = lambda y: [log_odds(y[1, s], y[0, s]) for s in (slice(0, 1 << BITS), slice(1 << BITS, None))]
-    final = Model(*odds(seen.sum(0)))
-    # drift, rate and calibration come from texts that the log-odds they are measured with have not seen
-    apart = bool(seen.any(2).all())
-    model = Model(*odds(seen[0])) if apart else final
-    texts_apart = folded.where("kept").drop("kept") if apart else texts
+    # where a class is in one part alone, its texts are scored by log-odds that have seen them
+    apart = bool(all((total - seen[f]).any(1).all() for f in range(FOLDS)))
+    held = spark.sparkContext.broadcast(seen)  # 8 << BITS numbers
+
+    def models() -> dict[int, list[Model]]:
+        own = held.value
+        return {f: [_odds(own.sum(0) - own[f] if apart else own.sum(0), x) for x in SETTINGS] for f in range(FOLDS)}
+
+    def by_fold(batch: pa.RecordBatch, text: int, fold: int) -> Iterator[tuple[int, pa.RecordBatch, pa.LargeStringArray]]:
+        which = batch.column(fold).to_numpy()
+        for f in np.unique(which).tolist():
+            own = batch.take(pa.array(np.flatnonzero(which == f)))
+            column = shared.texts(own.column(text))
+            for a, b in shared.slices(column):
+                yield f, own.slice(a, b - a), column.slice(a, b - a)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
         for batch in batches:
-            column = shared.texts(batch.column(0))
-            for a, b in shared.slices(column):
-                value, n = np.unique(np.round(model.word_scores(Tokens(column.slice(a, b - a))), 2), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"value": value, "n": n})
-
-    clean = texts_apart.where(F.col("label") <= 0).select("text")
-    law = clean.mapInArrow(spread, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).toArrow()  # values of two decimals
-    value, n = law["value"].to_numpy(), law["n"].to_numpy().astype(float)
-    # the drift makes a word of a clean text cost a little on average, as the law of maximal segments asks for
-    model.drift = max(0.05, float((value * n).sum() / max(n.sum(), 1)) + 0.1)
-    model.rate = _root(value - model.drift, n)
+            known = known or models()
+            for f, _, column in by_fold(batch, 0, 1):
+                tokens = Tokens(column)
+                for k, model in enumerate(known[f]):
+                    value, n = np.unique(np.round(model.word_scores(tokens), 2), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"fold": np.full(len(n), f), "setting": np.full(len(n), k), "value": value, "n": n})
+
+    clean = texts.where(F.col("label") <= 0).select("text", "fold")
+    law = clean.mapInArrow(spread, "fold long, setting long, value double, n long").groupBy("fold", "setting", "value").agg(F.sum("n").alias("n")).toPandas()  # values of two decimals
+    laws: dict[tuple[int, int], tuple[float, float]] = {}
+    for f in range(FOLDS):
+        for k in range(len(SETTINGS)):
+            own = law[(law["fold"] == f) & (law["setting"] == k)]
+            value, n = own["value"].to_numpy(), own["n"].to_numpy().astype(float)
+            # the drift makes a word of a clean text cost a little on average, as the law of maximal segments asks for
+            drift = max(0.05, float((value * n).sum() / max(n.sum(), 1)) + 0.1)
+            laws[f, k] = drift, _root(value - drift, n) if len(n) else 1.0
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
         for batch in batches:
-            column = shared.texts(batch.column(2))
-            for a, b in shared.slices(column):
-                own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([x for x, _ in model.passages(column.slice(a, b - a))], pa.float64())], ["id", "label", "x"])
-
-    rows = texts_apart.mapInArrow(measure, "id long, label int, x double").toPandas().sort_values(["id", "label", "x"])
+            if known is None:
+                known = models()
+                for (f, k), (drift, rate) in laws.items():
+                    known[f][k].drift, known[f][k].rate = drift, rate
+            for f, own, column in by_fold(batch, 2, 3):
+                found = np.array([[x for x, _ in model.passages(column)] for model in known[f]])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(x, pa.float64()) for x in found)], ["id", "label", *xs])
+
+    xs = [f"x{k}" for k in range(len(SETTINGS))]
+    rows = texts.mapInArrow(measure, "id long, label int, " + ", ".join(f"{x} double" for x in xs)).toPandas().sort_values(["id", "label", *xs])
     shared.remove(spark, texts)
-    x, y = rows["x"].to_numpy(), (rows["label"].to_numpy() > 0).astype(float)
-    quiet = x[y == 0]
-    # Gumbel by quantiles, which a few mislabelled texts don't move
-    q1, q2 = np.quantile(quiet, [0.25, 0.75])
-    g1, g2 = -np.log(-np.log(0.25)), -np.log(-np.log(0.75))
-    model.scale = max((q2 - q1) / (g2 - g1), 0.25)
-    model.place = q1 - model.scale * g1
+    y = (rows["label"].to_numpy() > 0).astype(float)
     weight = np.where(y > 0, share.get(True, 1) / max(y.sum(), 1), share.get(False, 1) / max((1 - y).sum(), 1))
-    model.slope, model.shift = _logistic(np.minimum(model._extremity(x), 60), y, weight * len(y) / weight.sum())
-    model.words, model.grams = final.words, final.grams
+    weight *= len(y) / weight.sum()
+    best, least = None, np.inf
+    for k, setting in enumerate(SETTINGS):
+        trial = Model(np.zeros(0), np.zeros(0))
+        loss = _calibrate(rows[xs[k]].to_numpy(), y, weight, trial)
+        if loss < least:
+            best, least = (k, setting, trial), loss
+    k, setting, trial = best
+    model = _odds(total, setting)
+    model.drift, model.rate = (float(np.mean([laws[f, k][i] for f in range(FOLDS)])) for i in range(2))
+    model.place, model.scale, model.slope, model.shift = trial.place, trial.scale, trial.slope, trial.shift
+    held.unpersist()
     return model
 
 
@@ -259,8 +316,9 @@ def score(model: Model | None, text: Column) -> Column:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all documents; labels of the fold crc32(doc_id) mod 4 = 2 are not learned from.
 
-    Null and empty texts score as texts without words; repeated rows each get their row. passages: every significant
-    toxic passage by word positions.
+    Null and empty texts score as texts without words; long ones are read whole; repeated rows each get their row, an empty
+    table none; other columns are ignored. Equal segments side by side stay apart. passages: every significant toxic
+    passage by word positions.
     """
     docs, labels = shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(labelled.fold("doc_id", 4) != 2))

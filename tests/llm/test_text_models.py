@@ -1,5 +1,7 @@
 """Language, quality and toxicity: held-out accuracy on the samples, and defined results for odd rows."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -76,12 +78,19 @@ def test_statistics_of_odd_texts():
     assert np.isfinite(found).all() and (found[0, :15] == 0).all()
 
 
-def test_toxicity_of_held_out_documents(spark):
-    got = toxicity.op5_toxicity(spark, SAMPLES).toPandas()
-    labels = shared.table(spark, SAMPLES, "labels").toPandas()
-    held = got.merge(labels, on="doc_id")[lambda f: f["held_out"]]
-    assert (held["predicted"] == held["toxic"]).mean() > 0.9
-    assert got["score"].between(0, 1).all()
+@pytest.mark.parametrize("sample, least", [("sf0.1", 0.75), ("check_s", 0.95)])  # 329 and about 1,600 toxic documents to learn from; cross-validation gives 0.82 with the first
+def test_toxicity_of_held_out_documents(spark, sample, least):
+    folder = f"/root/testdata/{sample}"
+    if not os.path.exists(folder):
+        pytest.skip(f"no {folder}")
+    got = toxicity.op5_toxicity(spark, folder)
+    held = got.where("held_out").join(shared.table(spark, folder, "labels"), "doc_id").select("predicted", "toxic").toPandas()
+    right = (held["predicted"] & held["toxic"]).sum()
+    recall, precision = right / held["toxic"].sum(), right / held["predicted"].sum()
+    print(f"toxic: {held['toxic'].sum()} of {len(held)} held out, recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= least and precision >= least
+    if sample == "sf0.1":
+        assert got.where("score < 0 or score > 1 or (score >= 0.3) != (predicted = 1)").count() == 0
 
 
 def test_segments_equal_all_maximal_ones():
@@ -99,8 +108,16 @@ def test_segments_equal_all_maximal_ones():
                 return set()
             return {(best[2], best[3] - 1, best[0])} | maximal(low, best[2]) | maximal(best[3], high)
 
-        assert sum(v for *_, v in got) == sum(v for *_, v in maximal(0, len(s)))
-        assert max(got, key=lambda g: g[2], default=(0, 0, 0))[2] == max([s[i:j].sum() for i in range(len(s)) for j in range(i + 1, len(s) + 1)] + [0])
+        assert got == maximal(0, len(s))
+
+
+def test_segments_take_linear_time():
+    import time
+
+    s = np.tile([1.0, -2.0], 100_000)  # falling totals: every positive word has all earlier ones to its left
+    at = np.flatnonzero(s > 0)
+    before, began = np.concatenate([[0], np.cumsum(s)])[at], time.process_time()
+    assert len(toxicity.segments(s[at], before)) == 100_000 and time.process_time() - began < 1
 
 
 def test_toxicity_of_odd_rows(spark, odd):
