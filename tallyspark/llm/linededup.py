@@ -7,11 +7,13 @@ by EDITS. Lines are compared without blanks at their ends; blank lines always st
 1. Each long enough line is cut into threshold + 1 segments: one of them must occur unchanged, near its place, in any
    line within threshold edits. Segments and the substrings to probe with are keyed by (length, segment number, text).
 2. Keys are counted before rows meet; a Bloom filter of those that two different lines share thins the second scan.
-3. At threshold 1, small groups of a key are compared pair by pair with a banded bit-parallel edit distance of what is
-   left beside the segment. A large group, all of whose lines share half their text, is cut again, into blocks of what is
-   left, of which all but one must match: so near copies in their thousands never meet pair by pair.
-4. At higher thresholds all lines of a key are compared pair by pair as a whole, by Spark's own banded edit distance: the
-   cost grows with the square of a key's lines.
+3. Small groups of a key are compared pair by pair: at threshold 1 with a banded bit-parallel edit distance of what is left
+   beside the segment, at higher ones as a whole, by Spark's own banded edit distance.
+4. A large group is cut again. At threshold 1 what is left beside the segment is cut into blocks, of which all but one must
+   match. At higher thresholds each line is first compared with the group's earliest, as one earlier line is enough for it to
+   go; while lines remain that this doesn't settle, what is left beside the segment, less what all of the group have in
+   common at its ends, is cut into threshold + 1 segments once more, of which one must match again. So near copies in
+   their thousands never meet pair by pair.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from tallyspark.llm.bloom import Bloom
 
 #: Lengths from which lines may differ by so many edits: one for 25 characters, 1 to 3 in all.
 EDITS = ((0, 1), (50, 2), (75, 3))
-#: Shorter lines are compared exactly only.
+#: Shorter lines are compared exactly only: an edit in twenty characters may change what a heading or a number says.
 LEAST_CHARS = 20
 #: Groups of a key up to this size are compared pair by pair.
 PAIRWISE = 16
@@ -34,6 +36,8 @@ BLOCKS = 8
 #: Common beginnings and ends of two lines are left out in steps of this part of the shorter one.
 STRIPS = 16
 FILTER_BITS = 1 << 26
+#: Lines with more than one in HOT of all repeated occurrences (so fewer than HOT of them) are dealt over SALTS tasks.
+HOT, SALTS = 1000, 64
 BLANKS = " \t\r"
 
 
@@ -165,14 +169,15 @@ def _agreeing(length: Column, agree: Callable[[Column], Column]) -> Column:
 
 
 def _later(members: DataFrame, threshold: int) -> DataFrame:
-    """h1, h2 of the later line of each pair of members of a key whose rests are within threshold edits.
+    """h1, h2 of the later line of each pair of members of a key that are within threshold edits.
 
-    Above threshold 1 the rest is the whole line, as what is left of two lines may be nearer than they are.
+    Above threshold 1 whole lines are compared, as what is left of two lines may be nearer than they are.
     """
+    text = "line" if threshold > 1 else "rest"
     a, b = members.alias("a"), members.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.role") == 3) & ((F.col("b.role") == 2) | (F.col("a.h1") < F.col("b.h1"))) & (F.col("a.h1") != F.col("b.h1"))
-    pairs = a.join(b, meet).where(F.abs(F.length("a.rest") - F.length("b.rest")) <= threshold)
-    pairs = pairs.select("a.h1", "a.h2", "a.first", F.col("b.h1").alias("o1"), F.col("b.h2").alias("o2"), F.col("b.first").alias("other"), F.col("a.rest").alias("x"), F.col("b.rest").alias("y"))
+    pairs = a.join(b, meet).where(F.abs(F.length(f"a.{text}") - F.length(f"b.{text}")) <= threshold)
+    pairs = pairs.select("a.h1", "a.h2", "a.first", F.col("b.h1").alias("o1"), F.col("b.h2").alias("o2"), F.col("b.first").alias("other"), F.col(f"a.{text}").alias("x"), F.col(f"b.{text}").alias("y"))
     own = F.col("first") > F.col("other")
     later = (F.when(own, F.col("h1")).otherwise(F.col("o1")).alias("h1"), F.when(own, F.col("h2")).otherwise(F.col("o2")).alias("h2"))
     if threshold > 1:
@@ -193,7 +198,7 @@ def _later(members: DataFrame, threshold: int) -> DataFrame:
 def near_lines(lines: DataFrame, threshold: int | None = None, least_chars: int = LEAST_CHARS, pairwise: int = PAIRWISE) -> DataFrame:
     """h1, h2 of the lines within threshold edits, or those of EDITS, of one that occurs earlier; lines: h1, h2, place, line.
 
-    place orders occurrences. At thresholds above 1 all groups are compared pair by pair.
+    place orders occurrences.
     """
     found = None
     for edits, low, below in _classes(threshold, least_chars):
@@ -213,20 +218,25 @@ def _near_lines(long_lines: DataFrame, threshold: int, below: int | None, pairwi
     bloom = Bloom(crowded, "key", n_bits, 4)
     again = _exploded(long_lines, threshold, "h1", "h2", "place", "line", below=below, places=True).where(bloom.holds(F.col("s.key")))
     rest = F.concat(F.substring("line", F.lit(1), F.col("s.start")), F.col("line").substr(F.col("s.start") + F.col("s.size") + 1, F.length("line")))
-    rest = F.col("line") if threshold > 1 else rest
-    exact = again.select("h1", "h2", "place", "s.key", "s.role", rest.alias("rest")).join(crowded, "key")
+    line = ["line"] if threshold > 1 else []
+    exact = again.select("h1", "h2", "place", "s.key", "s.role", rest.alias("rest"), *line).join(crowded, "key")
+    return _within_keys(exact, threshold, pairwise) if threshold > 1 else _within_blocks(exact, pairwise)
+
+
+def _within_blocks(exact: DataFrame, pairwise: int) -> DataFrame:
+    """h1, h2 of the lines of each key whose rests are within one edit of that of an earlier one."""
     found = None
     while True:
         # a line that occurs often is one member, with its first place
         members = exact.groupBy("key", "h1", "role").agg(F.min("place").alias("first"), F.any_value("h2").alias("h2"), F.any_value("rest").alias("rest"))
         members = shared.stored(members, "line-members")
         sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.length("rest")).alias("longest"))
-        small = (F.col("n") <= pairwise) | (F.col("longest") <= 2) | F.lit(threshold > 1)
+        small = (F.col("n") <= pairwise) | (F.col("longest") <= 2)
         some = sizes.where(small).where("n > 1").select("key")
-        later = shared.stored(_later(members.join(some, "key"), threshold).distinct(), "line-later")
+        later = shared.stored(_later(members.join(some, "key"), 1).distinct(), "line-later")
         found = later if found is None else found.union(later)
         large = sizes.where(~small).select("key")
-        if threshold > 1 or large.isEmpty():
+        if large.isEmpty():
             return found.distinct()
         left = members.join(large, "key")
         cut = left.select("h1", "h2", F.col("first").alias("place"), F.explode(_blocks(F.col("rest"), F.col("key"))).alias("s"))
@@ -234,6 +244,60 @@ def _near_lines(long_lines: DataFrame, threshold: int, below: int | None, pairwi
         exact = cut.join(_crowded(cut), "key")
 
 
+def _cut_again(group: Column, role: Column, rest: Column, target: Column, threshold: int) -> Column:
+    """array<struct<key, role, rest>>: the segments of a rest of target characters, or where they may be in a longer one."""
+    parts, out, more = threshold + 1, [], F.length(rest) - target
+    for i in range(parts):
+        begin = F.floor(target * i / parts).cast("int")
+        size = F.floor(target * (i + 1) / parts).cast("int") - begin
+        for shift in range(-i, i + 1):
+            at = begin + shift
+            key = F.xxhash64(group, F.lit(i), rest.substr(at + 1, size))
+            fits = (more - (threshold - i) <= shift) & (F.lit(shift) <= more + threshold - i) & (at >= 0) & (at + size <= F.length(rest))
+            own = F.when((role == 3) & F.lit(shift == 0), 3).otherwise(2)
+            left = F.concat(rest.substr(F.lit(1), at), rest.substr(at + size + 1, F.length(rest)))
+            out.append(F.when(fits, F.struct(key.alias("key"), own.alias("role"), left.alias("rest"))))
+    return F.filter(F.array(*out), lambda s: s.isNotNull())
+
+
+def _within_keys(exact: DataFrame, threshold: int, pairwise: int) -> DataFrame:
+    """h1, h2 of the lines of each key that are within threshold edits of an earlier one.
+
+    Of a group's members, those of role 3 are of one length, and so are their rests. Every level takes a segment off these,
+    until no more than threshold characters are left: there all pairs are compared, of which there can't be many.
+    """
+    found = None
+    while True:
+        members = exact.groupBy("key", "h1", "role", "rest").agg(F.min("place").alias("first"), F.any_value("h2").alias("h2"), F.any_value("line").alias("line"))
+        members = shared.stored(members, "line-members")
+        length, turned = F.length("rest"), F.reverse("rest")
+        sizes = members.groupBy("key").agg(
+            F.count("*").alias("n"), F.min(F.struct("first", "h1", "line")).alias("earliest"), F.max(F.when(F.col("role") == 3, length)).alias("target"),
+            F.min(length).alias("least"), F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(turned).alias("low_end"), F.max(turned).alias("high_end"),
+        )
+        # what the least and the greatest of some texts have in common at the beginning, all have
+        head = _agreeing(F.col("least"), lambda k: F.substring("low", F.lit(1), k) == F.substring("high", F.lit(1), k))
+        tail = _agreeing(F.col("least"), lambda k: F.substring("low_end", F.lit(1), k) == F.substring("high_end", F.lit(1), k))
+        sizes = sizes.where("n > 1").withColumn("head", head).withColumn("tail", F.least(tail, F.col("least") - F.col("head"))).drop("low", "high", "low_end", "high_end", "least")
+        sizes = shared.stored(sizes, "line-sizes")
+        last = (F.col("n") <= pairwise) | (F.col("target") - F.col("head") - F.col("tail") <= threshold)
+        later = _later(members.join(sizes.where(last).select("key"), "key"), threshold)
+        large = members.join(sizes.where(~last), "key")
+        settled = large.where((F.col("h1") != F.col("earliest.h1")) & (F.levenshtein("line", F.col("earliest.line"), threshold) >= 0)).select("h1", "h2")
+        later = shared.stored(later.union(settled).distinct(), "line-later")
+        found = later if found is None else found.union(later)
+        still = large.where(F.col("h1") != F.col("earliest.h1")).join(found, ["h1", "h2"], "left_anti").select("key").distinct()
+        still = shared.stored(still, "line-open")
+        if still.isEmpty():
+            return found.distinct()
+        middle = F.col("rest").substr(F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail"))
+        target = F.col("target") - F.col("head") - F.col("tail")
+        left = large.join(still, "key").select("h1", "h2", "line", F.col("first").alias("place"), "key", "role", middle.alias("rest"), target.alias("target"))
+        cut = left.select("h1", "h2", "line", "place", F.explode(_cut_again(F.col("key"), F.col("role"), F.col("rest"), F.col("target"), threshold)).alias("s"))
+        cut = shared.stored(cut.select("h1", "h2", "line", "place", "s.key", "s.role", "s.rest"), "line-blocks")
+        exact = cut.join(_crowded(cut), "key")
+
+
 # ---------------------------------------------------------------- documents
 
 
@@ -249,33 +313,39 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     lines = _occurrences(docs, id_col, text_col)
     near = near_lines(lines, threshold, least_chars)
     repeated = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    marks = repeated.select("h1", "h2", "first", F.lit(False).alias("near")).union(near.select("h1", "h2", F.lit(None).cast(repeated.schema["first"].dataType), F.lit(True)))
-    marks = marks.groupBy("h1", "h2").agg(F.max("first").alias("first"), F.max("near").alias("near"))
-    gone = lines.select("h1", "h2", "place").join(marks, ["h1", "h2"]).where(F.col("near") | (F.col("place") != F.col("first")))
+    marks = repeated.select("h1", "h2", "first", "n", F.lit(False).alias("near")).union(near.select("h1", "h2", F.lit(None).cast(repeated.schema["first"].dataType), F.lit(1).cast("long"), F.lit(True)))
+    marks = shared.stored(marks.groupBy("h1", "h2").agg(F.max("first").alias("first"), F.max("near").alias("near"), F.max("n").alias("n")), "line-marks")
+    hot = F.col("n") * HOT > int(marks.agg(F.sum("n")).first()[0] or 0)
+    salted = marks.select("h1", "h2", "first", "near", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    placed = lines.select("h1", "h2", "place").join(F.broadcast(marks.where(hot).select("h1", "h2", F.lit(SALTS).alias("salts"))), ["h1", "h2"], "left")
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("place"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    gone = placed.join(salted, ["h1", "h2", "salt"]).where(F.col("near") | (F.col("place") != F.col("first")))
     bits = gone.groupBy("place.doc", "place.print", F.floor(F.col("place.at") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place.at & 63))").alias("bits"))
     of_doc = bits.groupBy("doc", "print").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("gone"), F.sum(F.bit_count("bits")).alias("n_gone"))
     return of_doc
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int | None = None, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs with the text of what stays and two more columns, __n_lines (not blank) and __n_gone.
+    """docs with the text of what stays and two more columns, __n_lines (not blank) and __n_gone, in place of any of these names.
 
     Rows with a null id or text come back unchanged and have no part in others'. Repeated rows are one document: they
-    lose the same lines. An empty table gives an empty one.
+    lose the same lines. Equal places of rows with one id are told apart by their texts. An empty table gives an empty one.
     """
-    gone = removals(docs, id_col=id_col, text_col=text_col, threshold=threshold, least_chars=least_chars)
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("print").alias("__print"), F.col("gone").alias("__gone"), "n_gone")
+    kept = [c for c in docs.columns if c.lower() not in ("__n_lines", "__n_gone")]
+    doc, print_, gone, n_gone = shared.unused(docs.columns, "__doc", "__print", "__gone", "__count")
+    found = removals(docs, id_col=id_col, text_col=text_col, threshold=threshold, least_chars=least_chars)
+    found = found.select(F.col("doc").alias(doc), F.col("print").alias(print_), F.col("gone").alias(gone), F.col("n_gone").alias(n_gone))
     text, parts = F.col(text_col), F.split(F.col(text_col), "\n")
-    joined = docs.join(gone, (F.col(id_col).cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__print")), "left")
-    bit = lambda k: F.call_function("shiftrightunsigned", F.coalesce(F.element_at("__gone", F.shiftright(k, 6)), F.lit(0).cast("long")), k.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1))
+    joined = docs.select(*kept).join(found, (F.col(id_col).cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(print_)), "left")
+    bit = lambda k: F.call_function("shiftrightunsigned", F.coalesce(F.element_at(gone, F.shiftright(k, 6)), F.lit(0).cast("long")), k.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1))
     left = F.array_join(F.filter(parts, lambda _, k: bit(k) == 0), "\n")
     n_lines = F.coalesce(F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(BLANKS)) != "")), F.lit(0))
-    new = joined.withColumn("__n_lines", F.when(text.isNull(), 0).otherwise(n_lines)).withColumn("__n_gone", F.coalesce("n_gone", F.lit(0)).cast("int"))
-    new = new.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(left))
-    return new.select(*docs.columns, "__n_lines", "__n_gone")
+    new = joined.withColumn("__n_lines", F.when(text.isNull(), 0).otherwise(n_lines)).withColumn("__n_gone", F.coalesce(n_gone, F.lit(0)).cast("int"))
+    new = new.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(left))
+    return new.select(*kept, "__n_lines", "__n_gone")
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with what line deduplication leaves of their texts."""
+    """All documents with what line deduplication leaves of their texts; odd rows as dedup_lines() says, long texts whole."""
     found = dedup_lines(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_gone").alias("n_removed"), "text")

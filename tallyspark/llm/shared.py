@@ -37,6 +37,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(n + "_" for n in names)
+    return list(names)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: a cut of lineage that a lost executor doesn't undo."""
     spark = df.sparkSession

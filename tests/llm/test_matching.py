@@ -212,7 +212,7 @@ def brute_lines(docs, threshold, least):
     return {d: "\n".join(x for k, x in enumerate(t.split("\n")) if stays(d, k, x)) for d, t in docs}
 
 
-@pytest.mark.parametrize("threshold, pairwise", [(1, 16), (1, 2), (2, 16)])
+@pytest.mark.parametrize("threshold, pairwise", [(1, 16), (1, 2), (2, 16), (2, 2), (3, 2)])
 def test_lines_equal_brute_force(spark, monkeypatch, threshold, pairwise):
     monkeypatch.setattr(linededup.near_lines, "__defaults__", (1, 20, pairwise))
     rng = random.Random(2)
@@ -245,6 +245,35 @@ def test_longer_lines_may_differ_by_more_edits(spark):
     assert {edits(20), edits(60), edits(100)} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("pairwise", [16, 2])
+def test_crowds_of_near_copies(spark, monkeypatch, pairwise):
+    """Hundreds of lines that share most of their text: some within three edits of others, some further from all."""
+    monkeypatch.setattr(linededup.near_lines, "__defaults__", (None, 20, pairwise))
+    rng = random.Random(12)
+    frame = "".join(rng.choice("abcdefgh ") for _ in range(90)).strip()
+    texts = [f"{frame[:20]}{rng.randrange(10**6):06} {frame[20:60]}{rng.choice('xyz') * rng.randint(0, 3)}{frame[60:]}{rng.randrange(10**4):04}" for _ in range(120)]
+    texts += [edited(rng, rng.choice(texts), rng.randint(1, 4)) for _ in range(80)]
+    texts += [f"number {k:03} of a template line that is somewhat longer" for k in rng.sample(range(1000), 60)]
+    rng.shuffle(texts)
+    edits = lambda n: max(e for begin, e in linededup.EDITS if n >= begin)
+    want = {d: "" if any(x != y and distance(x, y) <= edits(min(len(x), len(y))) for y in texts[:d]) or x in texts[:d] else x for d, x in enumerate(texts)}
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == want and 20 < sum(not t for t in want.values()) < 240
+
+
+def test_columns_that_clash_with_those_inside(spark):
+    docs = spark.createDataFrame([(1, "same line", 7, 8, 9), (2, "same line", 7, 8, 9)], "doc_id long, text string, n_gone int, __doc int, __N_GONE int")
+    got = linededup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "n_gone", "__doc", "__n_lines", "__n_gone"]
+    assert sorted(map(tuple, got.collect())) == [(1, "same line", 7, 8, 1, 0), (2, "", 7, 8, 1, 1)]
+
+
+def test_a_line_that_a_third_of_all_rows_hold(spark):
+    docs = [(k, "the very common line of all\n" + f"and a line of its own {k * 7919:09}, {k * 104729:09}") for k in range(300)]
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
+    assert sum("common" in r.text for r in got) == 1 and sum(r["__n_gone"] for r in got) == 299
+
+
 def test_lines_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "same line\nother"), (2, None), (3, ""), (4, "same line"), (1, "same line\nother"), (None, "same line"), (5, "\n".join(f"l{k % 3000}" for k in range(6000)))], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.text, r["__n_lines"], r["__n_gone"]) for r in linededup.dedup_lines(docs).collect()), key=str)
