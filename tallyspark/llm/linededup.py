@@ -4,8 +4,10 @@ Of equal lines the first occurrence stays, by document id and place; a line that
 that occurs earlier goes. Longer lines may differ by more edits: without a threshold, the shorter line of a pair gives it
 by EDITS. Lines are compared without blanks at their ends; blank lines always stay.
 
-1. Each long enough line is cut into threshold + 1 segments: one of them must occur unchanged, near its place, in any
-   line within threshold edits. Segments and the substrings to probe with are keyed by (length, segment number, text).
+1. Each long enough line is cut into threshold + 1 segments, the first half of them from its beginning, the others from its
+   end, of a size that a class of lengths has in common. One of them must occur unchanged in any line within threshold
+   edits: the k-th from either end at most k places off, as fewer edits lie beyond it. Segments and the substrings to
+   probe with are keyed by (segment number, length class, text); a line probes the next lower class too if it is near.
 2. Keys are counted before rows meet; a Bloom filter of those that two different lines share thins the second scan.
 3. Small groups of a key are compared pair by pair: at threshold 1 with a banded bit-parallel edit distance of what is left
    beside the segment, at higher ones as a whole, by Spark's own banded edit distance.
@@ -103,36 +105,39 @@ def _classes(threshold: int | None, least_chars: int) -> list[tuple[int, int, in
     return [(edits, max(begin, least_chars), end) for (begin, edits), end in zip(EDITS, ends) if end is None or least_chars < end]
 
 
-def _segments(line: Column, threshold: int, below: int | None = None) -> list[tuple[Column, int, Column, Column]]:
-    """(key, role, start, size) of each substring to look up: role 3 for a line's own segments, which also probe, 2 for other probes.
+def _length_class(n: Column) -> Column:
+    """The length rounded down to three binary digits, which leaves four classes between powers of two."""
+    spare = F.greatest(F.length(F.bin(n.cast("long"))) - 3, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", n, spare), spare)
 
-    below: lines of this length or more are not looked for.
-    """
-    n, parts, out = F.length(line), threshold + 1, []
-    for less in range(threshold + 1):
-        target = n - less
-        for i in range(parts):
-            begin, end = ((target * k - F.pmod(target * k, F.lit(parts))) / parts for k in (i, i + 1))
-            begin, size = begin.cast("int"), (end - begin).cast("int")
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1):
-                key = F.xxhash64(F.lit(i), target, line.substr(begin + (shift + 1), size))
-                if threshold > 1:
-                    key = F.when((begin + shift >= 0) & (begin + shift + size <= n), key)
-                if below is not None:
-                    key = F.when(target < below, key)
-                out.append((key, 2 if less or shift else 3, begin + shift, size))
-    return out
-
-
-def _exploded(lines: DataFrame, threshold: int, *columns: str, below: int | None = None, places: bool = False) -> DataFrame:
-    """A row for each substring: columns, key, role and, if asked for, start and size.
-
-    Keys are computed in a projection of their own, which shares what they have in common.
+
+def _segments(line: Column, threshold: int, group: Column | None = None) -> Column:
+    """array<struct<key, role, start, size>> of the substrings to look up: role 3 for a line's own segments, which also probe, 2 for other probes.
+
+    group: what must agree besides. Lines of threshold or fewer characters have no segments.
     """
-    found = _segments(F.col("line"), threshold, below)
-    fields = lambda k, r, a, n: [k.alias("key"), F.lit(r).alias("role"), *([a.alias("start"), n.alias("size")] if places else [])]
-    ready = lines.select(*columns, *[F.struct(*fields(*f)).alias(f"s{k}") for k, f in enumerate(found)])
-    return ready.select(*columns, F.explode(F.array(*[f"s{k}" for k in range(len(found))])).alias("s"))
+    def places(v: Column) -> Column:
+        n, own, lower, out = v["n"], v["own"], v["lower"], []
+        for near, held in ((False, own), (True, lower)):
+            size = F.floor(held / (threshold + 1)).cast("int")
+            for i in range(threshold + 1):
+                k = i if i < (threshold + 1) // 2 else threshold - i
+                begin = size * i if i == k and i < (threshold + 1) // 2 else n - size * (k + 1)
+                for shift in range(-k, k + 1):
+                    start = begin + shift
+                    key = F.xxhash64(F.lit(i), held, *([] if group is None else [group]), line.substr(start + 1, size))
+                    found = F.struct(key.alias("key"), F.lit(2 if near or shift else 3).alias("role"), start.alias("start"), size.alias("size"))
+                    out.append(F.when((size > 0) & (lower != own) if near else size > 0, found))
+        return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+    n = F.length(line)
+    held = F.struct(n.alias("n"), _length_class(n).alias("own"), _length_class(F.greatest(n - threshold, F.lit(0))).alias("lower"))
+    return F.get(F.transform(F.array(held), places), F.lit(0))
+
+
+def _exploded(lines: DataFrame, threshold: int, *columns: str) -> DataFrame:
+    """A row for each substring: columns and s."""
+    return lines.select(*columns, F.explode(_segments(F.col("line"), threshold)).alias("s"))
 
 
 def _blocks(text: Column, group: Column) -> Column:
@@ -168,31 +173,65 @@ def _agreeing(length: Column, agree: Callable[[Column], Column]) -> Column:
     return found
 
 
-def _later(members: DataFrame, threshold: int) -> DataFrame:
-    """h1, h2 of the later line of each pair of members of a key that are within threshold edits.
+def close(x: Column, y: Column, threshold: int) -> Column:
+    """Whether two strings are within threshold edits.
 
-    Above threshold 1 whole lines are compared, as what is left of two lines may be nearer than they are.
+    Of STRIPS pieces of the one all but threshold must be in the other, at most threshold places off; that settles most
+    pairs. For the others common ends are left out and Spark's banded edit distance decides, whose time grows with the square.
     """
-    text = "line" if threshold > 1 else "rest"
+    shifts = F.array(*[F.lit(s) for s in sorted(range(-threshold, threshold + 1), key=abs)])
+
+    def bound(v: Column) -> Column:
+        def there(k: Column) -> Column:
+            begin = F.floor(v["n"] * k / STRIPS).cast("int")
+            size = F.floor(v["n"] * (k + 1) / STRIPS).cast("int") - begin
+            return F.exists(shifts, lambda s: v["x"].substr(begin + 1, size) == v["y"].substr(begin + 1 + s, size))
+
+        pieces = F.size(F.filter(F.sequence(F.lit(0), F.lit(STRIPS - 1)), there))
+        head = _agreeing(v["least"], lambda k: v["x"].substr(F.lit(1), k) == v["y"].substr(F.lit(1), k))
+        tail = _agreeing(v["least"], lambda k: v["x"].substr(v["n"] - k + 1, k) == v["y"].substr(v["m"] - k + 1, k))
+        ends = F.struct(head.alias("head"), tail.alias("tail"))
+
+        def middle(e: Column) -> Column:
+            end = F.least(e["tail"], v["least"] - e["head"])
+            x, y = (v[c].substr(e["head"] + 1, v[n] - e["head"] - end) for c, n in (("x", "n"), ("y", "m")))
+            return F.levenshtein(x, y, threshold) >= 0
+
+        near = (F.abs(v["n"] - v["m"]) <= threshold) & (pieces >= STRIPS - threshold)
+        return F.when(near, F.get(F.transform(F.array(ends), middle), F.lit(0))).otherwise(F.lit(False))
+
+    held = F.struct(x.alias("x"), y.alias("y"), F.length(x).alias("n"), F.length(y).alias("m"), F.least(F.length(x), F.length(y)).alias("least"))
+    return F.get(F.transform(F.array(held), bound), F.lit(0))
+
+
+def _later(members: DataFrame) -> DataFrame:
+    """h1, h2 of the later line of each pair of members of a key whose rests are within one edit."""
     a, b = members.alias("a"), members.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.role") == 3) & ((F.col("b.role") == 2) | (F.col("a.h1") < F.col("b.h1"))) & (F.col("a.h1") != F.col("b.h1"))
-    pairs = a.join(b, meet).where(F.abs(F.length(f"a.{text}") - F.length(f"b.{text}")) <= threshold)
-    pairs = pairs.select("a.h1", "a.h2", "a.first", F.col("b.h1").alias("o1"), F.col("b.h2").alias("o2"), F.col("b.first").alias("other"), F.col(f"a.{text}").alias("x"), F.col(f"b.{text}").alias("y"))
+    pairs = a.join(b, meet).where(F.abs(F.length("a.rest") - F.length("b.rest")) <= 1)
+    pairs = pairs.select("a.h1", "a.h2", "a.first", F.col("b.h1").alias("o1"), F.col("b.h2").alias("o2"), F.col("b.first").alias("other"), F.col("a.rest").alias("x"), F.col("b.rest").alias("y"))
     own = F.col("first") > F.col("other")
     later = (F.when(own, F.col("h1")).otherwise(F.col("o1")).alias("h1"), F.when(own, F.col("h2")).otherwise(F.col("o2")).alias("h2"))
-    if threshold > 1:
-        return pairs.where(F.levenshtein("x", "y", threshold) >= 0).select(*later)
     least = F.least(F.length("x"), F.length("y"))
     head = _agreeing(least, lambda k: F.substring("x", F.lit(1), k) == F.substring("y", F.lit(1), k))
     tail = _agreeing(least, lambda k: _last("x", k) == _last("y", k))
     same = pairs.withColumns({"least": least, "head": head, "tail": tail})
     # written, as the optimizer would put these long expressions wherever their columns are used
     same = shared.stored(same, "line-pairs").withColumn("tail", F.least("tail", F.col("least") - F.col("head")))
-    if threshold == 1:  # all but the block with the edit must agree
-        same = same.where(F.col("least") - F.col("head") - F.col("tail") <= F.col("least") / STRIPS + 2)
+    # all but the block with the edit must agree
+    same = same.where(F.col("least") - F.col("head") - F.col("tail") <= F.col("least") / STRIPS + 2)
     middle = lambda c: F.substring(c, F.col("head") + 1, F.length(c) - F.col("head") - F.col("tail"))
-    near = same.where(edit_distance(middle("x"), middle("y"), threshold) <= threshold)
-    return near.select(*later)
+    return same.where(edit_distance(middle("x"), middle("y"), 1) <= 1).select(*later)
+
+
+def _open_pairs(members: DataFrame, found: DataFrame | None, seen: DataFrame | None, threshold: int) -> DataFrame:
+    """h1, o1: pairs of members of a key, the later line first, but those that were compared before or whose later line is known to go."""
+    a, b = (members.select("key", "role", "h1", "h2", "first", F.length("line").alias("n")).alias(x) for x in "ab")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & ((F.col("a.role") == 3) | (F.col("b.role") == 3)) & (F.col("a.first") > F.col("b.first")))
+    pairs = met.where((F.col("a.h1") != F.col("b.h1")) & (F.abs(F.col("a.n") - F.col("b.n")) <= threshold)).select("a.h1", "a.h2", F.col("b.h1").alias("o1"))
+    pairs = pairs if found is None else pairs.join(found, ["h1", "h2"], "left_anti")
+    pairs = pairs.select("h1", "o1").distinct()
+    return pairs if seen is None else pairs.join(seen, ["h1", "o1"], "left_anti")
 
 
 def near_lines(lines: DataFrame, threshold: int | None = None, least_chars: int = LEAST_CHARS, pairwise: int = PAIRWISE) -> DataFrame:
@@ -204,20 +243,20 @@ def near_lines(lines: DataFrame, threshold: int | None = None, least_chars: int
     for edits, low, below in _classes(threshold, least_chars):
         length = F.length("line")
         some = lines.where((length >= low) & (F.lit(True) if below is None else length < below + edits))
-        own = _near_lines(some, edits, below, pairwise)
+        own = _near_lines(some, edits, pairwise)
         found = own if found is None else found.union(own)
     return found.distinct()
 
 
-def _near_lines(long_lines: DataFrame, threshold: int, below: int | None, pairwise: int) -> DataFrame:
-    """near_lines() at one threshold, for pairs whose shorter line is shorter than below."""
-    keyed = _exploded(long_lines, threshold, "h1", below=below)
+def _near_lines(long_lines: DataFrame, threshold: int, pairwise: int) -> DataFrame:
+    """near_lines() at one threshold."""
+    keyed = _exploded(long_lines, threshold, "h1")
     crowded = shared.stored(_crowded(keyed.select("h1", "s.key", "s.role")), "line-keys")
     n_keys = crowded.count()
     n_bits = min(FILTER_BITS, 1 << max(16, (10 * n_keys).bit_length()))
     bloom = Bloom(crowded, "key", n_bits, 4)
-    again = _exploded(long_lines, threshold, "h1", "h2", "place", "line", below=below, places=True).where(bloom.holds(F.col("s.key")))
-    rest = F.concat(F.substring("line", F.lit(1), F.col("s.start")), F.col("line").substr(F.col("s.start") + F.col("s.size") + 1, F.length("line")))
+    again = _exploded(long_lines, threshold, "h1", "h2", "place", "line").where(bloom.holds(F.col("s.key")))
+    rest = _without(F.col("line"), F.col("s.start"), F.col("s.size"))
     line = ["line"] if threshold > 1 else []
     exact = again.select("h1", "h2", "place", "s.key", "s.role", rest.alias("rest"), *line).join(crowded, "key")
     return _within_keys(exact, threshold, pairwise) if threshold > 1 else _within_blocks(exact, pairwise)
@@ -233,7 +272,7 @@ def _within_blocks(exact: DataFrame, pairwise: int) -> DataFrame:
         sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.length("rest")).alias("longest"))
         small = (F.col("n") <= pairwise) | (F.col("longest") <= 2)
         some = sizes.where(small).where("n > 1").select("key")
-        later = shared.stored(_later(members.join(some, "key"), 1).distinct(), "line-later")
+        later = shared.stored(_later(members.join(some, "key")).distinct(), "line-later")
         found = later if found is None else found.union(later)
         large = sizes.where(~small).select("key")
         if large.isEmpty():
@@ -244,35 +283,23 @@ def _within_blocks(exact: DataFrame, pairwise: int) -> DataFrame:
         exact = cut.join(_crowded(cut), "key")
 
 
-def _cut_again(group: Column, role: Column, rest: Column, target: Column, threshold: int) -> Column:
-    """array<struct<key, role, rest>>: the segments of a rest of target characters, or where they may be in a longer one."""
-    parts, out, more = threshold + 1, [], F.length(rest) - target
-    for i in range(parts):
-        begin = F.floor(target * i / parts).cast("int")
-        size = F.floor(target * (i + 1) / parts).cast("int") - begin
-        for shift in range(-i, i + 1):
-            at = begin + shift
-            key = F.xxhash64(group, F.lit(i), rest.substr(at + 1, size))
-            fits = (more - (threshold - i) <= shift) & (F.lit(shift) <= more + threshold - i) & (at >= 0) & (at + size <= F.length(rest))
-            own = F.when((role == 3) & F.lit(shift == 0), 3).otherwise(2)
-            left = F.concat(rest.substr(F.lit(1), at), rest.substr(at + size + 1, F.length(rest)))
-            out.append(F.when(fits, F.struct(key.alias("key"), own.alias("role"), left.alias("rest"))))
-    return F.filter(F.array(*out), lambda s: s.isNotNull())
+def _without(text: Column, start: Column, size: Column) -> Column:
+    return F.concat(F.substring(text, F.lit(1), start), text.substr(start + size + 1, F.length(text)))
 
 
 def _within_keys(exact: DataFrame, threshold: int, pairwise: int) -> DataFrame:
     """h1, h2 of the lines of each key that are within threshold edits of an earlier one.
 
-    Of a group's members, those of role 3 are of one length, and so are their rests. Every level takes a segment off these,
-    until no more than threshold characters are left: there all pairs are compared, of which there can't be many.
+    Every level takes a segment off the rests, until no more than a few characters are left: there all pairs are compared,
+    of which there can't be many, as all else of these lines agrees.
     """
-    found = None
+    found = seen = None
     while True:
         members = exact.groupBy("key", "h1", "role", "rest").agg(F.min("place").alias("first"), F.any_value("h2").alias("h2"), F.any_value("line").alias("line"))
         members = shared.stored(members, "line-members")
         length, turned = F.length("rest"), F.reverse("rest")
         sizes = members.groupBy("key").agg(
-            F.count("*").alias("n"), F.min(F.struct("first", "h1", "line")).alias("earliest"), F.max(F.when(F.col("role") == 3, length)).alias("target"),
+            F.count("*").alias("n"), F.min(F.struct("first", "h1", "line")).alias("earliest"), F.max(length).alias("longest"),
             F.min(length).alias("least"), F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(turned).alias("low_end"), F.max(turned).alias("high_end"),
         )
         # what the least and the greatest of some texts have in common at the beginning, all have
@@ -280,21 +307,30 @@ def _within_keys(exact: DataFrame, threshold: int, pairwise: int) -> DataFrame:
         tail = _agreeing(F.col("least"), lambda k: F.substring("low_end", F.lit(1), k) == F.substring("high_end", F.lit(1), k))
         sizes = sizes.where("n > 1").withColumn("head", head).withColumn("tail", F.least(tail, F.col("least") - F.col("head"))).drop("low", "high", "low_end", "high_end", "least")
         sizes = shared.stored(sizes, "line-sizes")
-        last = (F.col("n") <= pairwise) | (F.col("target") - F.col("head") - F.col("tail") <= threshold)
-        later = _later(members.join(sizes.where(last).select("key"), "key"), threshold)
+        last = (F.col("n") <= pairwise) | (F.col("longest") - F.col("head") - F.col("tail") <= 2 * threshold)
         large = members.join(sizes.where(~last), "key")
-        settled = large.where((F.col("h1") != F.col("earliest.h1")) & (F.levenshtein("line", F.col("earliest.line"), threshold) >= 0)).select("h1", "h2")
-        later = shared.stored(later.union(settled).distinct(), "line-later")
-        found = later if found is None else found.union(later)
+        settled = large.where((F.col("h1") != F.col("earliest.h1")) & close(F.col("line"), F.col("earliest.line"), threshold)).select("h1", "h2")
+        settled = shared.stored(settled.distinct(), "line-later")
+        found = settled if found is None else found.union(settled)
+        pairs = shared.stored(_open_pairs(members.join(sizes.where(last).select("key"), "key"), found, seen, threshold), "line-pairs")
+        seen = pairs if seen is None else seen.union(pairs)
+        texts = members.groupBy("h1").agg(F.any_value("h2").alias("h2"), F.any_value("line").alias("line"))
+        compared = pairs.join(texts, "h1").join(texts.select(F.col("h1").alias("o1"), F.col("line").alias("other")), "o1")
+        later = compared.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct()
+        found = found.union(shared.stored(later, "line-later"))
         still = large.where(F.col("h1") != F.col("earliest.h1")).join(found, ["h1", "h2"], "left_anti").select("key").distinct()
         still = shared.stored(still, "line-open")
         if still.isEmpty():
             return found.distinct()
-        middle = F.col("rest").substr(F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail"))
-        target = F.col("target") - F.col("head") - F.col("tail")
-        left = large.join(still, "key").select("h1", "h2", "line", F.col("first").alias("place"), "key", "role", middle.alias("rest"), target.alias("target"))
-        cut = left.select("h1", "h2", "line", "place", F.explode(_cut_again(F.col("key"), F.col("role"), F.col("rest"), F.col("target"), threshold)).alias("s"))
-        cut = shared.stored(cut.select("h1", "h2", "line", "place", "s.key", "s.role", "s.rest"), "line-blocks")
+        rest = F.col("rest").substr(F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail"))
+        left = large.join(still, "key").select("h1", "h2", "line", F.col("first").alias("place"), "key", rest.alias("rest"))
+        # pairs of which one has no segments left: both are short
+        few = F.filter(
+            F.array(F.struct(F.xxhash64(F.lit("few"), "key").alias("key"), F.lit(3).alias("role"), F.lit(0).alias("start"), F.lit(0).alias("size"))), lambda _: F.length("rest") <= 2 * threshold
+        )
+        cut = left.select("h1", "h2", "line", "place", "rest", F.explode(F.concat(_segments(F.col("rest"), threshold, F.col("key")), few)).alias("s"))
+        cut = cut.select("h1", "h2", "line", "place", "s.key", "s.role", _without(F.col("rest"), F.col("s.start"), F.col("s.size")).alias("rest"))
+        cut = shared.stored(cut, "line-blocks")
         exact = cut.join(_crowded(cut), "key")
 
 
