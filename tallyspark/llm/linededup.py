@@ -111,33 +111,33 @@ def _length_class(n: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", n, spare), spare)
 
 
-def _segments(line: Column, threshold: int, group: Column | None = None) -> Column:
-    """array<struct<key, role, start, size>> of the substrings to look up: role 3 for a line's own segments, which also probe, 2 for other probes.
+def _segments(lines: DataFrame, text: str, threshold: Column | int, *columns: str, group: str | None = None) -> DataFrame:
+    """A row for each substring of a text to look up: columns, key, role, start, size. Role 3 is for a text's own segments,
+    which also probe, 2 for other probes.
 
-    group: what must agree besides. Lines of threshold or fewer characters have no segments.
+    threshold: a number, or a column of numbers from 1 to 3. group: a column that must agree besides. Texts of threshold
+    or fewer characters have no segments.
     """
-    def places(v: Column) -> Column:
-        n, own, lower, out = v["n"], v["own"], v["lower"], []
-        for near, held in ((False, own), (True, lower)):
-            size = F.floor(held / (threshold + 1)).cast("int")
-            for i in range(threshold + 1):
-                k = i if i < (threshold + 1) // 2 else threshold - i
-                begin = size * i if i == k and i < (threshold + 1) // 2 else n - size * (k + 1)
-                for shift in range(-k, k + 1):
-                    start = begin + shift
-                    key = F.xxhash64(F.lit(i), held, *([] if group is None else [group]), line.substr(start + 1, size))
-                    found = F.struct(key.alias("key"), F.lit(2 if near or shift else 3).alias("role"), start.alias("start"), size.alias("size"))
-                    out.append(F.when((size > 0) & (lower != own) if near else size > 0, found))
-        return F.filter(F.array(*out), lambda x: x.isNotNull())
-
-    n = F.length(line)
-    held = F.struct(n.alias("n"), _length_class(n).alias("own"), _length_class(F.greatest(n - threshold, F.lit(0))).alias("lower"))
-    return F.get(F.transform(F.array(held), places), F.lit(0))
-
-
-def _exploded(lines: DataFrame, threshold: int, *columns: str) -> DataFrame:
-    """A row for each substring: columns and s."""
-    return lines.select(*columns, F.explode(_segments(F.col("line"), threshold)).alias("s"))
+    n, own, lower, t, s = shared.unused([*columns, text], "__n", "__own", "__lower", "__t", "__s")
+    ready = lines.withColumn(n, F.length(text)).withColumn(t, threshold if isinstance(threshold, Column) else F.lit(threshold))
+    ready = ready.withColumn(own, _length_class(F.col(n))).withColumn(lower, _length_class(F.greatest(F.col(n) - F.col(t), F.lit(0))))
+
+    def found(edits: int, held: Column, near: bool) -> Column:
+        size, out = F.floor(held / (edits + 1)).cast("int"), []
+        for i in range(edits + 1):
+            left = i < (edits + 1) // 2
+            k = i if left else edits - i
+            for shift in range(-k, k + 1):
+                start = size * i + shift if left else F.col(n) - size * (k + 1) + shift
+                key = F.xxhash64(F.lit(16 * edits + i), held, *([group] if group else []), F.col(text).substr(start + 1, size))
+                out.append(F.struct(key.alias("key"), F.lit(2 if near or shift else 3).alias("role"), start.alias("start"), size.alias("size")))
+        return F.array(*out)
+
+    choice = F.array()
+    for edits in (1, 2, 3) if isinstance(threshold, Column) else (threshold,):
+        some = F.when(F.col(lower) == F.col(own), found(edits, F.col(own), False)).otherwise(F.concat(found(edits, F.col(own), False), found(edits, F.col(lower), True)))
+        choice = F.when(F.col(t) == edits, some).otherwise(choice if edits > 1 and isinstance(threshold, Column) else F.filter(some, lambda _: F.lit(False)))
+    return ready.select(*columns, F.explode(choice).alias(s)).select(*columns, f"{s}.*").where("size > 0")
 
 
 def _blocks(text: Column, group: Column) -> Column:
@@ -154,10 +154,10 @@ def _blocks(text: Column, group: Column) -> Column:
     return F.array(*out)
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
+def _crowded(rows: DataFrame, *more: str) -> DataFrame:
     """Keys that two different lines share, one of them by a segment of its own."""
-    seen = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.expr("bit_or(role)").alias("roles"))
-    return seen.where("key is not null and low != high and (roles & 1) = 1").select("key")
+    seen = rows.groupBy("key", *more).agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.expr("bit_or(role)").alias("roles"))
+    return seen.where("key is not null and low != high and (roles & 1) = 1").select("key", *more)
 
 
 def _last(name: str, n: Column) -> Column:
@@ -237,38 +237,36 @@ def _open_pairs(members: DataFrame, found: DataFrame | None, seen: DataFrame | N
 def near_lines(lines: DataFrame, threshold: int | None = None, least_chars: int = LEAST_CHARS, pairwise: int = PAIRWISE) -> DataFrame:
     """h1, h2 of the lines within threshold edits, or those of EDITS, of one that occurs earlier; lines: h1, h2, place, line.
 
-    place orders occurrences.
+    place orders occurrences. A line takes part at every number of edits that it may share with a shorter or longer one.
     """
+    length, edits = F.length("line"), []
+    for t, low, below in _classes(threshold, least_chars):
+        edits.append(F.when((length >= low) & (F.lit(True) if below is None else length < below + t), F.lit(t)))
+    some = lines.withColumn("edits", F.explode(F.array_compact(F.array(*edits))))
+    keyed = _segments(some, "line", F.col("edits"), "h1", "edits")
+    crowded = shared.stored(_crowded(keyed, "edits"), "line-keys")
+    bloom = Bloom(crowded, "key", min(FILTER_BITS, 1 << max(16, (10 * crowded.count()).bit_length())), 4)
+    again = _segments(some, "line", F.col("edits"), "h1", "h2", "place", "line", "edits").where(bloom.holds(F.col("key")))
+    rest = _without(F.col("line"), F.col("start"), F.col("size"))
+    exact = again.select("h1", "h2", "place", "key", "role", "edits", rest.alias("rest"), F.when(F.col("edits") > 1, F.col("line")).alias("line")).join(crowded, ["key", "edits"])
+    exact = shared.stored(_members(exact, "edits"), "line-members")
     found = None
-    for edits, low, below in _classes(threshold, least_chars):
-        length = F.length("line")
-        some = lines.where((length >= low) & (F.lit(True) if below is None else length < below + edits))
-        own = _near_lines(some, edits, pairwise)
+    for t, *_ in _classes(threshold, least_chars):
+        members = exact.where(F.col("edits") == t).drop("edits")
+        own = _within_keys(members, t, pairwise) if t > 1 else _within_blocks(members, pairwise)
         found = own if found is None else found.union(own)
     return found.distinct()
 
 
-def _near_lines(long_lines: DataFrame, threshold: int, pairwise: int) -> DataFrame:
-    """near_lines() at one threshold."""
-    keyed = _exploded(long_lines, threshold, "h1")
-    crowded = shared.stored(_crowded(keyed.select("h1", "s.key", "s.role")), "line-keys")
-    n_keys = crowded.count()
-    n_bits = min(FILTER_BITS, 1 << max(16, (10 * n_keys).bit_length()))
-    bloom = Bloom(crowded, "key", n_bits, 4)
-    again = _exploded(long_lines, threshold, "h1", "h2", "place", "line").where(bloom.holds(F.col("s.key")))
-    rest = _without(F.col("line"), F.col("s.start"), F.col("s.size"))
-    line = ["line"] if threshold > 1 else []
-    exact = again.select("h1", "h2", "place", "s.key", "s.role", rest.alias("rest"), *line).join(crowded, "key")
-    return _within_keys(exact, threshold, pairwise) if threshold > 1 else _within_blocks(exact, pairwise)
+def _members(rows: DataFrame, *more: str) -> DataFrame:
+    """A line that occurs often is one member of a key, with its first place."""
+    return rows.groupBy("key", "h1", "role", "rest", *more).agg(F.min("place").alias("first"), F.any_value("h2").alias("h2"), F.any_value("line").alias("line"))
 
 
-def _within_blocks(exact: DataFrame, pairwise: int) -> DataFrame:
-    """h1, h2 of the lines of each key whose rests are within one edit of that of an earlier one."""
+def _within_blocks(members: DataFrame, pairwise: int) -> DataFrame:
+    """h1, h2 of the members of each key whose rests are within one edit of that of an earlier one."""
     found = None
     while True:
-        # a line that occurs often is one member, with its first place
-        members = exact.groupBy("key", "h1", "role").agg(F.min("place").alias("first"), F.any_value("h2").alias("h2"), F.any_value("rest").alias("rest"))
-        members = shared.stored(members, "line-members")
         sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.length("rest")).alias("longest"))
         small = (F.col("n") <= pairwise) | (F.col("longest") <= 2)
         some = sizes.where(small).where("n > 1").select("key")
@@ -280,23 +278,22 @@ def _within_blocks(exact: DataFrame, pairwise: int) -> DataFrame:
         left = members.join(large, "key")
         cut = left.select("h1", "h2", F.col("first").alias("place"), F.explode(_blocks(F.col("rest"), F.col("key"))).alias("s"))
         cut = shared.stored(cut.select("h1", "h2", "place", "s.key", "s.role", "s.rest"), "line-blocks")
-        exact = cut.join(_crowded(cut), "key")
+        members = shared.stored(_members(cut.join(_crowded(cut), "key").withColumn("line", F.lit(None).cast("string"))), "line-members")
 
 
 def _without(text: Column, start: Column, size: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), start), text.substr(start + size + 1, F.length(text)))
 
 
-def _within_keys(exact: DataFrame, threshold: int, pairwise: int) -> DataFrame:
-    """h1, h2 of the lines of each key that are within threshold edits of an earlier one.
+def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame:
+    """h1, h2 of the members of each key that are within threshold edits of an earlier one.
 
     Every level takes a segment off the rests, until no more than a few characters are left: there all pairs are compared,
-    of which there can't be many, as all else of these lines agrees.
+    of which there can't be many, as all else of these lines agrees. Only keys go on in which a line that isn't known to
+    go has an earlier one.
     """
     found = seen = None
     while True:
-        members = exact.groupBy("key", "h1", "role", "rest").agg(F.min("place").alias("first"), F.any_value("h2").alias("h2"), F.any_value("line").alias("line"))
-        members = shared.stored(members, "line-members")
         length, turned = F.length("rest"), F.reverse("rest")
         sizes = members.groupBy("key").agg(
             F.count("*").alias("n"), F.min(F.struct("first", "h1", "line")).alias("earliest"), F.max(length).alias("longest"),
@@ -309,8 +306,10 @@ def _within_keys(exact: DataFrame, threshold: int, pairwise: int) -> DataFrame:
         sizes = shared.stored(sizes, "line-sizes")
         last = (F.col("n") <= pairwise) | (F.col("longest") - F.col("head") - F.col("tail") <= 2 * threshold)
         large = members.join(sizes.where(~last), "key")
-        settled = large.where((F.col("h1") != F.col("earliest.h1")) & close(F.col("line"), F.col("earliest.line"), threshold)).select("h1", "h2")
-        settled = shared.stored(settled.distinct(), "line-later")
+        unsettled = large.where(F.col("first") > F.col("earliest.first"))
+        unsettled = unsettled if found is None else unsettled.join(found, ["h1", "h2"], "left_anti")
+        against = unsettled.select("h1", "h2", "line", F.col("earliest.h1").alias("o1"), F.col("earliest.line").alias("other")).dropDuplicates(["h1", "o1"])
+        settled = shared.stored(against.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct(), "line-later")
         found = settled if found is None else found.union(settled)
         pairs = shared.stored(_open_pairs(members.join(sizes.where(last).select("key"), "key"), found, seen, threshold), "line-pairs")
         seen = pairs if seen is None else seen.union(pairs)
@@ -318,20 +317,20 @@ def _within_keys(exact: DataFrame, threshold: int, pairwise: int) -> DataFrame:
         compared = pairs.join(texts, "h1").join(texts.select(F.col("h1").alias("o1"), F.col("line").alias("other")), "o1")
         later = compared.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct()
         found = found.union(shared.stored(later, "line-later"))
-        still = large.where(F.col("h1") != F.col("earliest.h1")).join(found, ["h1", "h2"], "left_anti").select("key").distinct()
+        still = large.where(F.col("first") > F.col("earliest.first")).join(found, ["h1", "h2"], "left_anti").select("key").distinct()
         still = shared.stored(still, "line-open")
         if still.isEmpty():
             return found.distinct()
         rest = F.col("rest").substr(F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail"))
-        left = large.join(still, "key").select("h1", "h2", "line", F.col("first").alias("place"), "key", rest.alias("rest"))
+        left = large.join(still, "key").join(found.distinct().withColumn("gone", F.lit(True)), ["h1", "h2"], "left")
+        left = left.select("h1", "h2", "line", F.col("first").alias("place"), F.col("key").alias("group"), rest.alias("rest"), F.col("gone").isNull().alias("open"))
+        carried = ("h1", "h2", "line", "place", "open", "rest")
+        cut = _segments(left, "rest", threshold, *carried, group="group").select("h1", "h2", "line", "place", "open", "key", "role", _without(F.col("rest"), F.col("start"), F.col("size")).alias("rest"))
         # pairs of which one has no segments left: both are short
-        few = F.filter(
-            F.array(F.struct(F.xxhash64(F.lit("few"), "key").alias("key"), F.lit(3).alias("role"), F.lit(0).alias("start"), F.lit(0).alias("size"))), lambda _: F.length("rest") <= 2 * threshold
-        )
-        cut = left.select("h1", "h2", "line", "place", "rest", F.explode(F.concat(_segments(F.col("rest"), threshold, F.col("key")), few)).alias("s"))
-        cut = cut.select("h1", "h2", "line", "place", "s.key", "s.role", _without(F.col("rest"), F.col("s.start"), F.col("s.size")).alias("rest"))
-        cut = shared.stored(cut, "line-blocks")
-        exact = cut.join(_crowded(cut), "key")
+        few = left.where(F.length("rest") <= 2 * threshold).select("h1", "h2", "line", "place", "open", F.xxhash64(F.lit("few"), "group").alias("key"), F.lit(3).alias("role"), "rest")
+        cut = shared.stored(cut.union(few), "line-blocks")
+        going_on = cut.groupBy("key").agg(F.min("place").alias("low"), F.max(F.when(F.col("open"), F.col("place"))).alias("high")).where("high > low").select("key")
+        members = shared.stored(_members(cut.join(_crowded(cut), "key").join(going_on, "key", "left_semi")), "line-members")
 
 
 # ---------------------------------------------------------------- documents
