@@ -32,8 +32,10 @@ from tallyspark.llm.bloom import Bloom
 EDITS = ((0, 1), (50, 2), (75, 3))
 #: Shorter lines are compared exactly only: an edit in twenty characters may change what a heading or a number says.
 LEAST_CHARS = 20
-#: Groups of a key up to this size are compared pair by pair.
-PAIRWISE = 16
+#: Groups of a key up to this size are compared pair by pair; above one edit up to CROWD, as counts of signs settle most pairs.
+PAIRWISE, CROWD = 16, 64
+#: Signs that are counted together, in as many columns: lines within t edits differ by t at most in what one has over the other.
+COUNTED = ("a", "e", "i", "o", "u", "n", "r", "s", "t", "l", "h", "d", "cm", "gpbf", "01234", "56789")
 BLOCKS = 8
 #: Common beginnings and ends of two lines are left out in steps of this part of the shorter one.
 STRIPS = 16
@@ -224,11 +226,24 @@ def _later(members: DataFrame) -> DataFrame:
     return same.where(edit_distance(middle("x"), middle("y"), 1) <= 1).select(*later)
 
 
+def _counts(line: Column) -> list[Column]:
+    return [(F.length(line) - F.length(F.translate(line, signs, ""))).cast("short").alias(f"c{k}") for k, signs in enumerate(COUNTED)]
+
+
+def _alike(a: str, b: str, threshold: int) -> Column:
+    """Whether the counts of two lines allow for no more than threshold edits."""
+    over = under = F.lit(0)
+    for k in range(len(COUNTED)):
+        more = F.col(f"{a}.c{k}") - F.col(f"{b}.c{k}")
+        over, under = over + F.greatest(more, F.lit(0)), under + F.greatest(-more, F.lit(0))
+    return (over <= threshold) & (under <= threshold)
+
+
 def _open_pairs(members: DataFrame, found: DataFrame | None, seen: DataFrame | None, threshold: int) -> DataFrame:
     """h1, o1: pairs of members of a key, the later line first, but those that were compared before or whose later line is known to go."""
-    a, b = (members.select("key", "role", "h1", "h2", "first", F.length("line").alias("n")).alias(x) for x in "ab")
+    a, b = (members.select("key", "role", "h1", "h2", "first", F.length("line").alias("n"), *[f"c{k}" for k in range(len(COUNTED))]).alias(x) for x in "ab")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & ((F.col("a.role") == 3) | (F.col("b.role") == 3)) & (F.col("a.first") > F.col("b.first")))
-    pairs = met.where((F.col("a.h1") != F.col("b.h1")) & (F.abs(F.col("a.n") - F.col("b.n")) <= threshold)).select("a.h1", "a.h2", F.col("b.h1").alias("o1"))
+    pairs = met.where((F.col("a.h1") != F.col("b.h1")) & (F.abs(F.col("a.n") - F.col("b.n")) <= threshold) & _alike("a", "b", threshold)).select("a.h1", "a.h2", F.col("b.h1").alias("o1"))
     pairs = pairs if found is None else pairs.join(found, ["h1", "h2"], "left_anti")
     pairs = pairs.select("h1", "o1").distinct()
     return pairs if seen is None else pairs.join(seen, ["h1", "o1"], "left_anti")
@@ -293,10 +308,12 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
     go has an earlier one.
     """
     found = seen = None
+    counts = [f"c{k}" for k in range(len(COUNTED))]
     while True:
+        members = members.select("*", *_counts(F.col("line")))
         length, turned = F.length("rest"), F.reverse("rest")
         sizes = members.groupBy("key").agg(
-            F.count("*").alias("n"), F.min(F.struct("first", "h1", "line")).alias("earliest"), F.max(length).alias("longest"),
+            F.count("*").alias("n"), F.min(F.struct("first", "h1", "line", *counts)).alias("earliest"), F.max(length).alias("longest"),
             F.min(length).alias("least"), F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(turned).alias("low_end"), F.max(turned).alias("high_end"),
         )
         # what the least and the greatest of some texts have in common at the beginning, all have
@@ -304,9 +321,10 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
         tail = _agreeing(F.col("least"), lambda k: F.substring("low_end", F.lit(1), k) == F.substring("high_end", F.lit(1), k))
         sizes = sizes.where("n > 1").withColumn("head", head).withColumn("tail", F.least(tail, F.col("least") - F.col("head"))).drop("low", "high", "low_end", "high_end", "least")
         sizes = shared.stored(sizes, "line-sizes")
-        last = (F.col("n") <= pairwise) | (F.col("longest") - F.col("head") - F.col("tail") <= 2 * threshold)
+        last = (F.col("n") <= max(pairwise, CROWD)) | (F.col("longest") - F.col("head") - F.col("tail") <= 2 * threshold)
         large = members.join(sizes.where(~last), "key")
-        unsettled = large.where(F.col("first") > F.col("earliest.first"))
+        own = large.withColumn("own", F.struct(*counts))
+        unsettled = own.where((F.col("first") > F.col("earliest.first")) & _alike("own", "earliest", threshold))
         unsettled = unsettled if found is None else unsettled.join(found, ["h1", "h2"], "left_anti")
         against = unsettled.select("h1", "h2", "line", F.col("earliest.h1").alias("o1"), F.col("earliest.line").alias("other")).dropDuplicates(["h1", "o1"])
         settled = shared.stored(against.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct(), "line-later")

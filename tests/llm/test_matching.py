@@ -215,6 +215,7 @@ def brute_lines(docs, threshold, least):
 @pytest.mark.parametrize("threshold, pairwise", [(1, 16), (1, 2), (2, 16), (2, 2), (3, 2)])
 def test_lines_equal_brute_force(spark, monkeypatch, threshold, pairwise):
     monkeypatch.setattr(linededup.near_lines, "__defaults__", (1, 20, pairwise))
+    monkeypatch.setattr(linededup, "CROWD", pairwise)
     rng = random.Random(2)
     base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(15, 60))).strip() for _ in range(25)]
     docs = []
@@ -249,6 +250,7 @@ def test_longer_lines_may_differ_by_more_edits(spark):
 def test_crowds_of_near_copies(spark, monkeypatch, pairwise):
     """Hundreds of lines that share most of their text: some within three edits of others, some further from all."""
     monkeypatch.setattr(linededup.near_lines, "__defaults__", (None, 20, pairwise))
+    monkeypatch.setattr(linededup, "CROWD", pairwise)
     rng = random.Random(12)
     frame = "".join(rng.choice("abcdefgh ") for _ in range(90)).strip()
     texts = [f"{frame[:20]}{rng.randrange(10**6):06} {frame[20:60]}{rng.choice('xyz') * rng.randint(0, 3)}{frame[60:]}{rng.randrange(10**4):04}" for _ in range(120)]
