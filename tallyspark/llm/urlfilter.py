@@ -23,7 +23,7 @@ RULES = (
 )
 #: Hosts of the query's list: a part of the name, between dots and hyphens, is one of these words.
 LISTED_WORDS = ("cheap", "pills", "casino", "viagra", "replica", "lottery", "xxx", "warez")
-#: A level may take so many bits; a longer list is looked up by a semi join instead.
+#: A level takes so many bits at most: the hosts are split by hash into as many cascades as that takes, used one after another.
 LEVEL_BITS = 1 << 28
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -53,7 +53,7 @@ class Cascade:
 
     @classmethod
     def fit(cls, universe: DataFrame, key: str, listed: str, max_levels: int = 60) -> Cascade | None:
-        """universe: one row per key with a boolean column listed. None if a level would take more than LEVEL_BITS."""
+        """universe: one row per key with a boolean column listed. None if the first level would take more than LEVEL_BITS."""
         inside = universe.where(F.col(listed)).select(key)
         outside = universe.where(~F.col(listed)).select(key)
         inside, outside = shared.stored(inside, "cascade-in"), shared.stored(outside, "cascade-out")
@@ -65,7 +65,7 @@ class Cascade:
             rate = min(0.5, n_in / (math.sqrt(2) * n_out)) if not levels and n_out else 0.5
             hashes = max(1, round(-math.log2(rate)))
             n_bits = math.ceil(n_in * hashes / math.log(2)) + 64
-            if n_bits > LEVEL_BITS:
+            if n_bits > LEVEL_BITS and not levels:
                 return None
             levels.append(Bloom(inside, key, n_bits, hashes, seed=len(levels) + 1))
             if not n_out:
@@ -82,25 +82,53 @@ class Cascade:
         return found
 
 
-def filter_urls(pages: DataFrame, listed: Column, *, url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """pages with host, path, rule and verdict in place of columns of these names.
+def _shard(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(n))
 
-    listed: over the column host, whether the list has it; it is evaluated once per distinct host. Where no rule fits,
-    listed hosts are blocked. A null url, or one without ://, has an empty host and path and is judged by them.
+
+def cascades(universe: DataFrame, key: str, listed: str) -> list[Cascade]:
+    """One cascade for each of a number of shards of the keys, doubled until every first level keeps to LEVEL_BITS."""
+    n = 1
+    while True:
+        found = []
+        for k in range(n):
+            cascade = Cascade.fit(universe if n == 1 else universe.where(_shard(F.col(key), n) == k), key, listed)
+            if cascade is None:
+                break
+            found.append(cascade)
+        else:
+            return found
+        n *= 2
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """pages with host, path, rule and verdict in place of columns of these names, whatever their case.
+
+    listed: the hosts of the list, in its first column; hosts of no page, repeated ones and nulls do nothing. Where no rule
+    fits, listed hosts are blocked. Membership is settled once per distinct host of the pages; with more than one shard of
+    hosts pages are read once for each. A null url, or one without ://, has an empty host and path and is judged by them;
+    repeated rows are judged alike; an empty table gives an empty one.
     """
     names = ("host", "path", "rule", "verdict")
-    own = pages.select(*[c for c in pages.columns if c not in names], host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    universe = shared.stored(own.groupBy("host").agg(F.lit(1).alias("one")).select("host", F.coalesce(listed, F.lit(False)).alias("listed")), "hosts")
-    cascade = Cascade.fit(universe, "host", "listed")
-    if cascade is None:
-        own = own.join(universe, "host")
-        member = F.col("listed")
-    else:
-        member = cascade.holds(F.col("host"))
-    rest = [c for c in pages.columns if c not in names]
-    judged = own.select(*rest, "host", "path", decide(F.col("host"), F.col("path"), rules).alias("found"), member.alias("member"))
-    by_list = F.when(F.col("member"), "block").otherwise("allow")
-    return judged.select(*rest, "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", by_list).alias("verdict"))
+    rest = [c for c in pages.columns if c.lower() not in names]
+    found, member, own_host = shared.unused(pages.columns, "__found", "__member", "__host")
+    own = pages.select(*[F.col(c) for c in rest], host(F.col(url_col)).alias(own_host), path(F.col(url_col)).alias("path"))
+    hosts = own.select(F.col(own_host).alias("host")).distinct()
+    inside = listed.select(F.col(listed.columns[0]).cast("string").alias("host")).where("host is not null").distinct().withColumn("listed", F.lit(True))
+    universe = shared.stored(hosts.join(inside, "host", "left").select("host", F.coalesce("listed", F.lit(False)).alias("listed")), "hosts")
+    shards, out = cascades(universe, "host", "listed"), None
+    for k, cascade in enumerate(shards):
+        some = own if len(shards) == 1 else own.where(_shard(F.col(own_host), len(shards)) == k)
+        judged = some.select(*rest, F.col(own_host).alias("host"), "path", decide(F.col(own_host), F.col("path"), rules).alias(found), cascade.holds(F.col(own_host)).alias(member))
+        by_list = F.when(F.col(member), "block").otherwise("allow")
+        part = judged.select(*rest, "host", "path", F.col(f"{found}.rule").alias("rule"), F.coalesce(f"{found}.verdict", by_list).alias("verdict"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def listed_hosts(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """The query's list: the hosts of the pages that LISTED_WORDS name."""
+    return pages.select(host(F.col(url_col)).alias("host")).distinct().where(F.col("host").rlike(_listed_pattern()))
 
 
 def _listed_pattern() -> str:
@@ -108,9 +136,9 @@ def _listed_pattern() -> str:
 
 
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on each page's url by RULES, else by the list of hosts that LISTED_WORDS name."""
+    """The verdict on each page's url by RULES, else by the list of hosts that LISTED_WORDS name; odd rows as filter_urls() says."""
     pages = shared.table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, F.col("host").rlike(_listed_pattern())).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, listed_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_sql() -> str:

@@ -428,8 +428,34 @@ def test_threshold_search_stops_early():
 
     x = np.zeros((4096, 3))
     x[:, 0] = np.arange(4096)
-    rows, scores, depth = topk.Lists(np.arange(4096), x).top(np.array([1.0, 0, 0]), 4095, 5)
-    assert rows.tolist() == [4094, 4093, 4092, 4091, 4090] and depth < 64
+    best = topk.Best(1, 5)
+    assert topk.Lists(np.arange(4096), x).search(np.array([[1.0, 0, 0]]), np.array([4095]), best) < 64
+    assert best.ids[0].tolist() == [4094, 4093, 4092, 4091, 4090]
+    # a block that can't reach the scores carried from the last one isn't read beyond the first step
+    assert topk.Lists(np.arange(4096) + 9000, x - 5000).search(np.array([[1.0, 0, 0]]), np.array([4095]), best) <= topk.FIRST_DEPTH
+
+
+def test_threshold_search_equals_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for skew in (0.0, 3.0):  # none of the dimensions matters more, and a few do
+        scale = np.exp(-skew * np.arange(8))
+        x, queries = np.round(rng.normal(size=(3000, 8)) * 40 * scale), np.round(rng.normal(size=(20, 8)) * 40 * scale)
+        best, scored = topk.Best(20, 5), 0
+        for part in range(3):
+            scored += topk.Lists(np.arange(part * 1000, part * 1000 + 1000), x[part * 1000 : part * 1000 + 1000]).search(queries, np.arange(20), best)
+        scores = (queries @ x.T).astype(int)
+        for q in range(20):
+            want = sorted((-s, i) for i, s in enumerate(scores[q].tolist()) if i != q)[:5]
+            assert [(-s, i) for s, i in zip(best.scores[q].tolist(), best.ids[q].tolist())] == want
+        assert skew == 0 or scored < 20 * 3000 / 2
+
+
+def test_products_beyond_whole_doubles_fail(spark):
+    rows = spark.createDataFrame([(50, [1 << 30, 1 << 30]), (51, [1 << 30, 1])], "id long, q array<bigint>")
+    with pytest.raises(ValueError):
+        topk.top_k(rows, rows.where("id = 50"))
 
 
 @pytest.mark.parametrize("name", ["op9_topk", "op10_urlfilter"])
@@ -446,8 +472,7 @@ def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.ORG/x", "http://a.org", "https://b.example.org/es/1?x#y", "http://example.org/en/12", "http://notexample.org/es/", "http://x.com/fr/1", "http://x.com/de/1",
             "http://x.com/en/1", "ftp://casino.net/a", "http://a-casino.b.net?q=/fr/", "http://casinos.net/", "http://É.com://y/z", "http://casino.com/fr/", "http://x.com:80/de/"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, verdict string")
-    listed = F.col("host").rlike(urlfilter._listed_pattern())
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, listed).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, urlfilter.listed_hosts(pages)).collect()}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("a.org", "/x", "org/", "allow") and got[4] == ("a.org", "", None, "allow")
     assert got[5] == ("b.example.org", "/es/1", "example.org/es/", "block") and got[6][2:] == ("example.org/en/1", "block") and got[7][2:] == ("org/", "allow")
@@ -455,6 +480,17 @@ def test_urls(spark):
     assert [got[k][3] for k in (11, 12, 13, 15)] == ["block", "block", "allow", "allow"] and got[14][:2] == ("É.com:", "//y/z") and got[16][2] is None
 
 
+@pytest.mark.parametrize("bits", [1 << 28, 300])  # one cascade, and more than one shard
+def test_lists_of_hosts(spark, monkeypatch, bits):
+    monkeypatch.setattr(urlfilter, "LEVEL_BITS", bits)
+    pages = spark.createDataFrame([(k, f"http://h{k % 400}.net/x", k, "y", 1) for k in range(900)], "page_id long, url string, found long, member string, Host int")
+    listed = spark.createDataFrame([(f"h{k}.net", k) for k in range(0, 400, 3)] + [("not.there", 1), (None, 1), ("h0.net", 1)], "h string, n long")
+    got = urlfilter.filter_urls(pages, listed)
+    assert got.columns == ["page_id", "url", "found", "member", "host", "path", "rule", "verdict"]
+    assert {r.page_id: r.verdict for r in got.collect()} == {k: "allow" if k % 400 % 3 else "block" for k in range(900)}
+    assert urlfilter.filter_urls(pages.limit(0), listed).count() == 0 and {r.verdict for r in urlfilter.filter_urls(pages, listed.limit(0)).collect()} == {"allow"}
+
+
 @pytest.mark.parametrize("share", [0, 0.02, 0.5, 1])
 def test_cascade_is_exact(spark, share):
     keys = spark.range(3000).select(F.concat(F.lit("host"), "id").alias("host"), (F.pmod(F.xxhash64("id"), F.lit(100)) < 100 * share).alias("listed"))
