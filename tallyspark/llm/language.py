@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +22,10 @@ CENTROIDS = 3
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+#: Signs of a letter category; numbers that Unicode writes with letters are none.
+_HAS_LETTER = regex.compile(r"\p{L}")
+#: Texts that are counted at a time, each of which takes WIDTH numbers.
+ROWS = 512
 
 
 def counts(column: pa.LargeStringArray) -> np.ndarray:
@@ -93,7 +96,7 @@ def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         seen, n = np.zeros(WIDTH, np.int64), 0
         for batch in batches:
             column = shared.texts(batch.column(0))
-            for a, b in shared.slices(column):
+            for a, b in shared.slices(column, rows=ROWS):
                 seen += (counts(column.slice(a, b - a)) > 0).sum(0)
             n += len(column)
         if n:
@@ -112,7 +115,7 @@ def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = shared.texts(batch.column(2))
-            for a, b in shared.slices(column):
+            for a, b in shared.slices(column, rows=ROWS):
                 own = batch.slice(a, b - a)
                 x = vectors(column.slice(a, b - a), idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "label", "x"])
@@ -148,7 +151,7 @@ def detect(model: Centroids | None, text: Column) -> Column:
     def detected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             column, lang, score, far = shared.texts(batch), [], [], []
-            for a, b in shared.slices(column):
+            for a, b in shared.slices(column, rows=ROWS):
                 some = column.slice(a, b - a)
                 if model is None:
                     lang += [UNKNOWN] * (b - a)
@@ -172,7 +175,9 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicts the language of all documents; rows of the fold crc32(doc_id) mod 3 = 1 are not learned from.
 
     rejected tells that the text lies too far from every centroid; lang_pred then still names the nearest language.
-    Without any labelled row every text is `und`. Repeated rows each get their row.
+    Without any labelled row every text is `und`, as are null and empty texts and those without a letter. Long texts are
+    counted whole. Of equally near centroids the first one wins, by language and then by the order of clustering.
+    Repeated rows each get their row, an empty table none; other columns are ignored.
     """
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(labelled.fold("doc_id", 3) != 1))

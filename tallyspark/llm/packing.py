@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm import shared
+from tallyspark.llm import shared, token_files
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its capacity, in tokens.
@@ -133,8 +133,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", length: object = None, capa
     capacities, spark = sorted(capacities), docs.sparkSession
     most = capacities[-1]
     size = (n_tokens() if length is None else length).cast("long")
-    measured = docs.select(F.col(id_col).alias("doc_id"), size.alias("size")).where("size > 0")
-    cut = measured.select("doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / most))).alias("piece"))
+    measured = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"))
+    cut = measured.select("doc_id", "size", F.explode(F.when(F.col("size") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / most)))).alias("piece"))
     spread = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
     pieces = cut.select("doc_id", "piece", F.least(F.lit(most), F.col("size") - F.col("piece") * most).alias("length"), spread.alias("part"))
     pieces = shared.stored(pieces, "pieces")
@@ -157,6 +157,23 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", length: object = None, capa
     )
 
 
+def pack_files(manifest: DataFrame, **options) -> DataFrame:
+    """pack() for the documents of token files (see token_files.write_tokens), with path and at: where each piece's ids are."""
+    docs = token_files.read_tokens(manifest, with_place=True).select(F.struct("doc_id", "path", "at").alias("doc"), "n_tokens")
+    found = pack(docs, id_col="doc", length=F.col("n_tokens"), **options).withColumnRenamed("doc_id", "doc")
+    return found.select("doc.doc_id", *[c for c in found.columns if c != "doc"], "doc.path", (F.col("doc.at") + F.col("doc_start")).alias("at"))
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """bin_id, capacity, ids: the training sequences of what pack_files() gave, read from the files. A bin holds capacity ids at most."""
+    runs = packed.select("path", "at", F.col("length").alias("n"), "bin_id", "bin_offset", "capacity")
+    pieces = token_files.read_runs(runs).groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list(F.struct("bin_offset", "ids"))).alias("pieces"))
+    return pieces.select("bin_id", "capacity", F.flatten("pieces.ids").alias("ids"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, packed."""
-    return pack(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents, packed by their numbers of tokens as op3 writes them; odd rows as pack() says, null texts have an end mark only."""
+    import public_tokenizers
+
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, length=token_files.n_tokens(F.col("text"), public_tokenizers.path("word_bpe_49k.json")))

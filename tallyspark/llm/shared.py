@@ -87,15 +87,15 @@ def texts(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     return pc.fill_null(column.cast(pa.large_string()), _EMPTY)
 
 
-def slices(column: pa.LargeStringArray, budget: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about budget bytes of text each; a longer text is a range of its own."""
+def slices(column: pa.LargeStringArray, budget: int = SLICE_BYTES, rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Ranges of up to so many rows with about budget bytes of text each; a longer text is a range of its own."""
     if not len(column):
         return
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(column):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + budget, "right"))))
         yield start, stop
         start = stop
 

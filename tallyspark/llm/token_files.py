@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm import shared
 
@@ -353,8 +354,58 @@ def write_tokens(
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
 
-def read_tokens(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
-    """Per document of the files of a manifest: doc_id, start, n_tokens, ids_crc32 and, if asked for, its ids.
+def n_tokens(text: Column, tokenizer_path: str, end_id: int | None = END_ID) -> Column:
+    """How many ids each whole text has in the files, the end id included; null texts are empty."""
+
+    @F.arrow_udf("long")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = encoder(tokenizer_path)
+        for batch in batches:
+            column, found = shared.texts(batch), [np.zeros(0, np.int64)]
+            for a, b in shared.slices(column):
+                found.append(encode.encode(column.slice(a, b - a), end_id)[1])
+            yield pa.array(np.concatenate(found), pa.int64())
+
+    return counted(text)
+
+
+def read_runs(runs: DataFrame) -> DataFrame:
+    """runs: path, at, n and any other columns; these with ids, the n ids from place at of the file on, in place of at and n.
+
+    A file's runs are read by one task, in order; each block is unpacked once.
+    """
+    others = [c for c in runs.columns if c not in ("path", "at", "n")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        open_path, reader, source = None, None, None
+        for batch in batches:
+            out = []
+            for path, at, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if path != open_path:
+                    system, name = fs.FileSystem.from_uri(path)
+                    source = system.open_input_file(name)
+                    reader, open_path, held = Reader(source), path, (-1, None)
+                    ends = np.cumsum(reader.chunks[:, 0])
+                parts = []
+                for k in range(int(np.searchsorted(ends, at, "right")), int(np.searchsorted(ends, at + n)) + 1):
+                    if held[0] != k:
+                        held = k, reader.block(k)
+                    first = int(ends[k]) - len(held[1])
+                    parts.append(held[1][max(at - first, 0) : at + n - first])
+                out.append(np.concatenate(parts).astype(np.int64))
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32), np.concatenate(out) if out else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], lists], [*others, "ids"])
+
+    kind = T.StructType([runs.schema[c] for c in others] + [T.StructField("ids", T.ArrayType(T.LongType()))])
+    ordered = runs.select("path", F.col("at").cast("long"), F.col("n").cast("long"), *others).repartition("path").sortWithinPartitions("path", "at")
+    return ordered.mapInArrow(read, kind)
+
+
+def read_tokens(manifest: DataFrame, *, with_ids: bool = False, with_place: bool = False) -> DataFrame:
+    """Per document of the files of a manifest: doc_id, start, n_tokens, ids_crc32 and, if asked for, its file and the place of
+    its ids in it (path, at), and its ids.
 
     start counts the ids of all documents before it, over all files; files are read in parallel.
     """
@@ -367,9 +418,9 @@ def read_tokens(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
                 system, name = fs.FileSystem.from_uri(path)
                 with system.open_input_file(name) as source:
                     reader = Reader(source)
-                    yield from documents(reader, base or 0)
+                    yield from documents(reader, base or 0, path)
 
-    def documents(reader: Reader, base: int) -> Iterator[pa.RecordBatch]:
+    def documents(reader: Reader, base: int, path: str) -> Iterator[pa.RecordBatch]:
         blocks, held = reader.blocks(), np.zeros(0, "<u4")
         starts = base + np.concatenate([[0], np.cumsum(reader.lengths)])
         for first in range(0, len(reader.lengths), 5000):
@@ -394,6 +445,9 @@ def read_tokens(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
                 pa.array(crcs, pa.int64()),
             ]
             names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+            if with_place:
+                columns += [pa.array([path] * len(crcs), pa.string()), pa.array(starts[:-1][some] - base, pa.int64())]
+                names += ["path", "at"]
             if with_ids:
                 columns.append(pa.array([x.astype(np.int64) for x in lists], pa.list_(pa.int64())))
                 names.append("ids")
@@ -402,7 +456,7 @@ def read_tokens(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
     n_files = max(1, manifest.count())
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     placed = manifest.select("path", F.sum("n_ids").over(before).alias("base")).repartition(n_files)
-    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids
+    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", path string, at long" * with_place + ", ids array<bigint>" * with_ids
     return placed.mapInArrow(read, kind)
 
 

@@ -147,6 +147,24 @@ def test_packing_of_odd_tables(spark):
 
 
 def test_the_query(spark):
-    sample = "/root/testdata/sf0.001"
-    lengths = {d: len((t or "").split()) + 1 for d, t in shared.table(spark, sample, "documents").select("doc_id", "text").collect()}
+    sample, tokenizer = "/root/testdata/sf0.001", Tokenizer.from_file(PATH)
+    docs = shared.table(spark, sample, "documents").select("doc_id", "text").collect()
+    lengths = {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in docs}
     check(packing.op7_packing(spark, sample).collect(), lengths, packing.CAPACITIES)
+
+
+def test_sequences_read_from_token_files(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta!"]) for _ in range(rng.choice([0, 3, 40, 700])))) for k in range(60)] + [(7, "again"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = token_files.write_tokens(docs, PATH, shared.shared_path(spark, "t"), block_ids=256)
+    packed = packing.pack_files(manifest, capacities=(64, 256, 512))
+    got = {r.bin_id: r for r in packing.sequences(packed).collect()}
+    want = Counter(tuple(e[3]) for e in expected([t for _, t in rows]))
+    pieces, found = {}, Counter()
+    for r in packed.collect():
+        pieces.setdefault((r.doc_id, r.path, r.at - r.doc_start), []).append((r.piece, got[r.bin_id].ids[r.bin_offset : r.bin_offset + r.length]))
+        assert len(got[r.bin_id].ids) <= r.capacity == got[r.bin_id].capacity
+    for own in pieces.values():
+        found[tuple(x for _, ids in sorted(own) for x in ids)] += 1
+    assert found == want

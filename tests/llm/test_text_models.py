@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import labelled, language, quality, shared, toxicity
 
@@ -35,6 +36,33 @@ def test_language_of_odd_rows(spark, odd):
     assert {r.r.lang for r in odd.select(language.detect(None, odd["text"]).alias("r")).collect()} == {"und"}
 
 
+def test_numbers_are_no_letters_and_far_texts_are_rejected(spark):
+    rows = [(k, " ".join(["alpha beta", "gamma", "betal"][: 1 + k % 3]), "aa") for k in range(30)] + [(100 + k, f"zulu xray yzx {'zy' * (k % 3)}", "zz") for k in range(30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["½ ² Ⅷ ① 12", "alpha beta gamma", "漢字仮名交じり文", "é", None, "x"]
+    found = [r.r for r in spark.createDataFrame([(t,) for t in texts], "t string").select(language.detect(model, F.col("t")).alias("r")).collect()]
+    assert found[0].lang == found[4].lang == "und" and found[0].rejected and found[1].lang == "aa" and not found[1].rejected
+    assert found[2].lang in ("aa", "zz") and found[2].rejected and found[3].lang != "und"
+    many = language.detect(model, F.col("t"))
+    assert spark.range(3000).select(F.lit("x").alias("t")).select(many.alias("r")).select("r.*").distinct().count() == 1
+
+
+def test_language_equals_the_nearest_centroid(spark):
+    """The whole query against a plain computation of each text's vector and cosines."""
+    folder = "/root/testdata/sf0.001"
+    docs = shared.table(spark, folder, "documents")
+    model = language.fit(docs.where(labelled.fold("doc_id", 3) != 1))
+    got = {r.doc_id: r for r in language.op1_language(spark, folder).collect()}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        counted = language.counts(pa.array([text or ""], pa.large_string()))[0] * model.idf.astype(float)
+        cosines = model.centre @ (counted / max(np.linalg.norm(counted), 1e-9))
+        if any(map(str.isalpha, text or "")):
+            assert abs(got[doc_id].score - min(max(cosines.max(), 0), 1)) < 1e-4
+            assert max(c for c, k in zip(cosines, model.language) if model.languages[k] == got[doc_id].lang_pred) > cosines.max() - 1e-5
+        else:
+            assert got[doc_id].lang_pred == "und" and got[doc_id].score == 0
+
+
 def test_centroids_by_brute_force():
     texts = pa.array(["abc abd", "xyz", ""], pa.large_string())
     counted = language.counts(texts)
