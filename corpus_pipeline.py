@@ -1,11 +1,15 @@
-"""From raw documents to packed training sequences: five stages, each of one operator."""
+"""From raw documents to packed training sequences: five stages, each of one operator.
+
+Every stage takes null and empty texts (they have no words: the classifier judges them as such, the others leave them be),
+texts of any length, repeated rows, further columns of any name and empty tables, which give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, labelled, linededup, neardup, packing, quality, shared
+from tallyspark.llm import decontaminate, labelled, linededup, neardup, packing, quality, shared, token_files
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +19,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that occur earlier, exactly or within an edit; those that keep no line go."""
+    """Documents without the lines that occur earlier, exactly or within a few edits; those that keep no line go."""
     found = linededup.dedup_lines(docs)
     left = found.where((F.col("__n_gone") == 0) | (F.col("__n_gone") < F.col("__n_lines")))
     if "n_chars" in docs.columns:
@@ -35,8 +39,11 @@ def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their bins."""
-    return packing.pack(docs)
+    """The pieces of all documents with their bins, and where their token ids are in files under the shared folder."""
+    import public_tokenizers
+
+    folder = shared.shared_path(spark, "pipeline-tokens")
+    return packing.pack_files(token_files.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), folder))
 
 
 STAGES = [
