@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class EngineConfig:
-    table_name: str = "views"
+    table_name: str = "views"  # the folder of the table, see Engine.at()
     connection: str = "spark"
     database: str = "default"
     cache_key: str = "tallyspark.cache"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Callable
@@ -20,6 +21,12 @@ def slug(text: str) -> str:
     return re.sub(r"[\s_-]+", "-", kept).strip("-")
 
 
+def type_slug(text: str) -> str:
+    """slug() of a type, and a mark of the whole name where the slug leaves out more than case: so no two types share a key."""
+    plain = slug(text)
+    return plain if text.lower() == plain else f"{plain}~{hashlib.sha256(text.lower().encode()).hexdigest()[:16]}"
+
+
 def period_slug(period: Period | None) -> str:
     """A relative period goes by its name, not its bounds, so that its count is found again as time passes."""
     if period is None:
@@ -35,7 +42,7 @@ def cache_key(
     config: EngineConfig, table: str, viewable_type: str, viewable_id: object = None, *, period: Period | None = None, unique: bool = False,
     collection: str | None = None,
 ) -> str:
-    parts = [f"{config.cache_key}:{config.connection}:{config.database}:", "type." if viewable_id is None else "", f"{slug(table)}:{slug(viewable_type)}."]
+    parts = [f"{config.cache_key}:{config.connection}:{config.database}:", "type." if viewable_id is None else "", f"{slug(table)}:{type_slug(viewable_type)}."]
     parts += [f"{viewable_id}." if viewable_id is not None else "", period_slug(period), ".unique" if unique else ".normal"]
     return "".join(parts) + (f".{collection}" if counts_as_given(collection) else "")
 
@@ -53,7 +60,7 @@ class CountCache:
     """Counts by key, each until its time. Any object with get(key) and put(key, count, until) can stand in."""
 
     def __init__(self, clock: Callable[[], datetime] | None = None):
-        self.clock, self.held = clock or (lambda: periods.now()), {}
+        self.clock, self.held, self.sweep_at = clock or (lambda: periods.now()), {}, 1024
 
     def get(self, key: str) -> int | None:
         count, end = self.held.get(key, (None, None))
@@ -63,4 +70,9 @@ class CountCache:
         return count
 
     def put(self, key: str, count: int, end: datetime) -> None:
+        """Keeps a count; now and then what has ended meanwhile goes, asked for or not."""
+        if len(self.held) >= self.sweep_at:
+            now = self.clock()
+            self.held = {k: v for k, v in self.held.items() if v[1] > now}
+            self.sweep_at = max(1024, 2 * len(self.held))
         self.held[key] = (int(count), end)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from tallyspark.config import EngineConfig
 from tallyspark.functions import period as periods
 from tallyspark.functions.period import Period
 from tallyspark.operators import cooldown, counts, gates, maintenance, relations, scopes
-from tallyspark.plans.cache import CountCache, cache_key
+from tallyspark.plans.cache import cache_key
+from tallyspark.plans.views import Engine, ViewableType, Visitor
 from tallyspark.sources import samples
+from tallyspark.sources.store import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,14 +44,26 @@ def _views(body: str, source: str = samples.EVENT_VIEWS) -> str:
     return f"WITH views AS ({source}) {body}"
 
 
-def _condition(period: Period | None, collection: str | None) -> str:
+def _ago(now: datetime, kind: str, n: int, unit: str) -> str:
+    """The beginning of a relative period as DuckDB reckons it; a day that the month lacks runs over into the next one."""
+    at = f"TIMESTAMP '{now}'" if kind == "sub" else f"date_trunc('day', TIMESTAMP '{now}')"
+    if unit not in ("months", "years"):
+        return f"{at} - INTERVAL {n} {unit}"
+    first = f"date_trunc('month', {at}) - INTERVAL {n} {unit}"
+    return f"{first} + ({at} - date_trunc('month', {at}))"
+
+
+def _condition(period: Period | str | None, collection: str | None) -> str:
+    """period: one with bounds that are written here, or the SQL of its beginning."""
+    if isinstance(period, str):
+        return f" AND viewed_at >= {period}" + _condition(None, collection)
     parts = [f"viewed_at >= TIMESTAMP '{period.start_text()}'"] if period and period.start else []
     parts += [f"viewed_at <= TIMESTAMP '{period.end_text()}'"] if period and period.end else []
     parts += [f"collection = '{collection}'"] if scopes.counts_as_given(collection) else []
     return "".join(f" AND {p}" for p in parts)
 
 
-def _count(name: str, viewable_type: str, viewable_id: int | None = None, *, period: Period | None = None, collection: str | None = None, unique: bool = False, lines: bool = False) -> None:
+def _count(name: str, viewable_type: str, viewable_id: int | None = None, *, period: Period | None = None, collection: str | None = None, unique: bool = False, lines: bool = False, begins: str | None = None) -> None:
     make, source = (samples.line_views, samples.LINE_VIEWS) if lines else (samples.event_views, samples.EVENT_VIEWS)
     time_col = "viewed_at" if lines else "ts"
 
@@ -57,7 +72,7 @@ def _count(name: str, viewable_type: str, viewable_id: int | None = None, *, per
 
     what = "count(DISTINCT visitor)" if unique else "count(*)"
     own = "" if viewable_id is None else f" AND viewable_id = {viewable_id}"
-    _add(name, query, _views(f"SELECT {what} AS views_count FROM views WHERE viewable_type = '{viewable_type}'{own}{_condition(period, collection)}", source))
+    _add(name, query, _views(f"SELECT {what} AS views_count FROM views WHERE viewable_type = '{viewable_type}'{own}{_condition(begins or period, collection)}", source))
 
 
 # ---------------------------------------------------------------- scans, filters, counts
@@ -84,9 +99,9 @@ _count("count_all_collections", "part", collection="0")
 for _name, _value in (("scope_collection", "error"), ("scope_collection_null", None)):
     _add(_name, lambda spark, d, c=_value: _shown(scopes.in_collection(samples.event_views(spark, d), c)), _views(f"{_SELECT_VIEWS} WHERE collection IS NOT DISTINCT FROM {'NULL' if _value is None else repr(_value)}"))
 for _unit, _n, _lines in (("days", 3, False), ("weeks", 1, False), ("months", 1, True), ("years", 2, True)):
-    _count(f"count_past_{_unit}", "part", period=_at(LINE_NOW if _lines else EVENT_NOW, lambda: Period.past(_n, _unit)), lines=_lines)
+    _count(f"count_past_{_unit}", "part", period=_at(LINE_NOW if _lines else EVENT_NOW, lambda: Period.past(_n, _unit)), lines=_lines, begins=_ago(LINE_NOW if _lines else EVENT_NOW, "past", _n, _unit))
 for _unit, _n, _lines in (("seconds", 5000, False), ("minutes", 300, False), ("hours", 30, False), ("days", 3, False), ("weeks", 1, False), ("months", 1, True), ("years", 1, True)):
-    _count(f"count_sub_{_unit}", "part", period=_at(LINE_NOW if _lines else EVENT_NOW, lambda: Period.sub(_n, _unit)), lines=_lines)
+    _count(f"count_sub_{_unit}", "part", period=_at(LINE_NOW if _lines else EVENT_NOW, lambda: Period.sub(_n, _unit)), lines=_lines, begins=_ago(LINE_NOW if _lines else EVENT_NOW, "sub", _n, _unit))
 _count("count_unique", "part", 42, unique=True)
 _count("count_unique_type", "part", unique=True)
 _count("count_combined", "nation", 7, period=_JAN, collection="click", unique=True)
@@ -210,10 +225,26 @@ def _throttled(condition: str, out: str) -> str:
         SELECT {out} FROM walk JOIN numbered USING (item, pos) WHERE accepted""")
 
 
+def _flushed(out: str) -> str:
+    """The cooldown that forgets a whole namespace as soon as one has ended, as a walk over each namespace's requests."""
+    return _requests(f"""
+        , numbered AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY space ORDER BY ts, event_id) AS pos
+            FROM (SELECT *, md5(concat_ws('|', session_id, viewable_type, coalesce('+' || collection, '-'))) AS space FROM requests WHERE viewable_id IS NOT NULL)),
+        walk AS (
+            SELECT space, pos, true AS accepted, [viewable_id] AS items, ts + INTERVAL 3 DAY AS until FROM numbered WHERE pos = 1
+            UNION ALL
+            SELECT n.space, n.pos, n.ts >= w.until OR NOT list_contains(w.items, n.viewable_id),
+                   CASE WHEN n.ts >= w.until THEN [n.viewable_id] WHEN list_contains(w.items, n.viewable_id) THEN w.items ELSE list_append(w.items, n.viewable_id) END,
+                   CASE WHEN n.ts >= w.until THEN n.ts + INTERVAL 3 DAY ELSE w.until END
+            FROM walk w JOIN numbered n ON n.space = w.space AND n.pos = w.pos + 1)
+        SELECT {out} FROM walk JOIN numbered USING (space, pos) WHERE accepted""")
+
+
 _CONFIG = EngineConfig(honor_dnt=True, ignored_ip_addresses=_DENIED)
 _LET_BY = f"viewable_id IS NOT NULL AND NOT ({_BOT}) AND NOT dnt AND ip NOT IN {_DENIED}"
 _add("gate_cooldown", lambda spark, d: cooldown.throttle(gates.reject_types(samples.requests(spark, d))).select("event_id"), _throttled("viewable_id IS NOT NULL", "event_id"))
-_add("gate_cooldown_namespace_flush", lambda spark, d: cooldown.throttle(gates.reject_types(samples.requests(spark, d)), mode="namespace_flush").select("event_id"))
+_add("gate_cooldown_namespace_flush", lambda spark, d: cooldown.throttle(gates.reject_types(samples.requests(spark, d)), mode="namespace_flush").select("event_id"), _flushed("event_id"))
 _add("gate_all", lambda spark, d: gates.accepted(samples.requests(spark, d), _CONFIG).select("event_id"), _throttled(_LET_BY, "event_id"))
 _add(
     "record_rows", lambda spark, d: _shown(gates.to_views(gates.accepted(samples.requests(spark, d), _CONFIG))),
@@ -223,20 +254,65 @@ _add(
 # ---------------------------------------------------------------- cache
 
 
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over a store of its own, in the shared folder, that holds all views of the sample."""
+    engine = Engine.at(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    engine.register(ViewableType("part", samples.load(spark, sf_dir, "part"), "p_partkey", "p_name"))
+    engine.store.append(samples.event_views(spark, sf_dir).drop("ts"))
+    return engine
+
+
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A count that is remembered, asked for again after more views have come."""
-    cache, key = CountCache(lambda: EVENT_NOW), cache_key(EngineConfig(), "part", "part", 42)
-    views = samples.event_views(spark, sf_dir)
-    found = []
-    for rows in (views, views.union(views)):
-        if (count := cache.get(key)) is None:
-            count = counts.count_views(rows, "part", 42).first()[0]
-            cache.put(key, count, EVENT_NOW + timedelta(minutes=60))
-        found.append(count)
-    return spark.createDataFrame([tuple(found)], "first_count long, second_count long")
-
-
-_add("cached_count", _cached, _views("SELECT count(*) AS first_count, count(*) AS second_count FROM views WHERE viewable_type = 'part' AND viewable_id = 42"))
+    """A count that is remembered, asked for again after another view has come, and without its memory."""
+    engine = _engine(spark, sf_dir)
+    part = engine.views("part", 42)
+    first = part.remember(60).count()
+    part.use_visitor(Visitor("someone")).record()
+    return spark.createDataFrame([(first, part.remember(60).count(), part.count())], "first_count long, second_count long, new_count long")
+
+
+_add("cached_count", _cached, _views("SELECT count(*) AS first_count, count(*) AS second_count, count(*) + 1 AS new_count FROM views WHERE viewable_type = 'part' AND viewable_id = 42"))
+
+
+def _stored(change: Callable[[Engine, DataFrame], None]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = _engine(spark, sf_dir)
+        change(engine, samples.load(spark, sf_dir, "part"))
+        return _shown(engine.store.read())
+
+    return query
+
+
+_add("store_destroy_instance", _stored(lambda e, _: e.views("part", 42).destroy()), _views(f"{_SELECT_VIEWS} WHERE NOT (viewable_type = 'part' AND viewable_id = 42)"))
+_add("store_destroy_type", _stored(lambda e, _: e.views("nation").destroy()), _views(f"{_SELECT_VIEWS} WHERE viewable_type <> 'nation'"))
+_add("store_cascade", _stored(lambda e, parts: e.delete("part", parts.where("p_size % 5 = 0"))), _views(f"{_SELECT_VIEWS} WHERE NOT (viewable_type = 'part' AND viewable_id IN (SELECT p_partkey FROM part WHERE p_size % 5 = 0))"))
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views recorded one by one and in bulk, counted through the builder with each of its options."""
+    engine = _engine(spark, sf_dir)
+    for who in ("a", "a", "b"):
+        engine.views("part", 42).collection("mine").cooldown(None).use_visitor(Visitor(who)).record()
+    engine.views("part", 42).collection("mine").cooldown(10).use_visitor(Visitor("a"), session="s").record()
+    engine.views("part", 42).collection("mine").cooldown(10).use_visitor(Visitor("a"), session="s").record()  # held back
+    part = engine.views("nation").for_viewable("part", 42)
+    found = (part.count(), part.unique().count(), part.collection("mine").count(), part.period(_JAN).count(), engine.views("part").count())
+    return spark.createDataFrame([found], "views_count long, unique_views_count long, mine long, january long, of_type long")
+
+
+_add("store_record_and_count", _recorded, _views(f"""
+    SELECT count(*) FILTER (viewable_id = 42) + 4 AS views_count, count(DISTINCT visitor) FILTER (viewable_id = 42) + 2 AS unique_views_count, 4 AS mine,
+           count(*) FILTER (viewable_id = 42{_condition(_JAN, None)}) AS january, count(*) + 4 AS of_type
+    FROM views WHERE viewable_type = 'part'"""))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine.at(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", _CONFIG)
+    engine.ingest(samples.requests(spark, sf_dir))
+    return _shown(engine.store.read())
+
+
+_add("store_ingest", _ingested, _throttled(_LET_BY, "event_id AS id, viewable_type, viewable_id, visitor, collection, epoch(date_trunc('second', ts))::BIGINT AS viewed_second"))
 _KEYED = (
     ("plain", dict(viewable_id=1)), ("type", dict()), ("since", dict(viewable_id=1, period=Period.since("2019-03-21"))),
     ("upto", dict(viewable_id=1, period=Period.upto("2020-07-03"))), ("past", dict(viewable_id=1, period=_at(EVENT_NOW, lambda: Period.past_days(2)))),

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark import schema
 from tallyspark.config import EngineConfig
@@ -66,19 +67,54 @@ def test_gates_run_before_the_cooldown(spark):
     assert gates.to_views(found).schema.names == schema.VIEWS.names
 
 
-def test_stream_equals_batch_whatever_the_order(spark, tmp_path):
-    from tallyspark.streaming.throttle import record_stream
+@pytest.mark.parametrize("mode", cooldown.MODES)
+def test_stream_equals_batch_whatever_the_order(spark, tmp_path, mode):
+    from tallyspark.plans.views import Engine
 
     rng = random.Random(3)
-    rows = [request(n, n // 2 + rng.randint(0, 5), rng.randint(1, 2), rng.choice("ab"), rng.choice([None, "c"]), 20) for n in range(200)]
-    batch = kept(spark, rows)
+    agent = lambda n: "SomeBot/1" if n % 17 == 0 else None
+    rows = [request(n, n // 2 + rng.randint(0, 5), rng.randint(1, 2) if n % 13 else None, rng.choice("ab"), rng.choice([None, "c"]), 20, viewable_type=rng.choice(["Post", "post"]), user_agent=agent(n)) for n in range(200)]
+    engine, heard = Engine.at(spark, str(tmp_path), mode=mode), []
+    engine.listeners.append(heard.append)
+    batch = sorted(r.event_id for r in gates.accepted(spark.createDataFrame(rows, schema.REQUESTS), engine.config, mode=mode).collect())
     end = [request(10_000 + k, 100_000 + k, lasts=None, session="end") for k in range(2)]
-    source, out = tmp_path / "in", str(tmp_path / "out")
-    parts = [rows[:70], rows[70:140], rows[140:], end[:1], end[1:]]
-    for k, part in enumerate(parts):
+    source = tmp_path / "in"
+    for part in (rows[:70], rows[70:140], rows[140:], end[:1], end[1:]):
         rng.shuffle(part)
         spark.createDataFrame(part, schema.REQUESTS).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(schema.REQUESTS).parquet(str(source))
-        query = record_stream(stream, lambda df: df.write.mode("append").parquet(out), str(tmp_path / "checkpoint"), "10 minutes", availableNow=True)
+        query = engine.ingest_stream(stream, str(tmp_path / "checkpoint"), availableNow=True)
         assert query.awaitTermination(120)  # each part is a restart from the checkpoint
-    assert sorted(r.id for r in spark.read.parquet(out).collect() if r.id < 10_000) == batch
+    found = [r for r in engine.store.read().collect() if r.id < 10_000]
+    assert sorted(r.id for r in found) == batch and all(r.visitor for r in found)
+    assert sorted(r["id"] for r in heard if r["id"] < 10_000) == batch
+
+
+@pytest.mark.parametrize("mode", cooldown.MODES)
+def test_long_histories_are_cut_into_runs(spark, monkeypatch, mode):
+    rng = random.Random(8)
+    rows = [request(n, day * 1440 + rng.randint(0, 300), rng.randint(1, 3), "hot" if n % 3 else "cold", None, rng.choice([5, 60, 400])) for n, day in enumerate(sorted(rng.randint(0, 20) for _ in range(600)))]
+    whole = kept(spark, rows, mode)
+    monkeypatch.setattr(cooldown, "LONG_KEY", 30)
+    assert kept(spark, rows, mode) == whole
+    keyed = spark.createDataFrame([("k", 0, 0, 10), ("k", 0, 4 * cooldown.SLOT, 10), ("k", 0, 4 * cooldown.SLOT + 5, 10)] * 20, "__key string, __item long, __at long, __lasts long")
+    assert cooldown._in_runs(keyed).select("__key").distinct().count() == 2
+
+
+def test_small_batches_give_the_same(spark):
+    rng = random.Random(9)
+    rows = [request(n, rng.randint(0, 900), rng.randint(1, 2), rng.choice("ab"), None, rng.choice([5, 60])) for n in range(400)]
+    whole = kept(spark, rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert kept(spark, rows) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_gates_of_odd_requests(spark):
+    rows = spark.createDataFrame([request(1, 0, session=None), request(2, 1, session=None, item=2), request(3, 2, item=3)], schema.REQUESTS).drop("visitor").selectExpr("*", "CAST(NULL AS STRING) AS visitor")
+    late = rows.withColumn("ts", F.expr("if(event_id = 3, null, ts)")).withColumn("dnt", F.expr("if(event_id = 2, '1', '0')"))
+    views = gates.to_views(gates.accepted(late.select(*[f.name for f in schema.REQUESTS.fields]), EngineConfig(honor_dnt=True))).collect()
+    assert sorted(v.id for v in views) == [1, 3] and all(len(v.visitor) == 80 and v.viewed_at for v in views) and len({v.visitor for v in views}) == 2

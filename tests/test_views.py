@@ -92,7 +92,7 @@ def test_record_count_and_destroy(engine):
 def test_gates_of_record(engine):
     post, heard = engine.views("post", 1), []
     engine.listeners.append(heard.append)
-    with pytest.raises(ViewRecordError, match="Cannot record a view for a viewable type."):
+    with pytest.raises(ViewRecordError, match="belongs to one entity"):
         engine.views("post").record()
     assert not post.use_visitor(Visitor("v", user_agent="Googlebot/2.1")).record()
     engine.config = EngineConfig(honor_dnt=True, ignored_ip_addresses=("127.20.22.6",))
@@ -149,7 +149,9 @@ def test_cache_keys(clock):
     clock(2020, 1, 1)
     config = EngineConfig(cache_key="ns", connection="c", database=":memory:")
     key = lambda k=1, **o: cache_key(config, "posts", "App\\Post", k, **o)
-    assert key() == "ns:c::memory::posts:apppost.1.|.normal"
+    assert key().startswith("ns:c::memory::posts:apppost~") and key().endswith(".1.|.normal")
+    assert len({cache_key(config, "posts", kind, 1) for kind in ("App\\Post", "AppPost", "Ap\\pPost", "App Post")}) == 4
+    assert cache_key(config, "posts", "POST", 1) == "ns:c::memory::posts:post.1.|.normal"
     assert key(period=Period.since("2019-03-21")).endswith("1.1553126400|.normal")
     assert key(period=Period.upto("2020-07-03")).endswith("1.|1593734400.normal")
     assert key(period=Period.past_days(2)).endswith("1.past2days|.normal") and key(period=Period.sub_seconds(34)).endswith("1.sub34seconds|.normal")
@@ -174,3 +176,85 @@ def test_append_of_a_table_numbers_on(engine, spark):
     with pytest.raises(FileNotFoundError):
         engine.store.read()
     assert "PARTITIONED BY (viewable_type)" in schema.ddl("views")
+
+
+def test_visitor_ids_are_made(engine, spark):
+    post, cookies = engine.views("post", 1), {}
+    post.record()
+    for _ in range(2):
+        post.use_visitor(Visitor(cookies=cookies)).record()
+    assert [len(r.visitor) for r in engine.store.read().collect()] == [80] * 3
+    assert post.unique().count() == 2 and list(cookies) == [engine.config.visitor_cookie_key]
+    assert Visitor().cookie_expires(engine.config) == datetime(2018, 3, 20, 12) + timedelta(minutes=2_628_000)
+    engine.config = EngineConfig(honor_dnt=True)
+    assert not post.use_visitor(Visitor("v", do_not_track="1")).record() and post.use_visitor(Visitor("v", do_not_track="0")).record()
+
+
+def test_other_classes_stand_in(engine, spark):
+    class Loud(Views):
+        def count(self):
+            return -super().count()
+
+    engine.builder, engine.crawler = Loud, lambda agent: F.coalesce(agent == "mine", F.lit(False))
+    post = engine.views("post", 1)
+    assert post.use_visitor(Visitor("v", user_agent="Googlebot")).record() and not post.use_visitor(Visitor("v", user_agent="mine")).record()
+    assert post.count() == -1 and engine.views("x").for_viewable("post", 1).count() == -1
+
+    class Store(dict):
+        def put(self, key, count, end):
+            self[key] = count
+
+    engine.cache = Store()
+    post.remember(5).count()
+    assert list(engine.cache.values()) == [1]
+
+
+def test_the_settings_name_the_table(spark, tmp_path):
+    engine = Engine.at(spark, str(tmp_path), EngineConfig(table_name="page_views"))
+    engine.views("post", 1).record()
+    assert (tmp_path / "page_views").is_dir() and Engine.at(spark, str(tmp_path), engine.config).views("post").count() == 1
+
+
+def test_removal_leaves_other_types_and_readers_alone(engine, spark):
+    store = engine.store
+    store.append(made(spark, [(kind, k, "v", None, T) for kind in ("post", "page") for k in range(20)]))
+    folders = lambda kind: {f for t, f in store._current()[1]["folders"] if t == kind}
+    pages, before = folders("page"), store.read()
+    engine.views("post", 3).destroy()
+    assert folders("page") == pages and before.count() == 40 and store.read().count() == 39
+    engine.views("post").destroy()
+    assert folders("page") == pages and not folders("post") and store.read("page").count() == 20
+    assert store.vacuum(keep=1) == 2 and store.read().count() == 20
+
+
+def test_two_writers_get_different_ids_and_lose_nothing(engine, spark):
+    first, second = engine.store, ViewStore(spark, engine.store.path.rsplit("/", 1)[0])
+    rows = made(spark, [("post", k, "v", None, T) for k in range(5)]).drop("id")
+    assert second.reserve(3) + 3 == first.reserve(2)
+    plain = first._current
+    stale = plain()
+    second.append(rows)  # a writer in between: the first one's next snapshot is taken
+    first._current = lambda: setattr(first, "_current", plain) or stale
+    first.append(rows)
+    ids = [r.id for r in first.read().collect()]
+    assert len(ids) == len(set(ids)) == 10
+
+
+def test_batches_are_appended_once(engine, spark):
+    rows = made(spark, [("post", 1, "v", None, T)])
+    heard = []
+    engine.listeners.append(heard.append)
+    for number in (0, 0, 1, 1, 0):
+        engine.heard(engine.store.append(rows, batch=("s", number)))
+    assert engine.store.read().count() == 2 == len(heard) and heard[0]["viewable_id"] == 1
+
+
+def test_counts_that_nobody_asks_for_again_go(clock):
+    from tallyspark.plans.cache import CountCache
+
+    clock(2020, 1, 1)
+    cache = CountCache()
+    for k in range(5000):
+        clock(2020, 1, 1, k // 60 % 24, k % 60, 0)
+        cache.put(str(k), k, until(1, datetime(2020, 1, 1)))
+    assert len(cache.held) < 2048
