@@ -113,33 +113,43 @@ def _length_class(n: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", n, spare), spare)
 
 
+def _probes(edits: int, near: bool) -> Column:
+    """What to look up of a text: the segment's number, whether it counts from the left, its number from there, how far off it is
+    looked for, whether the next lower class is meant, and the role. A constant, as expressions for each probe would make methods
+    that the JVM doesn't compile."""
+    out = []
+    for lower in range(2 if near else 1):
+        for i in range(edits + 1):
+            left = i < (edits + 1) // 2
+            k = i if left else edits - i
+            out += [(16 * edits + i, left, k, shift, bool(lower), 2 if lower or shift else 3) for shift in range(-k, k + 1)]
+    names = ("code", "left", "k", "shift", "lower", "role")
+    return F.array(*[F.struct(*[F.lit(v).alias(name) for v, name in zip(probe, names)]) for probe in out])
+
+
 def _segments(lines: DataFrame, text: str, threshold: Column | int, *columns: str, group: str | None = None) -> DataFrame:
     """A row for each substring of a text to look up: columns, key, role, start, size. Role 3 is for a text's own segments,
     which also probe, 2 for other probes.
 
-    threshold: a number, or a column of numbers from 1 to 3. group: a column that must agree besides. Texts of threshold
-    or fewer characters have no segments.
+    threshold: a number, or a column of numbers from 1 to 3, which the key tells apart. group: a column that must agree
+    besides. Texts of threshold or fewer characters have no segments.
     """
-    n, own, lower, t, s = shared.unused([*columns, text], "__n", "__own", "__lower", "__t", "__s")
+    n, own, lower, t, p = shared.unused([*columns, text], "__n", "__own", "__lower", "__t", "__p")
     ready = lines.withColumn(n, F.length(text)).withColumn(t, threshold if isinstance(threshold, Column) else F.lit(threshold))
     ready = ready.withColumn(own, _length_class(F.col(n))).withColumn(lower, _length_class(F.greatest(F.col(n) - F.col(t), F.lit(0))))
-
-    def found(edits: int, held: Column, near: bool) -> Column:
-        size, out = F.floor(held / (edits + 1)).cast("int"), []
-        for i in range(edits + 1):
-            left = i < (edits + 1) // 2
-            k = i if left else edits - i
-            for shift in range(-k, k + 1):
-                start = size * i + shift if left else F.col(n) - size * (k + 1) + shift
-                key = F.xxhash64(F.lit(16 * edits + i), held, *([group] if group else []), F.col(text).substr(start + 1, size))
-                out.append(F.struct(key.alias("key"), F.lit(2 if near or shift else 3).alias("role"), start.alias("start"), size.alias("size")))
-        return F.array(*out)
-
-    choice = F.array()
+    choice = None
     for edits in (1, 2, 3) if isinstance(threshold, Column) else (threshold,):
-        some = F.when(F.col(lower) == F.col(own), found(edits, F.col(own), False)).otherwise(F.concat(found(edits, F.col(own), False), found(edits, F.col(lower), True)))
-        choice = F.when(F.col(t) == edits, some).otherwise(choice if edits > 1 and isinstance(threshold, Column) else F.filter(some, lambda _: F.lit(False)))
-    return ready.select(*columns, F.explode(choice).alias(s)).select(*columns, f"{s}.*").where("size > 0")
+        for near in (False, True):
+            some = (F.col(t) == edits) & (F.col(lower) == F.col(own) if not near else F.col(lower) != F.col(own))
+            choice = F.when(some, _probes(edits, near)) if choice is None else choice.when(some, _probes(edits, near))
+    cut = ready.select("*", F.explode(choice).alias(p))
+    held = F.when(F.col(f"{p}.lower"), F.col(lower)).otherwise(F.col(own))
+    size = F.floor(held / (F.col(t) + 1)).cast("int")
+    start = F.when(F.col(f"{p}.left"), size * F.col(f"{p}.k")).otherwise(F.col(n) - size * (F.col(f"{p}.k") + 1)) + F.col(f"{p}.shift")
+    key = F.xxhash64(F.col(f"{p}.code"), held, *([group] if group else []), F.col(text).substr(start + 1, size))
+    # generated, the key stays one column; as an expression it would be put wherever it is used
+    found = cut.where(size > 0).select(*columns, F.explode(F.array(F.struct(key.alias("key"), F.col(f"{p}.role").alias("role"), start.alias("start"), size.alias("size")))).alias(p))
+    return found.select(*columns, f"{p}.*")
 
 
 def _blocks(text: Column, group: Column) -> Column:
@@ -156,10 +166,10 @@ def _blocks(text: Column, group: Column) -> Column:
     return F.array(*out)
 
 
-def _crowded(rows: DataFrame, *more: str) -> DataFrame:
+def _crowded(rows: DataFrame) -> DataFrame:
     """Keys that two different lines share, one of them by a segment of its own."""
-    seen = rows.groupBy("key", *more).agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.expr("bit_or(role)").alias("roles"))
-    return seen.where("key is not null and low != high and (roles & 1) = 1").select("key", *more)
+    seen = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.expr("bit_or(role)").alias("roles"))
+    return seen.where("key is not null and low != high and (roles & 1) = 1").select("key")
 
 
 def _last(name: str, n: Column) -> Column:
@@ -258,12 +268,12 @@ def near_lines(lines: DataFrame, threshold: int | None = None, least_chars: int
     for t, low, below in _classes(threshold, least_chars):
         edits.append(F.when((length >= low) & (F.lit(True) if below is None else length < below + t), F.lit(t)))
     some = lines.withColumn("edits", F.explode(F.array_compact(F.array(*edits))))
-    keyed = _segments(some, "line", F.col("edits"), "h1", "edits")
-    crowded = shared.stored(_crowded(keyed, "edits"), "line-keys")
+    keyed = _segments(some, "line", F.col("edits"), "h1")
+    crowded = shared.stored(_crowded(keyed), "line-keys")
     bloom = Bloom(crowded, "key", min(FILTER_BITS, 1 << max(16, (10 * crowded.count()).bit_length())), 4)
     again = _segments(some, "line", F.col("edits"), "h1", "h2", "place", "line", "edits").where(bloom.holds(F.col("key")))
     rest = _without(F.col("line"), F.col("start"), F.col("size"))
-    exact = again.select("h1", "h2", "place", "key", "role", "edits", rest.alias("rest"), F.when(F.col("edits") > 1, F.col("line")).alias("line")).join(crowded, ["key", "edits"])
+    exact = again.select("h1", "h2", "place", "key", "role", "edits", rest.alias("rest"), F.when(F.col("edits") > 1, F.col("line")).alias("line")).join(crowded, "key")
     exact = shared.stored(_members(exact, "edits"), "line-members")
     found = None
     for t, *_ in _classes(threshold, least_chars):
