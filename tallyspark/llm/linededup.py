@@ -32,10 +32,8 @@ from tallyspark.llm.bloom import Bloom
 EDITS = ((0, 1), (50, 2), (75, 3))
 #: Shorter lines are compared exactly only: an edit in twenty characters may change what a heading or a number says.
 LEAST_CHARS = 20
-#: Groups of a key up to this size are compared pair by pair; above one edit up to CROWD, as counts of signs settle most pairs.
+#: Groups of a key up to this size are compared pair by pair; above one edit up to CROWD, as word_bits() settles most pairs.
 PAIRWISE, CROWD = 16, 64
-#: Signs that are counted together, in as many columns: lines within t edits differ by t at most in what one has over the other.
-COUNTED = ("a", "e", "i", "o", "u", "n", "r", "s", "t", "l", "h", "d", "cm", "gpbf", "01234", "56789")
 BLOCKS = 8
 #: Common beginnings and ends of two lines are left out in steps of this part of the shorter one.
 STRIPS = 16
@@ -236,24 +234,24 @@ def _later(members: DataFrame) -> DataFrame:
     return same.where(edit_distance(middle("x"), middle("y"), 1) <= 1).select(*later)
 
 
-def _counts(line: Column) -> list[Column]:
-    return [(F.length(line) - F.length(F.translate(line, signs, ""))).cast("short").alias(f"c{k}") for k, signs in enumerate(COUNTED)]
+def word_bits(line: Column) -> Column:
+    """64 bits, of which each word between blanks turns over one. An edit changes one word, parts one or joins two, so it
+    turns over three bits at most: lines within t edits differ in 3 t bits at most."""
+    turn = lambda bits, word: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(word), F.lit(64)).cast("int")))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), turn)
 
 
-def _alike(a: str, b: str, threshold: int) -> Column:
-    """Whether the counts of two lines allow for no more than threshold edits."""
-    over = under = F.lit(0)
-    for k in range(len(COUNTED)):
-        more = F.col(f"{a}.c{k}") - F.col(f"{b}.c{k}")
-        over, under = over + F.greatest(more, F.lit(0)), under + F.greatest(-more, F.lit(0))
-    return (over <= threshold) & (under <= threshold)
+def _alike(a: Column, b: Column, threshold: int) -> Column:
+    """Whether the bits of two lines allow for no more than threshold edits."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 3 * threshold
 
 
 def _open_pairs(members: DataFrame, found: DataFrame | None, seen: DataFrame | None, threshold: int) -> DataFrame:
     """h1, o1: pairs of members of a key, the later line first, but those that were compared before or whose later line is known to go."""
-    a, b = (members.select("key", "role", "h1", "h2", "first", F.length("line").alias("n"), *[f"c{k}" for k in range(len(COUNTED))]).alias(x) for x in "ab")
+    a, b = (members.select("key", "role", "h1", "h2", "first", F.length("line").alias("n"), "bits").alias(x) for x in "ab")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & ((F.col("a.role") == 3) | (F.col("b.role") == 3)) & (F.col("a.first") > F.col("b.first")))
-    pairs = met.where((F.col("a.h1") != F.col("b.h1")) & (F.abs(F.col("a.n") - F.col("b.n")) <= threshold) & _alike("a", "b", threshold)).select("a.h1", "a.h2", F.col("b.h1").alias("o1"))
+    near = (F.abs(F.col("a.n") - F.col("b.n")) <= threshold) & _alike(F.col("a.bits"), F.col("b.bits"), threshold)
+    pairs = met.where((F.col("a.h1") != F.col("b.h1")) & near).select("a.h1", "a.h2", F.col("b.h1").alias("o1"))
     pairs = pairs if found is None else pairs.join(found, ["h1", "h2"], "left_anti")
     pairs = pairs.select("h1", "o1").distinct()
     return pairs if seen is None else pairs.join(seen, ["h1", "o1"], "left_anti")
@@ -274,6 +272,7 @@ def near_lines(lines: DataFrame, threshold: int | None = None, least_chars: int
     again = _segments(some, "line", F.col("edits"), "h1", "h2", "place", "line", "edits").where(bloom.holds(F.col("key")))
     rest = _without(F.col("line"), F.col("start"), F.col("size"))
     exact = again.select("h1", "h2", "place", "key", "role", "edits", rest.alias("rest"), F.when(F.col("edits") > 1, F.col("line")).alias("line")).join(crowded, "key")
+    exact = exact.withColumn("bits", F.when(F.col("edits") > 1, word_bits(F.col("line"))))
     exact = shared.stored(_members(exact, "edits"), "line-members")
     found = None
     for t, *_ in _classes(threshold, least_chars):
@@ -285,7 +284,7 @@ def near_lines(lines: DataFrame, threshold: int | None = None, least_chars: int
 
 def _members(rows: DataFrame, *more: str) -> DataFrame:
     """A line that occurs often is one member of a key, with its first place."""
-    return rows.groupBy("key", "h1", "role", "rest", *more).agg(F.min("place").alias("first"), F.any_value("h2").alias("h2"), F.any_value("line").alias("line"))
+    return rows.groupBy("key", "h1", "role", "rest", *more).agg(F.min("place").alias("first"), F.any_value("h2").alias("h2"), F.any_value("line").alias("line"), F.any_value("bits").alias("bits"))
 
 
 def _within_blocks(members: DataFrame, pairwise: int) -> DataFrame:
@@ -303,7 +302,7 @@ def _within_blocks(members: DataFrame, pairwise: int) -> DataFrame:
         left = members.join(large, "key")
         cut = left.select("h1", "h2", F.col("first").alias("place"), F.explode(_blocks(F.col("rest"), F.col("key"))).alias("s"))
         cut = shared.stored(cut.select("h1", "h2", "place", "s.key", "s.role", "s.rest"), "line-blocks")
-        members = shared.stored(_members(cut.join(_crowded(cut), "key").withColumn("line", F.lit(None).cast("string"))), "line-members")
+        members = shared.stored(_members(cut.join(_crowded(cut), "key").withColumns({"line": F.lit(None).cast("string"), "bits": F.lit(None).cast("long")})), "line-members")
 
 
 def _without(text: Column, start: Column, size: Column) -> Column:
@@ -318,30 +317,31 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
     go has an earlier one.
     """
     found = seen = None
-    counts = [f"c{k}" for k in range(len(COUNTED))]
     while True:
-        members = members.select("*", *_counts(F.col("line")))
+        counted = shared.stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "line-sizes")
+        crowd = F.col("n") > max(pairwise, CROWD)
         length, turned = F.length("rest"), F.reverse("rest")
-        sizes = members.groupBy("key").agg(
-            F.count("*").alias("n"), F.min(F.struct("first", "h1", "line", *counts)).alias("earliest"), F.max(length).alias("longest"),
-            F.min(length).alias("least"), F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(turned).alias("low_end"), F.max(turned).alias("high_end"),
+        sizes = members.join(counted.where(crowd).select("key"), "key").groupBy("key").agg(
+            F.min(F.struct("first", "h1", "line", "bits")).alias("earliest"), F.max(length).alias("longest"), F.min(length).alias("least"),
+            F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(turned).alias("low_end"), F.max(turned).alias("high_end"),
         )
         # what the least and the greatest of some texts have in common at the beginning, all have
         head = _agreeing(F.col("least"), lambda k: F.substring("low", F.lit(1), k) == F.substring("high", F.lit(1), k))
         tail = _agreeing(F.col("least"), lambda k: F.substring("low_end", F.lit(1), k) == F.substring("high_end", F.lit(1), k))
-        sizes = sizes.where("n > 1").withColumn("head", head).withColumn("tail", F.least(tail, F.col("least") - F.col("head"))).drop("low", "high", "low_end", "high_end", "least")
+        sizes = sizes.withColumn("head", head).withColumn("tail", F.least(tail, F.col("least") - F.col("head"))).drop("low", "high", "low_end", "high_end", "least")
         sizes = shared.stored(sizes, "line-sizes")
-        last = (F.col("n") <= max(pairwise, CROWD)) | (F.col("longest") - F.col("head") - F.col("tail") <= 2 * threshold)
+        last = F.col("longest") - F.col("head") - F.col("tail") <= 2 * threshold
+        paired = counted.where(~crowd).select("key").union(sizes.where(last).select("key"))
         large = members.join(sizes.where(~last), "key")
-        own = large.withColumn("own", F.struct(*counts))
-        unsettled = own.where((F.col("first") > F.col("earliest.first")) & _alike("own", "earliest", threshold))
+        unsettled = large.where((F.col("first") > F.col("earliest.first")) & _alike(F.col("bits"), F.col("earliest.bits"), threshold))
         unsettled = unsettled if found is None else unsettled.join(found, ["h1", "h2"], "left_anti")
         against = unsettled.select("h1", "h2", "line", F.col("earliest.h1").alias("o1"), F.col("earliest.line").alias("other")).dropDuplicates(["h1", "o1"])
         settled = shared.stored(against.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct(), "line-later")
         found = settled if found is None else found.union(settled)
-        pairs = shared.stored(_open_pairs(members.join(sizes.where(last).select("key"), "key"), found, seen, threshold), "line-pairs")
+        pairs = shared.stored(_open_pairs(members.join(paired, "key"), found, seen, threshold), "line-pairs")
         seen = pairs if seen is None else seen.union(pairs)
-        texts = members.groupBy("h1").agg(F.any_value("h2").alias("h2"), F.any_value("line").alias("line"))
+        wanted = pairs.select("h1").union(pairs.select(F.col("o1").alias("h1"))).distinct()
+        texts = members.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.any_value("h2").alias("h2"), F.any_value("line").alias("line"))
         compared = pairs.join(texts, "h1").join(texts.select(F.col("h1").alias("o1"), F.col("line").alias("other")), "o1")
         later = compared.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct()
         found = found.union(shared.stored(later, "line-later"))
@@ -351,11 +351,11 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
             return found.distinct()
         rest = F.col("rest").substr(F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail"))
         left = large.join(still, "key").join(found.distinct().withColumn("gone", F.lit(True)), ["h1", "h2"], "left")
-        left = left.select("h1", "h2", "line", F.col("first").alias("place"), F.col("key").alias("group"), rest.alias("rest"), F.col("gone").isNull().alias("open"))
-        carried = ("h1", "h2", "line", "place", "open", "rest")
-        cut = _segments(left, "rest", threshold, *carried, group="group").select("h1", "h2", "line", "place", "open", "key", "role", _without(F.col("rest"), F.col("start"), F.col("size")).alias("rest"))
+        left = left.select("h1", "h2", "line", "bits", F.col("first").alias("place"), F.col("key").alias("group"), rest.alias("rest"), F.col("gone").isNull().alias("open"))
+        carried = ("h1", "h2", "line", "bits", "place", "open", "rest")
+        cut = _segments(left, "rest", threshold, *carried, group="group").select("h1", "h2", "line", "bits", "place", "open", "key", "role", _without(F.col("rest"), F.col("start"), F.col("size")).alias("rest"))
         # pairs of which one has no segments left: both are short
-        few = left.where(F.length("rest") <= 2 * threshold).select("h1", "h2", "line", "place", "open", F.xxhash64(F.lit("few"), "group").alias("key"), F.lit(3).alias("role"), "rest")
+        few = left.where(F.length("rest") <= 2 * threshold).select("h1", "h2", "line", "bits", "place", "open", F.xxhash64(F.lit("few"), "group").alias("key"), F.lit(3).alias("role"), "rest")
         cut = shared.stored(cut.union(few), "line-blocks")
         going_on = cut.groupBy("key").agg(F.min("place").alias("low"), F.max(F.when(F.col("open"), F.col("place"))).alias("high")).where("high > low").select("key")
         members = shared.stored(_members(cut.join(_crowded(cut), "key").join(going_on, "key", "left_semi")), "line-members")
