@@ -264,8 +264,8 @@ def near_lines(lines: DataFrame, threshold: int | None = None, least_chars: int
     """
     length, edits = F.length("line"), []
     for t, low, below in _classes(threshold, least_chars):
-        edits.append(F.when((length >= low) & (F.lit(True) if below is None else length < below + t), F.lit(t)))
-    some = lines.withColumn("edits", F.explode(F.array_compact(F.array(*edits))))
+        edits.append(F.when((length >= low) & (F.lit(True) if below is None else length < below + t), F.array(F.lit(t))).otherwise(F.array().cast("array<int>")))
+    some = lines.withColumn("edits", F.explode(F.concat(*edits)))  # no lambdas, which would keep the scan out of generated code
     keyed = _segments(some, "line", F.col("edits"), "h1")
     crowded = shared.stored(_crowded(keyed), "line-keys")
     bloom = Bloom(crowded, "key", min(FILTER_BITS, 1 << max(16, (10 * crowded.count()).bit_length())), 4)
@@ -367,7 +367,10 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
     own = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("print"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    own = own.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line != ''")
+    blank = F.lit(False)
+    for sign in BLANKS:  # trimming goes through all of a line, which few need
+        blank = blank | F.startswith("line", F.lit(sign)) | F.endswith("line", F.lit(sign))
+    own = own.withColumn("line", F.when(blank, F.btrim("line", F.lit(BLANKS))).otherwise(F.col("line"))).where("line != ''")
     return own.select(F.struct("doc", "print", "at").alias("place"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
