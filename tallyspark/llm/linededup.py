@@ -11,11 +11,13 @@ by EDITS. Lines are compared without blanks at their ends; blank lines always st
 2. Keys are counted before rows meet; a Bloom filter of those that two different lines share thins the second scan.
 3. Small groups of a key are compared pair by pair: at threshold 1 with a banded bit-parallel edit distance of what is left
    beside the segment, at higher ones as a whole, by Spark's own banded edit distance.
-4. A large group is cut again. At threshold 1 what is left beside the segment is cut into blocks, of which all but one must
-   match. At higher thresholds each line is first compared with the group's earliest, as one earlier line is enough for it to
-   go; while lines remain that this doesn't settle, what is left beside the segment, less what all of the group have in
-   common at its ends, is cut into threshold + 1 segments once more, of which one must match again. So near copies in
-   their thousands never meet pair by pair.
+4. A large group at threshold 1 is cut again: what is left beside the segment into blocks, of which all but one must match.
+5. At higher thresholds each line of a large group is first compared with the group's earliest, as one earlier line is enough
+   for it to go. Where the group differs in a long stretch, a semi-join tells the others that have an earlier one: its
+   condition first asks if the parities of the lines' pairs of letters allow for threshold edits, then the edit distance.
+   So thousands of variants of a paragraph cost their square in tests of a few words of bits, but never in rows. Groups that differ in a short stretch only (a
+   number in a template), or beyond SIFT lines, are cut again: what is left beside the segment, less what all of the group
+   have in common at its ends, is cut into threshold + 1 segments once more, of which one must match again.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ EDITS = ((0, 1), (50, 2), (75, 3))
 LEAST_CHARS = 20
 #: Groups of a key up to this size are compared pair by pair; above one edit up to CROWD, as word_bits() settles most pairs.
 PAIRWISE, CROWD = 16, 64
+#: Larger groups up to SIFT lines that differ in a stretch of SPAN characters or more are sifted by gram_bits() in their join.
+SIFT, SPAN = 1 << 15, 64
+#: Up to so many characters the edit distance is taken inside that join; longer lines become pairs, as its time grows with the square.
+WITHIN_JOIN = 4096
 BLOCKS = 8
 #: Common beginnings and ends of two lines are left out in steps of this part of the shorter one.
 STRIPS = 16
@@ -105,9 +111,10 @@ def _classes(threshold: int | None, least_chars: int) -> list[tuple[int, int, in
     return [(edits, max(begin, least_chars), end) for (begin, edits), end in zip(EDITS, ends) if end is None or least_chars < end]
 
 
-def _length_class(n: Column) -> Column:
-    """The length rounded down to three binary digits, which leaves four classes between powers of two."""
-    spare = F.greatest(F.length(F.bin(n.cast("long"))) - 3, F.lit(0))
+def _length_class(n: Column, threshold: Column | int) -> Column:
+    """The length rounded down to three binary digits, which leaves four classes between powers of two, but to 1, 2 or 4
+    characters at least for 1, 2 or 3 edits: lengths within threshold of each other are in one class or in adjacent ones."""
+    spare = F.greatest(F.length(F.bin(n.cast("long"))) - 3, (F.lit(threshold) - 1).cast("int"))
     return F.call_function("shiftleft", F.call_function("shiftright", n, spare), spare)
 
 
@@ -130,11 +137,11 @@ def _segments(lines: DataFrame, text: str, threshold: Column | int, *columns: st
     which also probe, 2 for other probes.
 
     threshold: a number, or a column of numbers from 1 to 3, which the key tells apart. group: a column that must agree
-    besides. Texts of threshold or fewer characters have no segments.
+    besides. Texts of threshold or fewer characters have no segments, nor have those of 3 at two edits.
     """
     n, own, lower, t, p = shared.unused([*columns, text], "__n", "__own", "__lower", "__t", "__p")
     ready = lines.withColumn(n, F.length(text)).withColumn(t, threshold if isinstance(threshold, Column) else F.lit(threshold))
-    ready = ready.withColumn(own, _length_class(F.col(n))).withColumn(lower, _length_class(F.greatest(F.col(n) - F.col(t), F.lit(0))))
+    ready = ready.withColumn(own, _length_class(F.col(n), F.col(t))).withColumn(lower, _length_class(F.greatest(F.col(n) - F.col(t), F.lit(0)), F.col(t)))
     choice = None
     for edits in (1, 2, 3) if isinstance(threshold, Column) else (threshold,):
         for near in (False, True):
@@ -246,12 +253,59 @@ def _alike(a: Column, b: Column, threshold: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= 3 * threshold
 
 
-def _open_pairs(members: DataFrame, found: DataFrame | None, seen: DataFrame | None, threshold: int) -> DataFrame:
-    """h1, o1: pairs of members of a key, the later line first, but those that were compared before or whose later line is known to go."""
-    a, b = (members.select("key", "role", "h1", "h2", "first", F.length("line").alias("n"), "bits").alias(x) for x in "ab")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & ((F.col("a.role") == 3) | (F.col("b.role") == 3)) & (F.col("a.first") > F.col("b.first")))
+GRAM_WORDS = 4
+GRAMS = [f"g{k}" for k in range(GRAM_WORDS)]
+
+
+def gram_bits(line: Column) -> Column:
+    """struct<g0, ..>: GRAM_WORDS times 64 bits, of which each two adjacent characters turn over one. An edit takes two pairs
+    away and adds two at most, so lines within t edits differ in 4 t bits at most; another word for one turns over more."""
+    zero = F.lit(0).cast("long")
+
+    def turn(state: Column, letter: Column) -> Column:
+        place = (state["last"] * 27 + F.ascii(letter)).bitwiseAND(F.lit(64 * GRAM_WORDS - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)))
+        words = [F.when(F.shiftright(place, 6) == k, state[f"g{k}"].bitwiseXOR(bit)).otherwise(state[f"g{k}"]).alias(f"g{k}") for k in range(GRAM_WORDS)]
+        return F.struct(F.ascii(letter).alias("last"), *words)
+
+    start = F.struct(F.lit(0).alias("last"), *[zero.alias(f"g{k}") for k in range(GRAM_WORDS)])
+    return F.aggregate(F.split(line, ""), start, turn)
+
+
+def _with_grams(members: DataFrame) -> DataFrame:
+    """members with the columns of gram_bits(), which are made once for each line."""
+    lines = members.groupBy("h1").agg(F.any_value("line").alias("line"))
+    grams = shared.stored(lines.select("h1", gram_bits(F.col("line")).alias("g")), "line-grams")
+    return members.join(grams.select("h1", *[f"g.{g}" for g in GRAMS]), "h1")
+
+
+def _meet(threshold: int, grams: list[str]) -> Column:
+    """When a member a meets one b of its key that occurs earlier and is as near as lengths and bits can tell."""
+    same = (F.col("a.key") == F.col("b.key")) & ((F.col("a.role") == 3) | (F.col("b.role") == 3)) & (F.col("a.first") > F.col("b.first")) & (F.col("a.h1") != F.col("b.h1"))
     near = (F.abs(F.col("a.n") - F.col("b.n")) <= threshold) & _alike(F.col("a.bits"), F.col("b.bits"), threshold)
-    pairs = met.where((F.col("a.h1") != F.col("b.h1")) & near).select("a.h1", "a.h2", F.col("b.h1").alias("o1"))
+    if grams:
+        near = near & (sum((F.bit_count(F.col(f"a.{g}").bitwiseXOR(F.col(f"b.{g}"))) for g in grams), F.lit(0)) <= 4 * threshold)
+    return same & near
+
+
+def _near_earlier(members: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
+    """h1, h2 of the members with gram_bits() that are within threshold edits of an earlier one of their key, but those found:
+    a semi-join, so a row for each at most."""
+    b = members.select("key", "role", "h1", "first", "line", F.length("line").alias("n"), "bits", *GRAMS).alias("b")
+    a = members.where(F.length("line") <= WITHIN_JOIN).join(found, ["h1", "h2"], "left_anti")
+    a = a.select("key", "role", "h1", "h2", "first", "line", F.length("line").alias("n"), "bits", *GRAMS).alias("a")
+    near = _meet(threshold, GRAMS) & (F.levenshtein(F.col("a.line"), F.col("b.line"), threshold) >= 0)
+    return a.join(b, near, "left_semi").select("h1", "h2").distinct()
+
+
+def _open_pairs(members: DataFrame, found: DataFrame | None, seen: DataFrame | None, threshold: int) -> DataFrame:
+    """h1, o1: pairs of members of a key, the later line first, but those that were compared before or whose later line is known to go.
+
+    Members with gram_bits() meet as rows only if these allow for so few edits too.
+    """
+    grams = [c for c in members.columns if c in GRAMS]
+    a, b = (members.select("key", "role", "h1", "h2", "first", F.length("line").alias("n"), "bits", *grams).alias(x) for x in "ab")
+    pairs = a.join(b, _meet(threshold, grams)).select("a.h1", "a.h2", F.col("b.h1").alias("o1"))
     pairs = pairs if found is None else pairs.join(found, ["h1", "h2"], "left_anti")
     pairs = pairs.select("h1", "o1").distinct()
     return pairs if seen is None else pairs.join(seen, ["h1", "o1"], "left_anti")
@@ -312,9 +366,9 @@ def _without(text: Column, start: Column, size: Column) -> Column:
 def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame:
     """h1, h2 of the members of each key that are within threshold edits of an earlier one.
 
-    Every level takes a segment off the rests, until no more than a few characters are left: there all pairs are compared,
-    of which there can't be many, as all else of these lines agrees. Only keys go on in which a line that isn't known to
-    go has an earlier one.
+    Large groups that differ in a long stretch are sifted by gram_bits(). For the others every level takes a segment off the
+    rests, until no more than a few characters are left: there all pairs are compared, of which there can't be many, as all
+    else of these lines agrees. Only keys go on in which a line that isn't known to go has an earlier one.
     """
     found = seen = None
     while True:
@@ -322,7 +376,7 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
         crowd = F.col("n") > max(pairwise, CROWD)
         length, turned = F.length("rest"), F.reverse("rest")
         sizes = members.join(counted.where(crowd).select("key"), "key").groupBy("key").agg(
-            F.min(F.struct("first", "h1", "line", "bits")).alias("earliest"), F.max(length).alias("longest"), F.min(length).alias("least"),
+            F.count("*").alias("n"), F.min(F.struct("first", "h1", "line", "bits")).alias("earliest"), F.max(length).alias("longest"), F.min(length).alias("least"),
             F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(turned).alias("low_end"), F.max(turned).alias("high_end"),
         )
         # what the least and the greatest of some texts have in common at the beginning, all have
@@ -330,7 +384,9 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
         tail = _agreeing(F.col("least"), lambda k: F.substring("low_end", F.lit(1), k) == F.substring("high_end", F.lit(1), k))
         sizes = sizes.withColumn("head", head).withColumn("tail", F.least(tail, F.col("least") - F.col("head"))).drop("low", "high", "low_end", "high_end", "least")
         sizes = shared.stored(sizes, "line-sizes")
-        last = F.col("longest") - F.col("head") - F.col("tail") <= 2 * threshold
+        span = F.col("longest") - F.col("head") - F.col("tail")
+        last = span <= 2 * threshold + 1
+        sifted = (span >= SPAN) & (F.col("n") <= SIFT)
         paired = counted.where(~crowd).select("key").union(sizes.where(last).select("key"))
         large = members.join(sizes.where(~last), "key")
         unsettled = large.where((F.col("first") > F.col("earliest.first")) & _alike(F.col("bits"), F.col("earliest.bits"), threshold))
@@ -338,14 +394,18 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
         against = unsettled.select("h1", "h2", "line", F.col("earliest.h1").alias("o1"), F.col("earliest.line").alias("other")).dropDuplicates(["h1", "o1"])
         settled = shared.stored(against.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct(), "line-later")
         found = settled if found is None else found.union(settled)
-        pairs = shared.stored(_open_pairs(members.join(paired, "key"), found, seen, threshold), "line-pairs")
+        sieve = _with_grams(members.join(sizes.where(~last & sifted).select("key"), "key"))
+        found = found.union(shared.stored(_near_earlier(sieve, found, threshold), "line-later"))
+        pairs = _open_pairs(members.join(paired, "key"), found, seen, threshold)
+        long = _open_pairs(sieve.where(F.length("line") > WITHIN_JOIN - threshold), found, seen, threshold)
+        pairs = shared.stored(pairs.union(long).distinct(), "line-pairs")
         seen = pairs if seen is None else seen.union(pairs)
         wanted = pairs.select("h1").union(pairs.select(F.col("o1").alias("h1"))).distinct()
         texts = members.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.any_value("h2").alias("h2"), F.any_value("line").alias("line"))
         compared = pairs.join(texts, "h1").join(texts.select(F.col("h1").alias("o1"), F.col("line").alias("other")), "o1")
         later = compared.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct()
         found = found.union(shared.stored(later, "line-later"))
-        still = large.where(F.col("first") > F.col("earliest.first")).join(found, ["h1", "h2"], "left_anti").select("key").distinct()
+        still = large.where(~sifted & (F.col("first") > F.col("earliest.first"))).join(found, ["h1", "h2"], "left_anti").select("key").distinct()
         still = shared.stored(still, "line-open")
         if still.isEmpty():
             return found.distinct()
@@ -355,7 +415,7 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
         carried = ("h1", "h2", "line", "bits", "place", "open", "rest")
         cut = _segments(left, "rest", threshold, *carried, group="group").select("h1", "h2", "line", "bits", "place", "open", "key", "role", _without(F.col("rest"), F.col("start"), F.col("size")).alias("rest"))
         # pairs of which one has no segments left: both are short
-        few = left.where(F.length("rest") <= 2 * threshold).select("h1", "h2", "line", "bits", "place", "open", F.xxhash64(F.lit("few"), "group").alias("key"), F.lit(3).alias("role"), "rest")
+        few = left.where(F.length("rest") <= 2 * threshold + 1).select("h1", "h2", "line", "bits", "place", "open", F.xxhash64(F.lit("few"), "group").alias("key"), F.lit(3).alias("role"), "rest")
         cut = shared.stored(cut.union(few), "line-blocks")
         going_on = cut.groupBy("key").agg(F.min("place").alias("low"), F.max(F.when(F.col("open"), F.col("place"))).alias("high")).where("high > low").select("key")
         members = shared.stored(_members(cut.join(_crowded(cut), "key").join(going_on, "key", "left_semi")), "line-members")

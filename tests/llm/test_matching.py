@@ -263,6 +263,44 @@ def test_crowds_of_near_copies(spark, monkeypatch, pairwise):
     assert {r.doc_id: r.text for r in got.collect()} == want and 20 < sum(not t for t in want.values()) < 240
 
 
+def within(a, b, t):
+    """Whether two texts are within t edits, by trying each edit where they first differ."""
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[k:], b[k:]
+    if not a or not b:
+        return len(a) + len(b) <= t
+    return t > 0 and (within(a[1:], b[1:], t - 1) or within(a[1:], b, t - 1) or within(a, b[1:], t - 1))
+
+
+@pytest.mark.parametrize("within_join", [4096, 10])
+def test_variants_of_a_long_line_make_no_rows_by_the_square(spark, monkeypatch, within_join):
+    """Most variants of a paragraph are far from all others: they are told apart within a join, and not cut again."""
+    monkeypatch.setattr(linededup, "WITHIN_JOIN", within_join)
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    base = [rng.choice(vocab) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocab) if rng.random() < 0.05 else w for w in base) for _ in range(220)]
+    texts = list(dict.fromkeys([*texts, *[edited(rng, rng.choice(texts), rng.randint(1, 4)) for _ in range(60)]]))
+    rng.shuffle(texts)
+    cut, segments = [], linededup._segments
+    monkeypatch.setattr(linededup, "_segments", lambda *args, **options: (cut.append(options.get("group")), segments(*args, **options))[1])
+    want = {d: "" if any(within(x, y, 3) for y in texts[:d]) else x for d, x in enumerate(texts)}
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == want and 20 < sum(not t for t in want.values()) < 200
+    assert "group" not in cut
+
+
+def test_short_rests_are_cut_in_classes_as_wide_as_the_edits(spark):
+    """A text and one of up to threshold edits more share a segment whatever their lengths; the classes of short ones were too narrow."""
+    rng = random.Random(3)
+    for t in (1, 2, 3):
+        pairs = [(k, x, edited(rng, x, t)) for k, x in enumerate("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2 * t + 1, 20))) for _ in range(400))]
+        table = spark.createDataFrame([(k, side, x) for k, *both in pairs for side, x in enumerate(both)], "k long, side int, text string")
+        keys = linededup._segments(table, "text", t, "k", "side", group="k").groupBy("k", "key").agg(F.count_distinct("side").alias("n"), F.expr("bit_or(role)").alias("roles"))
+        got = {r.k for r in keys.where("n = 2 and (roles & 1) = 1").select("k").distinct().collect()}
+        assert {k for k, x, y in pairs if min(len(x), len(y)) > 2 * t + 1} <= got
+
+
 def test_columns_that_clash_with_those_inside(spark):
     docs = spark.createDataFrame([(1, "same line", 7, 8, 9), (2, "same line", 7, 8, 9)], "doc_id long, text string, n_gone int, __doc int, __N_GONE int")
     got = linededup.dedup_lines(docs)
