@@ -328,11 +328,13 @@ def near_lines(lines: DataFrame, threshold: int | None = None, least_chars: int
     exact = again.select("h1", "h2", "place", "key", "role", "edits", rest.alias("rest"), F.when(F.col("edits") > 1, F.col("line")).alias("line")).join(crowded, "key")
     exact = exact.withColumn("bits", F.when(F.col("edits") > 1, word_bits(F.col("line"))))
     exact = shared.stored(_members(exact, "edits"), "line-members")
+    shared.remove(lines.sparkSession, crowded)
     found = None
     for t, *_ in _classes(threshold, least_chars):
         members = exact.where(F.col("edits") == t).drop("edits")
         own = _within_keys(members, t, pairwise) if t > 1 else _within_blocks(members, pairwise)
         found = own if found is None else found.union(own)
+    shared.remove(lines.sparkSession, exact)
     return found.distinct()
 
 
@@ -357,6 +359,7 @@ def _within_blocks(members: DataFrame, pairwise: int) -> DataFrame:
         cut = left.select("h1", "h2", F.col("first").alias("place"), F.explode(_blocks(F.col("rest"), F.col("key"))).alias("s"))
         cut = shared.stored(cut.select("h1", "h2", "place", "s.key", "s.role", "s.rest"), "line-blocks")
         members = shared.stored(_members(cut.join(_crowded(cut), "key").withColumns({"line": F.lit(None).cast("string"), "bits": F.lit(None).cast("long")})), "line-members")
+        shared.remove(members.sparkSession, cut)
 
 
 def _without(text: Column, start: Column, size: Column) -> Column:
@@ -377,7 +380,7 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
         length, turned = F.length("rest"), F.reverse("rest")
         sizes = members.join(counted.where(crowd).select("key"), "key").groupBy("key").agg(
             F.count("*").alias("n"), F.min(F.struct("first", "h1", "line", "bits")).alias("earliest"), F.max(length).alias("longest"), F.min(length).alias("least"),
-            F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(turned).alias("low_end"), F.max(turned).alias("high_end"),
+            F.max(F.length("line")).alias("line_length"), F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(turned).alias("low_end"), F.max(turned).alias("high_end"),
         )
         # what the least and the greatest of some texts have in common at the beginning, all have
         head = _agreeing(F.col("least"), lambda k: F.substring("low", F.lit(1), k) == F.substring("high", F.lit(1), k))
@@ -387,24 +390,31 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
         span = F.col("longest") - F.col("head") - F.col("tail")
         last = span <= 2 * threshold + 1
         sifted = (span >= SPAN) & (F.col("n") <= SIFT)
+        # plans for groups that there are none of would only take the driver's memory
+        has = sizes.agg(F.max(~last).alias("large"), F.max(~last & sifted).alias("sifted"), F.max(~last & sifted & (F.col("line_length") > WITHIN_JOIN - threshold)).alias("long"), F.max(~last & ~sifted).alias("cut")).first()
         paired = counted.where(~crowd).select("key").union(sizes.where(last).select("key"))
         large = members.join(sizes.where(~last), "key")
-        unsettled = large.where((F.col("first") > F.col("earliest.first")) & _alike(F.col("bits"), F.col("earliest.bits"), threshold))
-        unsettled = unsettled if found is None else unsettled.join(found, ["h1", "h2"], "left_anti")
-        against = unsettled.select("h1", "h2", "line", F.col("earliest.h1").alias("o1"), F.col("earliest.line").alias("other")).dropDuplicates(["h1", "o1"])
-        settled = shared.stored(against.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct(), "line-later")
-        found = settled if found is None else found.union(settled)
-        sieve = _with_grams(members.join(sizes.where(~last & sifted).select("key"), "key"))
-        found = found.union(shared.stored(_near_earlier(sieve, found, threshold), "line-later"))
+        if has["large"]:
+            unsettled = large.where((F.col("first") > F.col("earliest.first")) & _alike(F.col("bits"), F.col("earliest.bits"), threshold))
+            unsettled = unsettled if found is None else unsettled.join(found, ["h1", "h2"], "left_anti")
+            against = unsettled.select("h1", "h2", "line", F.col("earliest.h1").alias("o1"), F.col("earliest.line").alias("other")).dropDuplicates(["h1", "o1"])
+            settled = shared.stored(against.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct(), "line-later")
+            found = settled if found is None else found.union(settled)
+        if has["sifted"]:
+            sieve = _with_grams(members.join(sizes.where(~last & sifted).select("key"), "key"))
+            found = found.union(shared.stored(_near_earlier(sieve, found, threshold), "line-later"))
         pairs = _open_pairs(members.join(paired, "key"), found, seen, threshold)
-        long = _open_pairs(sieve.where(F.length("line") > WITHIN_JOIN - threshold), found, seen, threshold)
-        pairs = shared.stored(pairs.union(long).distinct(), "line-pairs")
+        if has["long"]:
+            pairs = pairs.union(_open_pairs(sieve.where(F.length("line") > WITHIN_JOIN - threshold), found, seen, threshold)).distinct()
+        pairs = shared.stored(pairs, "line-pairs")
         seen = pairs if seen is None else seen.union(pairs)
         wanted = pairs.select("h1").union(pairs.select(F.col("o1").alias("h1"))).distinct()
         texts = members.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.any_value("h2").alias("h2"), F.any_value("line").alias("line"))
         compared = pairs.join(texts, "h1").join(texts.select(F.col("h1").alias("o1"), F.col("line").alias("other")), "o1")
-        later = compared.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct()
-        found = found.union(shared.stored(later, "line-later"))
+        later = shared.stored(compared.where(close(F.col("line"), F.col("other"), threshold)).select("h1", "h2").distinct(), "line-later")
+        found = later if found is None else found.union(later)
+        if not has["cut"]:
+            return found.distinct()
         still = large.where(~sifted & (F.col("first") > F.col("earliest.first"))).join(found, ["h1", "h2"], "left_anti").select("key").distinct()
         still = shared.stored(still, "line-open")
         if still.isEmpty():
@@ -419,6 +429,7 @@ def _within_keys(members: DataFrame, threshold: int, pairwise: int) -> DataFrame
         cut = shared.stored(cut.union(few), "line-blocks")
         going_on = cut.groupBy("key").agg(F.min("place").alias("low"), F.max(F.when(F.col("open"), F.col("place"))).alias("high")).where("high > low").select("key")
         members = shared.stored(_members(cut.join(_crowded(cut), "key").join(going_on, "key", "left_semi")), "line-members")
+        shared.remove(members.sparkSession, cut)
 
 
 # ---------------------------------------------------------------- documents

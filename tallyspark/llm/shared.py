@@ -45,11 +45,24 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return list(names)
 
 
+#: While stored() writes: Spark deletes a query's shuffle files as soon as it ends, not when the driver collects its garbage, and
+#: the driver keeps the beginning of its plan's description only, which goes into megabytes where expressions are long.
+WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "16384"}
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a cut of lineage that a lost executor doesn't undo."""
+    """Writes df to the shared folder and reads it back: a cut of lineage that a lost executor doesn't undo. The shuffle files
+    that it took are deleted then."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = {k: spark.conf.get(k, None) for k in WHILE_STORED}
+    try:
+        for k, v in WHILE_STORED.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -290,6 +292,26 @@ def test_variants_of_a_long_line_make_no_rows_by_the_square(spark, monkeypatch,
     assert "group" not in cut
 
 
+def test_what_lines_take_in_between_is_deleted(spark):
+    """No shuffle files of a result that is stored, no keys and members of lines, and the session's settings as before."""
+    place = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for top in place for f in Path(top).rglob("shuffle_*.data")}
+    before, settings = files(), [spark.conf.get(k) for k in shared.WHILE_STORED]
+    assert shared.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts").count() == 7
+    until = time.time() + 20
+    # the count itself may leave a shuffle of its own, of one row
+    while any(f.exists() and f.stat().st_size > 200 for f in files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not any(f.exists() and f.stat().st_size > 200 for f in files() - before)
+    folder = Path(shared.shared_dir(spark).removeprefix("file://"))
+    held = set(folder.iterdir())
+    docs = [(d, f"a line that many others are like, of number {d % 9}\nand one of {'xy' * d}") for d in range(40)]
+    linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    new = {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - held if any(p.glob("part-*"))}
+    assert not new & {"line-keys", "line-members", "line-blocks"} and "line-marks" in new
+    assert [spark.conf.get(k) for k in shared.WHILE_STORED] == settings
+
+
 def test_short_rests_are_cut_in_classes_as_wide_as_the_edits(spark):
     """A text and one of up to threshold edits more share a segment whatever their lengths; the classes of short ones were too narrow."""
     rng = random.Random(3)
