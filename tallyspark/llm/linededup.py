@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import shared
@@ -151,7 +151,10 @@ def _segments(lines: DataFrame, text: str, threshold: Column | int, *columns: st
     held = F.when(F.col(f"{p}.lower"), F.col(lower)).otherwise(F.col(own))
     size = F.floor(held / (F.col(t) + 1)).cast("int")
     start = F.when(F.col(f"{p}.left"), size * F.col(f"{p}.k")).otherwise(F.col(n) - size * (F.col(f"{p}.k") + 1)) + F.col(f"{p}.shift")
-    key = F.xxhash64(F.col(f"{p}.code"), held, *([group] if group else []), F.col(text).substr(start + 1, size))
+    told = (F.col(f"{p}.code"), held, *([group] if group else []))
+    # Of bytes a piece is found at once, of characters by going through all before it; both hash the same bytes
+    bytewise = F.xxhash64(*told, F.substring(F.col(text).cast("binary"), start + 1, size))
+    key = F.when(F.octet_length(text) == F.col(n), bytewise).otherwise(F.xxhash64(*told, F.col(text).substr(start + 1, size)))
     # generated, the key stays one column; as an expression it would be put wherever it is used
     found = cut.where(size > 0).select(*columns, F.explode(F.array(F.struct(key.alias("key"), F.col(f"{p}.role").alias("role"), start.alias("start"), size.alias("size")))).alias(p))
     return found.select(*columns, f"{p}.*")
@@ -449,14 +452,17 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """doc, print (of its text), gone (map of place / 64 to the bits of lines to remove), n_gone; documents that lose lines only."""
     lines = _occurrences(docs, id_col, text_col)
     near = near_lines(lines, threshold, least_chars)
-    repeated = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    marks = repeated.select("h1", "h2", "first", "n", F.lit(False).alias("near")).union(near.select("h1", "h2", F.lit(None).cast(repeated.schema["first"].dataType), F.lit(1).cast("long"), F.lit(True)))
+    # numbers only, which are summed up without sorting; which of a document's lines is the first is asked of repeated ones
+    repeated = lines.groupBy("h1", "h2").agg(F.min("place.doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+    marks = repeated.select("h1", "h2", "first", "n", F.lit(False).alias("near")).union(near.select("h1", "h2", F.lit(None).cast("long"), F.lit(1).cast("long"), F.lit(True)))
     marks = shared.stored(marks.groupBy("h1", "h2").agg(F.max("first").alias("first"), F.max("near").alias("near"), F.max("n").alias("n")), "line-marks")
     hot = F.col("n") * HOT > int(marks.agg(F.sum("n")).first()[0] or 0)
     salted = marks.select("h1", "h2", "first", "near", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     placed = lines.select("h1", "h2", "place").join(F.broadcast(marks.where(hot).select("h1", "h2", F.lit(SALTS).alias("salts"))), ["h1", "h2"], "left")
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64("place"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    gone = placed.join(salted, ["h1", "h2", "salt"]).where(F.col("near") | (F.col("place") != F.col("first")))
+    # by document, so that the first one's occurrences of a line are together
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("place.doc"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    least = F.min("place").over(Window.partitionBy("h1", "h2", "salt"))
+    gone = placed.join(salted, ["h1", "h2", "salt"]).withColumn("least", least).where(F.col("near") | (F.col("place.doc") != F.col("first")) | (F.col("place") != F.col("least")))
     bits = gone.groupBy("place.doc", "place.print", F.floor(F.col("place.at") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place.at & 63))").alias("bits"))
     of_doc = bits.groupBy("doc", "print").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("gone"), F.sum(F.bit_count("bits")).alias("n_gone"))
     return of_doc

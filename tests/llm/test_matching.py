@@ -323,6 +323,22 @@ def test_short_rests_are_cut_in_classes_as_wide_as_the_edits(spark):
         assert {k for k, x, y in pairs if min(len(x), len(y)) > 2 * t + 1} <= got
 
 
+def test_occurrences_are_counted_without_sorting(spark, monkeypatch):
+    """The first of a line's occurrences stays: by id, for one id by the text's hash, within a text by place."""
+    plans, stored = [], shared.stored
+    monkeypatch.setattr(shared, "stored", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df, label))[1])
+    monkeypatch.setattr(linededup, "near_lines", lambda lines, *_: lines.select("h1", "h2").where("h1 is null"))
+    rows = [(3, "x\ny\nx"), (1, "z\ny\nz\nz"), (2, "é\nx\né"), (2, "x\né\nw"), (2, "x\né\nw")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(set(texts.select("doc_id", F.xxhash64("text"), "text").collect()), key=lambda r: r[:2])
+    seen, want = set(), {}
+    for d, _, t in order:
+        want[d, t] = "\n".join(x for x in t.split("\n") if not (x in seen or seen.add(x)))
+    got = linededup.dedup_lines(texts).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted((d, want[d, t]) for d, t in rows)
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
 def test_columns_that_clash_with_those_inside(spark):
     docs = spark.createDataFrame([(1, "same line", 7, 8, 9), (2, "same line", 7, 8, 9)], "doc_id long, text string, n_gone int, __doc int, __N_GONE int")
     got = linededup.dedup_lines(docs)
