@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -63,9 +64,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The share of its largest heap from which the driver gives back what it no longer needs.
+HEAP_SHARE = 0.5
+
+
+def tidy(spark: SparkSession) -> bool:
+    """Has the driver drop the plans, broadcast tables and generated classes of queries that have ended, and return the memory,
+    if its heap has grown beyond HEAP_SHARE: left alone, a JVM grows to its limit before it looks for what it can drop."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() <= HEAP_SHARE * runtime.maxMemory():
+        return False
+    gc.collect()  # Python's handles of plans, which hold them in the JVM
+    spark._jvm.java.lang.System.gc()
+    return True
+
+
 def remove(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes what stored() wrote for frames that no later result reads."""
     for frame in frames:

@@ -339,6 +339,15 @@ def test_occurrences_are_counted_without_sorting(spark, monkeypatch):
     assert plans and not any("SortAggregate" in p for p in plans)
 
 
+def test_driver_gives_memory_back_beyond_a_share_of_its_heap(spark, monkeypatch):
+    done, tidy = [], shared.tidy
+    monkeypatch.setattr(shared, "tidy", lambda session: done.append(tidy(session)))
+    for share in (0, 1):
+        monkeypatch.setattr(shared, "HEAP_SHARE", share)
+        assert shared.stored(spark.range(5), "few").count() == 5
+    assert done == [True, False]
+
+
 def test_columns_that_clash_with_those_inside(spark):
     docs = spark.createDataFrame([(1, "same line", 7, 8, 9), (2, "same line", 7, 8, 9)], "doc_id long, text string, n_gone int, __doc int, __N_GONE int")
     got = linededup.dedup_lines(docs)
