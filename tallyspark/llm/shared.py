@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,19 +72,63 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 #: The share of its largest heap from which the driver gives back what it no longer needs.
 HEAP_SHARE = 0.5
+#: While it does: how much of the heap may be free afterwards, in percent. Java's own values leave up to 70.
+WHILE_TIDIED = {"MinHeapFreeRatio": "10", "MaxHeapFreeRatio": "20"}
 
 
 def tidy(spark: SparkSession) -> bool:
     """Has the driver drop the plans, broadcast tables and generated classes of queries that have ended, and return the memory,
-    if its heap has grown beyond HEAP_SHARE: left alone, a JVM grows to its limit before it looks for what it can drop."""
+    if its heap has grown beyond HEAP_SHARE: left alone, a JVM grows to its limit before it looks for what it can drop.
+    What compilers and buffers took outside of the heap and freed is returned each time."""
     runtime = spark._jvm.java.lang.Runtime.getRuntime()
-    if runtime.totalMemory() <= HEAP_SHARE * runtime.maxMemory():
+    grown = runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory()
+    if grown:
+        gc.collect()  # Python's handles of plans, which hold them in the JVM
+        before = {k: v for k in WHILE_TIDIED if (v := _option(spark, k))}
+        try:
+            for k in before:
+                _option(spark, k, WHILE_TIDIED[k])
+            spark._jvm.java.lang.System.gc()
+        finally:
+            for k, v in reversed(before.items()):  # the least may not pass the most
+                _option(spark, k, v)
+    trim(spark)
+    return grown
+
+
+def trim(spark: SparkSession) -> bool:
+    """Has the driver's C library return memory that was freed, which it keeps for each thread that took some. False: it can't."""
+    management = spark._jvm.java.lang.management.ManagementFactory
+    name = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    types = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    try:
+        _call(spark, "javax.management.MBeanServer", "invoke", types, management.getPlatformMBeanServer(), name, "systemTrimNativeHeap", None, None)
+    except Py4JJavaError:  # not HotSpot, or not on glibc
         return False
-    gc.collect()  # Python's handles of plans, which hold them in the JVM
-    spark._jvm.java.lang.System.gc()
     return True
 
 
+def _option(spark: SparkSession, name: str, value: str | None = None) -> str | None:
+    """The value of an option of the driver's JVM, after it was set to the value, if there is one; None without such an option."""
+    kind, text = "com.sun.management.HotSpotDiagnosticMXBean", "java.lang.String"
+    try:
+        bean = spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBean(spark._jvm.java.lang.Class.forName(kind))
+        if value is not None:
+            _call(spark, kind, "setVMOption", (text, text), bean, name, value)
+        return _call(spark, kind, "getVMOption", (text,), bean, name).getValue()
+    except Py4JJavaError:
+        return None
+
+
+def _call(spark: SparkSession, kind: str, name: str, types: tuple[str, ...], on: JavaObject, *values: object) -> JavaObject:
+    """Calls a method as the public interface has it: py4j looks for it in the object's class, which Java's modules hide."""
+    java, gateway = spark._jvm.java.lang, spark.sparkContext._gateway
+    kinds, held = gateway.new_array(java.Class, len(types)), gateway.new_array(java.Object, len(values))
+    for k, (type_, value) in enumerate(zip(types, values)):
+        kinds[k], held[k] = java.Class.forName(type_), value
+    return java.Class.forName(kind).getMethod(name, kinds).invoke(on, held)
+
+
 def remove(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes what stored() wrote for frames that no later result reads."""
     for frame in frames:

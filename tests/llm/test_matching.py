@@ -339,6 +339,34 @@ def test_occurrences_are_counted_without_sorting(spark, monkeypatch):
     assert plans and not any("SortAggregate" in p for p in plans)
 
 
+def anonymous_mb(spark):
+    pid = spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+    return int(re.search(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+
+
+def test_memory_outside_of_the_heap_is_returned(spark):
+    """What a thread took from the C library and gave back stays with the process until it is trimmed; the heap shrinks to what it holds."""
+    platform = spark._jvm.org.apache.spark.unsafe.Platform
+    options = {k: shared._option(spark, k) for k in shared.WHILE_TIDIED}
+    taken = [platform.allocateMemory(100_000) for _ in range(3000)]
+    for at in taken:
+        platform.setMemory(at, 1, 100_000)
+    for at in taken[:-1]:  # the last one keeps the C library from shrinking by itself
+        platform.freeMemory(at)
+    held = anonymous_mb(spark)
+    shared.stored(spark.range(10), "range")
+    assert anonymous_mb(spark) < held - 150
+    platform.freeMemory(taken[-1])
+    assert {k: shared._option(spark, k) for k in shared.WHILE_TIDIED} == options and all(options.values())
+
+
+def test_a_tidied_heap_keeps_little_free(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HEAP_SHARE", 0.0)
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    assert shared.tidy(spark)
+    assert runtime.freeMemory() < 0.35 * runtime.totalMemory()
+
+
 def test_driver_gives_memory_back_beyond_a_share_of_its_heap(spark, monkeypatch):
     done, tidy = [], shared.tidy
     monkeypatch.setattr(shared, "tidy", lambda session: done.append(tidy(session)))
